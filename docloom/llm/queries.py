@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import repetition
+from docloom.llm import repetition, simhash
 from docloom.llm.common import table
 
 
+def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_repetition_coverage,)}
+    return {f.__name__: f for f in (op6_golay_simhash, op8_repetition_coverage,)}
 
 
 def oracle_sql() -> dict[str, str]:
