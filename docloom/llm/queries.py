@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import repetition, simhash
+from docloom.llm import bpe, packing, repetition, simhash
 from docloom.llm.common import table
 
 
+def op5_tier_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    spec = bpe.load(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), spec))
+
+
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
@@ -18,8 +24,14 @@ def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    spec = bpe.load(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = bpe.encode_decode(table(spark, sf_dir, "documents"), spec)
+    return done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "sha2(decoded, 256) decoded_sha256", "split_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_golay_simhash, op8_repetition_coverage,)}
+    return {f.__name__: f for f in (op5_tier_packing, op6_golay_simhash, op8_repetition_coverage, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
