@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, packing, repetition, simhash
+from docloom.llm import bpe, packing, privacy, repetition, simhash
 from docloom.llm.common import table
 
 
+def op4_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.private_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_tier_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     spec = bpe.load(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), spec))
@@ -31,7 +35,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_tier_packing, op6_golay_simhash, op8_repetition_coverage, op9_byte_bpe)}
+    return {f.__name__: f for f in (op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op8_repetition_coverage, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
