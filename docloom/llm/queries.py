@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, packing, privacy, repetition, simhash
+from docloom.llm import audio, bpe, packing, privacy, repetition, simhash
 from docloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.features(audio.store(table(spark, sf_dir, "documents"))))
+
+
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op8_repetition_coverage, op9_byte_bpe)}
+    return {f.__name__: f for f in (op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
