@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import audio, bpe, packing, privacy, repetition, simhash
+from docloom.llm import audio, bpe, packing, privacy, repetition, simhash, warc
 from docloom.llm.common import table
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.private_spans(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
