@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import audio, bpe, packing, privacy, repetition, simhash, warc
+from docloom.llm import audio, bpe, packing, privacy, quality, repetition, simhash, toxicity, warc
 from docloom.llm.common import table
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.Settings()))
+
+
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -42,8 +47,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "sha2(decoded, 256) decoded_sha256", "split_tokens")
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = table(spark, sf_dir, "documents"), quality.Settings()
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), settings), settings)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
