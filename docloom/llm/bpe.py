@@ -21,6 +21,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -131,36 +132,62 @@ class Encoder:
     def _forget(self) -> None:
         self.after_space: dict[str, int] = {}  # piece without the space before it
         self.as_is: dict[str, int] = {}
+        self.marks: dict[str, int] = {}  # of marks that often end a word
         self.chars = 0
         self.pool = np.empty(0, np.uint32)
         self.start = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
+        self.size = 0  # pieces numbered so far
         self.new: list[str] = []
+        self.new_at: list[int] = []
+        self.joined: list[tuple[int, int, int]] = []  # a piece that is two pieces in a row
+        self.marks = {c: self._learn(c, self.as_is, c) for c in ",."}
 
     def _learn(self, piece: str, memory: dict[str, int], key: str) -> int:
-        n = memory[key] = len(self.start) + len(self.new)
-        self.new.append(piece)
+        n = memory[key] = self.size
+        self.size += 1
         self.chars += len(piece)
+        mark = self.marks.get(piece[-1])
+        if mark is not None and memory is self.after_space and len(piece) > 2 and "a" <= piece[-2] <= "z":
+            # The mark is a match of its own after a letter.
+            base = memory.get(key[:-1])
+            if base is None:
+                base = self._learn(piece[:-1], memory, key[:-1])
+            self.joined.append((n, base, mark))
+        else:
+            self.new.append(piece)
+            self.new_at.append(n)
         return n
 
+    def _after_space(self, p: str) -> int | None:
+        """The number of a new piece that follows a space, or a new line of its own; None if its ends are white space."""
+        if not p or p[-1].isspace():
+            return None
+        if p[0] == "\n":
+            return None if p[1].isspace() else self._learn(p, self.after_space, p)
+        if p[0].isspace():
+            return None
+        return self._learn(" " + p, self.after_space, p)
+
     def _pieces(self, text: str) -> list[int]:
         """Numbers of the pieces that the text is cut into."""
         if not text:
             return []
-        first, *rest = text.split(" ")
+        # A line break between two words is a match of its own; it goes with the word after it.
+        first, *rest = text.replace("\n", " \n").split(" ")
         plain = bool(first) and not first[-1].isspace()
         if plain:
             found = list(map(self.after_space.get, rest))
-            for i, n in enumerate(found):
-                if n is None:
-                    p = rest[i]
-                    n = self.after_space.get(p)
+            if None in found:
+                for i, n in enumerate(found):
                     if n is None:
-                        if not p or p[0].isspace() or p[-1].isspace():
-                            plain = False
-                            break
-                        n = self._learn(" " + p, self.after_space, p)
-                    found[i] = n
+                        n = self.after_space.get(rest[i])
+                        if n is None:
+                            n = self._after_space(rest[i])
+                            if n is None:
+                                plain = False
+                                break
+                        found[i] = n
         if plain:
             head = self.as_is.get(first)
             return [self._learn(first, self.as_is, first) if head is None else head, *found]
@@ -171,16 +198,30 @@ class Encoder:
         return out
 
     def _encode_new(self) -> None:
-        if not self.new:
+        if self.size == len(self.start):
             return
-        e = self.tokenizer.encode(self.new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, np.uint32)
-        counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(self.new))
-        ends = np.cumsum(counts) + len(self.pool)
-        self.start = np.concatenate([self.start, ends - counts])
-        self.length = np.concatenate([self.length, counts])
+        grown = np.zeros(self.size - len(self.start), np.int64)
+        self.start, self.length = np.concatenate([self.start, grown]), np.concatenate([self.length, grown])
+        if self.new:
+            e = self.tokenizer.encode(self.new, is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(self.new))
+            self._store(np.array(self.new_at), np.array(e.ids, np.uint32), counts)
+        if self.joined:
+            n, *parts = np.array(self.joined).T
+            at = np.stack(parts, axis=1).reshape(-1)
+            self._store(n, self._gather(at), self.length[at].reshape(-1, 2).sum(axis=1))
+        self.new, self.new_at, self.joined = [], [], []
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.start[at] = np.cumsum(counts) - counts + len(self.pool)
+        self.length[at] = counts
         self.pool = np.concatenate([self.pool, ids])
-        self.new = []
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of pieces, one after the other."""
+        length = self.length[at]
+        ends = np.cumsum(length)
+        return self.pool[np.repeat(self.start[at] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
@@ -188,11 +229,8 @@ class Encoder:
             self._forget()
         pieces = [self._pieces(t) for t in texts]
         self._encode_new()
-        at = np.fromiter((i for p in pieces for i in p), np.int64)
-        length = self.length[at]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.start[at] - (ends - length), length) + np.arange(total)]
+        at = np.array(list(chain.from_iterable(pieces)), np.int64)
+        ids, ends = self._gather(at), np.cumsum(self.length[at])
         upto = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         tokens = np.diff(np.r_[0, np.r_[0, ends][upto]])
         return ids, tokens
