@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import audio, bpe, packing, privacy, quality, repetition, simhash, toxicity, warc
+from docloom.llm import audio, bpe, extract, packing, privacy, quality, repetition, simhash, toxicity, warc
 from docloom.llm.common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.Settings()))
@@ -53,7 +57,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality)}
+    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
