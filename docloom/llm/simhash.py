@@ -147,15 +147,15 @@ def _keyed(fps: DataFrame) -> DataFrame:
 # Links.
 
 
-def bucket_links(fp: np.ndarray, most: int, tile: int = 512) -> np.ndarray:
-    """Of distinct fingerprints, ``(fp, root)`` rows that join those reachable over links inside the bucket."""
-    x, n = fp.view(np.uint64), len(fp)
+def bucket_links(node: np.ndarray, bits: np.ndarray, most: int, tile: int = 512) -> np.ndarray:
+    """Of distinct nodes and their fingerprints (a row of words each), ``(node, root)`` rows that join those reachable over links inside the bucket."""
+    x, n = bits.view(np.uint64), len(node)
     root = np.arange(n)
     pairs = []
     for a in range(0, n, tile):
         for b in range(a, n, tile):
-            near = np.bitwise_count(x[a : a + tile, None] ^ x[None, b : b + tile]) <= most
-            i, j = np.nonzero(near)
+            apart = sum(np.bitwise_count(x[a : a + tile, None, k] ^ x[None, b : b + tile, k]).astype(np.int16) for k in range(x.shape[1]))
+            i, j = np.nonzero(apart <= most)
             keep = i + a < j + b
             if keep.any():
                 pairs.append((i[keep] + a, j[keep] + b))
@@ -171,33 +171,35 @@ def bucket_links(fp: np.ndarray, most: int, tile: int = 512) -> np.ndarray:
         if (root == before).all():
             break
     at = np.nonzero(root != np.arange(n))[0]
-    return np.stack([fp[at], fp[root[at]]], axis=1)
+    return np.stack([node[at], node[root[at]]], axis=1)
 
 
 def _within(members: DataFrame, most: int) -> DataFrame:
-    """Links inside buckets; ``members(key, fp)`` come sorted by key within each partition."""
+    """Links inside buckets; ``members(key, node, w0, w1, ...)`` come sorted by key within each partition."""
     on_workers(members.sparkSession)
+    words = len(members.columns) - 2
 
     def go(batches):
-        key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * (2 + words)
         for batch in _ended(batches):
             if batch is not None:
-                key = np.concatenate([key, batch.column(0).to_numpy()])
-                fp = np.concatenate([fp, batch.column(1).to_numpy()])
+                held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            key, node = held[:2]
             if not len(key):
                 continue
             starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
             upto = len(starts) if batch is None else len(starts) - 1  # the last bucket may go on
             ends = np.r_[starts[1:], len(key)]
-            out = [bucket_links(fp[starts[k] : ends[k]], most) for k in np.nonzero(ends[:upto] - starts[:upto] > 1)[0]]
+            bits = np.stack(held[2:], axis=1)
+            out = [bucket_links(node[a:b], bits[a:b], most) for a, b in zip(starts[:upto].tolist(), ends[:upto].tolist(), strict=True) if b - a > 1]
             rest = len(key) if batch is None else starts[-1]
-            key, fp = key[rest:], fp[rest:]
+            held = [h[rest:] for h in held]
             links = np.concatenate([np.empty((0, 2), np.int64), *out])
             if len(links):
                 links = np.unique(links, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    return members.select("key", "fp").mapInArrow(go, "a long, b long")
+    return members.mapInArrow(go, "a long, b long")
 
 
 def _ended(batches):
@@ -222,7 +224,7 @@ def links(fps: DataFrame, most: int = 2, bucket: int = 2048) -> DataFrame:
     keyed = _keyed(fps)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(shared, "key"), "simhash-buckets")
-    near = _within(members.where(F.col("n") <= bucket).repartition("key").sortWithinPartitions("key"), most)
+    near = _within(members.where(F.col("n") <= bucket).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0")).repartition("key").sortWithinPartitions("key"), most)
     crowded = members.where(F.col("n") > bucket).select("fp").distinct()
     if most == 2:
         far = _meeting(crowded)
@@ -279,11 +281,117 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 2, bucket: int
     return each.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, width: int = 5, most: int = 2) -> DataFrame:
-    """One row of each component, the one with the least id; rows without an id stay only if nothing else of theirs does.
+# Similar texts, beyond a few bits.
 
-    Of rows that repeat an id, one stays: ids are what tells documents apart.
+#: Words of the wide fingerprint.
+WIDE = 4
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash from each of ``h``, one family for each seed."""
+    z = h + np.uint64(_GOLDEN * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _majorities(h: np.ndarray, seeds: int) -> list[int]:
+    """A fingerprint of the distinct hashes ``h`` for each seed."""
+    ones = np.zeros((seeds, 64), np.int64)
+    for k in range(0, len(h), _RUN):
+        for s in range(seeds):
+            bits = np.unpackbits(_mixed(h[k : k + _RUN], s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[s] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.int64).reshape(-1).tolist()
+
+
+def sketch(text: str | None, width: int, tables: int) -> tuple[list[int], list[int]]:
+    """The wide fingerprint of the set of shingles, and ``tables`` fingerprints of the set of words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * WIDE, [0] * tables
+    hashed = xxhash.xxh64_intdigest
+    single = set(words)
+    h1 = np.fromiter((hashed(w, SEED) for w in single), np.uint64, len(single))
+    joined = b" ".join(words)
+    if len(words) <= width:
+        h = np.array([hashed(joined, SEED)], np.uint64)
+    else:
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(length + 1) - 1
+        start = (end - length)[: len(words) - width + 1].tolist()
+        h = np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)), np.uint64, len(start)))
+    return _majorities(h, WIDE), _majorities(h1, tables)
+
+
+def _sketches(docs: DataFrame, width: int, tables: int) -> DataFrame:
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sketch(x.as_py(), width, tables) for x in batch.column(1)]
+        wide = [pa.array([w[k] for w, _ in found], pa.int64()) for k in range(WIDE)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *wide, pa.array([t for _, t in found], pa.list_(pa.int64()))], names=["id", *(f"w{k}" for k in range(WIDE)), "tables"])
+
+    return per_batch(docs, go, "id long, " + "".join(f"w{k} long, " for k in range(WIDE)) + "tables array<long>")
+
+
+def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 5, bucket: int = 4096) -> DataFrame:
+    """``id, component_id`` for each of ``rows(id, text)``: texts whose similarity is ``least`` or more are linked.
+
+    The similarity of two texts is the share of agreeing bits of their wide
+    SimHash fingerprints (256 bits over the set of shingles of ``width`` words):
+    one half for unrelated texts, 0.85 on average where the Jaccard similarity
+    of the shingle sets is 0.8. Links are found through Golay keys of fingerprints of the set of
+    words, which edits move far less than those of shingles; with five such
+    fingerprints, all pairs of Jaccard similarity 0.8 or more of the test tables
+    share a key. Candidates are compared in numpy, without any pair leaving a
+    bucket but those of a spanning forest. Buckets beyond ``bucket`` members are
+    compared block by block, each pair of blocks in a task's turn of its own.
+    """
+    most = int(WIDE * 64 * (1 - least))
+    wide = [f"w{k}" for k in range(WIDE)]
+    each = cut(_sketches(rows.select("id", "text"), width, tables).withColumn("node", F.xxhash64(*wide)), "simhash-sketches")
+    folded = each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in (*wide, "tables")))
+    folded = cut(folded, "simhash-nodes")
+
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node = batch.column(0).to_numpy()
+        fps = np.stack([np.asarray(x.as_py(), np.int64) for x in batch.column(1)])
+        keys, owners = [], []
+        for t in range(fps.shape[1]):
+            key, owner = golay_keys(np.ascontiguousarray(fps[:, t]))
+            keys.append(key | t << 40)
+            owners.append(owner)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[np.concatenate(owners)])], names=["key", "node"])
+
+    keyed = per_batch(folded.select("node", "tables"), go, "key long, node long")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = keyed.join(shared, "key").join(folded.select("node", *wide), "node")
+    # Blocks of crowded buckets meet two by two; a bucket that is not crowded is one block.
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    mine = F.pmod(F.hash("node"), blocks)
+    met = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    found = _within(met.select(key.alias("key"), "node", *wide).repartition("key").sortWithinPartitions("key"), most)
+    reach = components(found.distinct())
+    rooted = folded.select("node", "first_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
+    return each.join(label, "node").select("id", "component_id")
+
+
+#: Ids given to rows without one begin here, after all others.
+_UNNAMED = 1 << 62
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component of similar texts, the one with the least id, with all columns of ``docs``.
+
+    A row without an id stays only if its component has none with one. Of rows
+    that repeat an id, one stays: ids are what tells documents apart.
     """
-    found = near_duplicates(docs, width, most)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    name = "near_id"
+    while name in docs.columns:
+        name += "_"
+    named = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1) + F.lit(_UNNAMED)))
+    found = similar(named.select(F.col(name).alias("id"), "text"), width, least)
+    first = found.where("id = component_id").select(F.col("id").alias(name)).distinct()
+    return named.join(first, name, "left_semi").dropDuplicates([name]).drop(name)
