@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from docloom.llm.common import BLOCK_BYTES, on_workers
+from docloom.llm.common import BLOCK_BYTES, on_workers, parts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -121,9 +121,13 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Encoder:
-    """Ids of texts. ``memo``: so many pieces are remembered at most, of so many characters in all."""
+    """Ids of texts.
 
-    def __init__(self, spec: str, memo: int = 1_000_000, memo_chars: int = 24 << 20):
+    ``memo`` pieces are remembered at most, of ``memo_chars`` characters in all; when
+    there are more, those that have not come twice since are forgotten.
+    """
+
+    def __init__(self, spec: str, memo: int = 600_000, memo_chars: int = 12 << 20):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.memo, self.memo_chars = memo, memo_chars
@@ -137,12 +141,33 @@ class Encoder:
         self.pool = np.empty(0, np.uint32)
         self.start = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
         self.size = 0  # pieces numbered so far
         self.new: list[str] = []
         self.new_at: list[int] = []
         self.joined: list[tuple[int, int, int]] = []  # a piece that is two pieces in a row
         self.marks = {c: self._learn(c, self.as_is, c) for c in ",."}
 
+    def _shrink(self) -> None:
+        """Forget the pieces that have not come twice, or all if that frees little."""
+        keep = self.uses > 1
+        keep[list(self.marks.values())] = True
+        if keep.sum() > 0.7 * len(keep):
+            self._forget()
+            return
+        number = np.cumsum(keep) - 1
+        kept = np.nonzero(keep)[0]
+        pool, length = self._gather(kept), self.length[kept]
+        self.start, self.length, self.pool, self.size = np.cumsum(length) - length, length, pool, len(kept)
+        self.uses = np.zeros(len(kept), np.int64)
+        numbers, stays = number.tolist(), keep.tolist()
+        self.after_space = {k: numbers[i] for k, i in self.after_space.items() if stays[i]}
+        self.as_is = {k: numbers[i] for k, i in self.as_is.items() if stays[i]}
+        self.marks = {c: self.as_is[c] for c in self.marks}
+        self.chars = sum(map(len, self.after_space)) + sum(map(len, self.as_is))
+        if self.chars > self.memo_chars // 2:
+            self._forget()
+
     def _learn(self, piece: str, memory: dict[str, int], key: str) -> int:
         n = memory[key] = self.size
         self.size += 1
@@ -226,10 +251,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
         if len(self.start) > self.memo or self.chars > self.memo_chars:
-            self._forget()
+            self._shrink()
         pieces = [self._pieces(t) for t in texts]
         self._encode_new()
         at = np.array(list(chain.from_iterable(pieces)), np.int64)
+        self.uses = np.concatenate([self.uses, np.zeros(self.size - len(self.uses), np.int64)])
+        self.uses += np.bincount(at, minlength=self.size)
         ids, ends = self._gather(at), np.cumsum(self.length[at])
         upto = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         tokens = np.diff(np.r_[0, np.r_[0, ends][upto]])
@@ -298,15 +325,10 @@ class TextDecoder:
 
 
 def text_blocks(batches, most: int = BLOCK_BYTES):
-    """``(id array, texts)`` of rows ``(id, text)`` whose texts add up to about ``most`` characters."""
+    """``(id array, texts)`` of rows ``(id, text)`` whose texts add up to about ``most`` bytes."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        a = n = 0
-        for i, t in enumerate(texts):
-            n += len(t)
-            if n >= most or i == len(texts) - 1:
-                yield batch.column(0).slice(a, i + 1 - a), texts[a : i + 1]
-                a, n = i + 1, 0
+        for part in parts(batch, 1, most):
+            yield part.column(0), [x or "" for x in part.column(1).to_pylist()]
 
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary, byte_ends binary, split_tokens long"

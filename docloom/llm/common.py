@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker expands at once; bounds a worker's memory whatever a batch holds.
@@ -65,30 +67,31 @@ def uncut(*frames: DataFrame) -> None:
         remove(df.sparkSession, df._cut)
 
 
-def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with ``f`` on each batch."""
+def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, by: int | None = None) -> DataFrame:
+    """``mapInArrow`` with ``f`` on each batch; with ``by``, on slices by the bytes of that column."""
     on_workers(df.sparkSession)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = f(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for part in [batch] if by is None else parts(batch, by):
+                out = f(part)
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(go, schema)
 
 
-def blocks(rows: Iterable, size: Callable[[object], int], most: int = BLOCK_BYTES) -> Iterator[list]:
-    """Runs of rows whose sizes add up to about ``most``; a larger row is a block of its own."""
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += size(row)
-        if n >= most:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def parts(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in a column of texts or bytes add up to about ``most`` bytes; at least a row each."""
+    n = batch.num_rows
+    if not n:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    block = np.cumsum(sizes.astype(np.int64)) // most
+    cuts = [0, *(np.nonzero(block[1:] != block[:-1])[0] + 1).tolist(), n]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

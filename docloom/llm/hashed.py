@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import on_workers
+from docloom.llm.common import on_workers, parts
 
 #: Buckets that features are hashed to.
 BUCKETS = 1 << 20
 #: Words remembered with their features by a worker.
-MEMO = 500_000
+MEMO = 250_000
 #: Longest token whose features are remembered.
 LONGEST = 40
 
@@ -133,7 +133,7 @@ def labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], of:
 
     def go(batches):
         features = Features(of)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             out = [], [], [], []
             for x in batch.column(1):
                 text = x.as_py() or ""

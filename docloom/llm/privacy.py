@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import cut, on_workers, per_batch, uncut
+from docloom.llm.common import cut, on_workers, parts, per_batch, uncut
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -183,7 +183,7 @@ def scan(docs: DataFrame, limits: Limits, whole: bool) -> DataFrame:
         cols = [batch.column(0), pa.array(rows, kind)]
         return pa.RecordBatch.from_arrays([*cols, batch.column(2)] if whole else cols, names=schema.names)
 
-    return cut(per_batch(docs.select(columns), go, schema).withColumn("row", F.monotonically_increasing_id()), "privacy-scan")
+    return cut(per_batch(docs.select(columns), go, schema, by=1).withColumn("row", F.monotonically_increasing_id()), "privacy-scan")
 
 
 def screen_of(terms: DataFrame) -> bytes:
@@ -203,7 +203,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def go(batches):
         bits = np.frombuffer(sent.value, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             out = []
             for x in batch.column(0):
                 words = {w for piece in set((x.as_py() or "").lower().split()) for w in ([piece] if piece.isalpha() and len(piece) > 2 else _WORD.findall(piece))}
@@ -304,4 +304,4 @@ def sanitise(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         cols["text"] = pa.array(new, cols["text"].type)
         return pa.RecordBatch.from_arrays([cols[k] for k in names], names=names)
 
-    return per_batch(found, go, schema)
+    return per_batch(found, go, schema, by=0)

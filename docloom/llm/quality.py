@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import on_workers
+from docloom.llm.common import on_workers, parts
 from docloom.llm.hashed import Features, Sparse, labelled, minimise, shape_features, share, sigmoid, telling, word_features
 
 #: The grade of a row of the table of labels.
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Model, settings: Settings) -> DataFrame:
     def go(batches):
         model = sent.value
         features = Features(token_features, model.buckets)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             start, column, value, whole = [0], [], [], []
             for t in batch.column(1):
                 text = t.as_py() or ""

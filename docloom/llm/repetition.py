@@ -153,7 +153,7 @@ def repetition(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
             names=[x.split()[0] for x in SCHEMA.split(", ")],
         )
 
-    return per_batch(docs.selectExpr("cast(doc_id as long) doc_id", "text"), go, SCHEMA)
+    return per_batch(docs.selectExpr("cast(doc_id as long) doc_id", "text"), go, SCHEMA, by=1)
 
 
 def keep_unrepetitive(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -164,4 +164,4 @@ def keep_unrepetitive(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([measure(x.as_py()).kept(rules) for x in batch.column(i)], pa.bool_()))
 
-    return per_batch(docs, go, docs.schema)
+    return per_batch(docs, go, docs.schema, by=i)

@@ -37,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, on_workers, per_batch, uncut
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
         fp = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return per_batch(docs.selectExpr("cast(doc_id as long) doc_id", "text"), go, "doc_id long, fp long")
+    return per_batch(docs.selectExpr("cast(doc_id as long) doc_id", "text"), go, "doc_id long, fp long", by=1)
 
 
 # The Golay code.
@@ -175,7 +175,7 @@ def bucket_links(node: np.ndarray, bits: np.ndarray, most: int, tile: int = 512)
 
 
 def _within(members: DataFrame, most: int) -> DataFrame:
-    """Links inside buckets; ``members(key, node, w0, w1, ...)`` come sorted by key within each partition."""
+    """Links inside buckets; ``members(key, node, w0, w1, ...)`` come sorted by key and node within each partition."""
     on_workers(members.sparkSession)
     words = len(members.columns) - 2
 
@@ -224,17 +224,28 @@ def links(fps: DataFrame, most: int = 2, bucket: int = 2048) -> DataFrame:
     keyed = _keyed(fps)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(shared, "key"), "simhash-buckets")
-    near = _within(members.where(F.col("n") <= bucket).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0")).repartition("key").sortWithinPartitions("key"), most)
+    near = _within(members.where(F.col("n") <= bucket).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0")).repartition("key").sortWithinPartitions("key", "node"), most)
     crowded = members.where(F.col("n") > bucket).select("fp").distinct()
     if most == 2:
         far = _meeting(crowded)
     else:
         far = _meeting(crowded).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    out = cut(near.union(far).distinct(), "simhash-links")
+    out = cut(contracted(near.union(far)), "simhash-links")
     uncut(members)
     return out
 
 
+def contracted(found: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` with the same components and few more rows than nodes.
+
+    A member ``a`` has a link for each of its keys at most, to the least node it
+    reached there. It keeps the least of these, and the others are linked to that.
+    """
+    least = F.min("b").over(Window.partitionBy("a"))
+    each = found.distinct().withColumn("m", least)
+    return each.select("a", F.col("m").alias("b")).union(each.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+
+
 # Components.
 
 
@@ -331,18 +342,18 @@ def _sketches(docs: DataFrame, width: int, tables: int) -> DataFrame:
         wide = [pa.array([w[k] for w, _ in found], pa.int64()) for k in range(WIDE)]
         return pa.RecordBatch.from_arrays([batch.column(0), *wide, pa.array([t for _, t in found], pa.list_(pa.int64()))], names=["id", *(f"w{k}" for k in range(WIDE)), "tables"])
 
-    return per_batch(docs, go, "id long, " + "".join(f"w{k} long, " for k in range(WIDE)) + "tables array<long>")
+    return per_batch(docs, go, "id long, " + "".join(f"w{k} long, " for k in range(WIDE)) + "tables array<long>", by=1)
 
 
-def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 5, bucket: int = 4096) -> DataFrame:
+def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8, bucket: int = 4096) -> DataFrame:
     """``id, component_id`` for each of ``rows(id, text)``: texts whose similarity is ``least`` or more are linked.
 
     The similarity of two texts is the share of agreeing bits of their wide
     SimHash fingerprints (256 bits over the set of shingles of ``width`` words):
     one half for unrelated texts, 0.85 on average where the Jaccard similarity
     of the shingle sets is 0.8. Links are found through Golay keys of fingerprints of the set of
-    words, which edits move far less than those of shingles; with five such
-    fingerprints, all pairs of Jaccard similarity 0.8 or more of the test tables
+    words, which edits move far less than those of shingles; with eight such
+    fingerprints, nearly all pairs of Jaccard similarity 0.8 or more of the test tables
     share a key. Candidates are compared in numpy, without any pair leaving a
     bucket but those of a spanning forest. Buckets beyond ``bucket`` members are
     compared block by block, each pair of blocks in a task's turn of its own.
@@ -371,8 +382,8 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 5
     mine = F.pmod(F.hash("node"), blocks)
     met = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    found = _within(met.select(key.alias("key"), "node", *wide).repartition("key").sortWithinPartitions("key"), most)
-    reach = components(found.distinct())
+    found = _within(met.select(key.alias("key"), "node", *wide).repartition("key").sortWithinPartitions("key", "node"), most)
+    reach = components(contracted(found))
     rooted = folded.select("node", "first_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     return each.join(label, "node").select("id", "component_id")

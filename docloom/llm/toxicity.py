@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import on_workers
+from docloom.llm.common import on_workers, parts
 from docloom.llm.hashed import Features, Sparse, labelled, minimise, share, sigmoid, telling, word_features
 
 #: Seed words of the weakly labelled categories, in the order of the chain.
@@ -167,7 +167,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def go(batches):
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             p = np.round(scorer(batch.column(1).to_pylist()), 9)
             toxic = p[:, -1] >= sent.value.cutoff
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(p.shape[1])), pa.array(toxic), pa.array(~toxic)], names=["doc_id", *names, "toxic", "kept"])
@@ -183,7 +183,7 @@ def keep_civil(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def go(batches):
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, i)):
             p = np.round(scorer(batch.column(i).to_pylist()), 9)
             yield batch.filter(pa.array(p[:, -1] < sent.value.cutoff))
 
