@@ -233,16 +233,32 @@ def truncations(spark, sf):
     return read(spark, sf, "documents").where(F.length("text") >= 20).select("doc_id", cut_to(c, 2048).alias("entity_text"), cut_excerpt(c).alias("excerpt"), T.window(c, F.lit(10), F.lit(20)).alias("snippet"))
 
 
+def _drawn_tables(spark, sf):
+    """A text for each order with its lines as a dotted table."""
+    li = read(spark, sf, "lineitem").join(read(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.concat(F.rpad(F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), F.lit("....")), 40, "."), F.lit("  "), F.lpad(F.format_number("l_extendedprice", 0), 12, " "), F.lit("\n"))
+    rows = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", line.alias("line")).alias("r"))
+    drawn = F.concat(F.lit(" A TABLE OF LINES\n\n"), F.array_join(F.transform("rs", lambda r: r["line"]), ""))
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs")).select(F.col("l_orderkey").alias("doc_id"), drawn.alias("text"))
+
+
 @plans.add()
 def table_rows(spark, sf):
     """Rows of tables laid out as text: a table for each order, drawn from its lines."""
-    from pyspark.sql import Window
+    return tables.extract_rows(_drawn_tables(spark, sf))
 
-    li = read(spark, sf, "lineitem").join(read(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    line = F.concat(F.rpad(F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), F.lit("....")), 40, "."), F.lit("  "), F.lpad(F.format_number("l_extendedprice", 0), 12, " "), F.lit("\n"))
-    rows = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", line.alias("line")).alias("r"))
-    texts = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs")).select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(" A TABLE OF LINES\n\n"), F.array_join(F.transform("rs", lambda r: r["line"]), "")).alias("text"))
-    return tables.extract_rows(texts)
+
+@plans.add()
+def score_documents(spark, sf):
+    """Documents to scored candidate rows, with a model fitted on whether a row's amount is above the others'."""
+    from docloom.operators import ml, scoring
+
+    names = F.array(F.lit("ring"), F.lit("gear"))
+    states = F.create_map(F.lit("red"), F.lit("RD"), F.lit("small"), F.lit("SM"))
+    rows = tables.extract_rows(_drawn_tables(spark, sf))
+    labelled = scoring.row_features(rows.withColumn("label", F.contains("entity_text", F.lit("widget")).cast("int")), names)
+    model = scoring.ROW_VECTORS.fit(labelled, ml.forest(trees=5, depth=5))
+    return scoring.score_rows(rows, model, names, states)
 
 
 @plans.add()

@@ -6,7 +6,7 @@ import pytest
 from docloom.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"quality_svm", "quality_rf", "cv_report", "grid_cv", "feature_ablation", "text_model"}
+SLOW = {"score_documents", "quality_svm", "quality_rf", "cv_report", "grid_cv", "feature_ablation", "text_model"}
 
 
 def shown(v):
