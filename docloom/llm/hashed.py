@@ -154,7 +154,7 @@ def labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], of:
     count = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x.as_py(), np.float32) for x in t.column("c"))])
     n = t.column("n").to_numpy()
     x = Sparse(np.r_[0, np.cumsum(size)], np.concatenate([np.empty(0, np.uint32), *b]).astype(np.int64), share(count, np.repeat(n, size)), BUCKETS)
-    more = np.array(t.column("extra").to_pylist(), np.float64).reshape(len(b), -1)
+    more = np.array(t.column("extra").to_pylist(), np.float64).reshape(len(b), -1) if b else np.empty((0, 0))
     return x, {k: t.column(k).to_numpy() for k in names}, more
 
 
