@@ -21,7 +21,23 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    done = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32(hex_digest: str) -> str:
+    """SQL for the base32 form of 40 hexadecimal digits: five of them are four characters."""
+    parts = []
+    for k in range(8):
+        v = f"('0x' || substr({hex_digest}, {5 * k + 1}, 5))::INT"
+        parts += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({v} >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(parts)
+
+
+OP3_SQL = (
+    "WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages), g AS (SELECT x, max(page_id) AS m FROM d GROUP BY x) "
+    f"SELECT page_id, payload_bytes, {_base32('x')} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM d JOIN g USING (x)"
+)
 
 
 def op4_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op3 can be said in SQL; the others need models, tokenizers, hashes or filters that it lacks."""
+    return {"op3_warc_normaliser": OP3_SQL}
