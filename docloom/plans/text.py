@@ -154,10 +154,10 @@ def lookup_first_state(spark, sf):
     place = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("NATION_"), key)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Nation_"), key)).otherwise(F.concat(F.lit("N"), key))
     said = F.concat(F.col("c_name"), F.lit(" of "), place, F.when(F.col("c_custkey") % 2 == 0, " etc").otherwise(""))
     names = read(spark, sf, "nation").select(F.concat(F.lit("Nation_"), "n_nationkey").alias("f"), F.concat(F.lit("N"), "n_nationkey").alias("a"))
-    # A row of lookup arrays; nations are few.
+    # A row of lookup arrays.
     entry = F.array(*(F.struct(k.alias("k"), F.col("a").alias("v")) for k in (F.upper("f"), F.col("f"), F.col("a"))))
     lists = names.agg(F.collect_list("f").alias("f"), F.collect_list("a").alias("a"), F.map_from_entries(F.flatten(F.collect_list(entry))).alias("m"))
-    d = read(spark, sf, "customer").select("c_custkey", T.tokens(said).alias("t")).crossJoin(F.broadcast(lists))
+    d = read(spark, sf, "customer").select("c_custkey", T.tokens(said).alias("t")).crossJoin(lists)
     return d.select("c_custkey", N.has_state(F.col("t"), F.col("f"), F.col("a")).alias("has_state"), N.ends_with_state(F.col("t"), F.col("f"), F.col("a")).alias("ends_with_state"), N.state_of(F.col("t"), F.col("m")).alias("state"))
 
 
@@ -166,9 +166,9 @@ def lookup_first_state(spark, sf):
     "SELECT doc_id, len(list_filter(c, lambda x: contains(text, x) OR contains(text, upper(x))))::BIGINT AS n_cities, list_min(list_filter(c, lambda x: contains(text, x) OR contains(text, upper(x)))) AS city FROM documents, l"
 )
 def substring_theta(spark, sf):
-    # The distinct first words of part names: a vocabulary of fixed size.
+    # One row: the distinct first words of part names.
     cities = read(spark, sf, "part").select(F.split("p_name", " ")[0].alias("city")).distinct().agg(F.collect_list("city").alias("c"))
-    d = read(spark, sf, "documents").crossJoin(F.broadcast(cities))
+    d = read(spark, sf, "documents").crossJoin(cities)
     hit = F.filter("c", lambda x: F.contains("text", x) | F.contains(F.col("text"), F.upper(x)))
     return d.select("doc_id", F.size(hit).cast("bigint").alias("n_cities"), N.first_city(F.col("text"), F.col("c")).alias("city"))
 
