@@ -148,17 +148,19 @@ def _keyed(fps: DataFrame) -> DataFrame:
 
 
 def bucket_links(node: np.ndarray, bits: np.ndarray, most: int, tile: int = 512) -> np.ndarray:
-    """Of distinct nodes and their fingerprints (a row of words each), ``(node, root)`` rows that join those reachable over links inside the bucket."""
+    """Of nodes and fingerprints of theirs (a row of words each), ``(node, root)`` rows that join those reachable over links inside the bucket."""
     x, n = bits.view(np.uint64), len(node)
-    root = np.arange(n)
+    named, number = np.unique(node, return_inverse=True)
+    root = np.arange(len(named))
     pairs = []
     for a in range(0, n, tile):
         for b in range(a, n, tile):
             apart = sum(np.bitwise_count(x[a : a + tile, None, k] ^ x[None, b : b + tile, k]).astype(np.int16) for k in range(x.shape[1]))
             i, j = np.nonzero(apart <= most)
-            keep = i + a < j + b
+            i, j = number[i + a], number[j + b]
+            keep = i != j
             if keep.any():
-                pairs.append((i[keep] + a, j[keep] + b))
+                pairs.append((i[keep], j[keep]))
     if not pairs:
         return np.empty((0, 2), np.int64)
     i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
@@ -170,8 +172,8 @@ def bucket_links(node: np.ndarray, bits: np.ndarray, most: int, tile: int = 512)
         root = root[root]
         if (root == before).all():
             break
-    at = np.nonzero(root != np.arange(n))[0]
-    return np.stack([node[at], node[root[at]]], axis=1)
+    at = np.nonzero(root != np.arange(len(named)))[0]
+    return np.stack([named[at], named[root[at]]], axis=1)
 
 
 def _within(members: DataFrame, most: int) -> DataFrame:
@@ -345,46 +347,62 @@ def _sketches(docs: DataFrame, width: int, tables: int) -> DataFrame:
     return per_batch(docs, go, "id long, " + "".join(f"w{k} long, " for k in range(WIDE)) + "tables array<long>", by=1)
 
 
-def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8, bucket: int = 4096) -> DataFrame:
-    """``id, component_id`` for each of ``rows(id, text)``: texts whose similarity is ``least`` or more are linked.
+_WIDE = [f"w{k}" for k in range(WIDE)]
 
-    The similarity of two texts is the share of agreeing bits of their wide
-    SimHash fingerprints (256 bits over the set of shingles of ``width`` words):
-    one half for unrelated texts, 0.85 on average where the Jaccard similarity
-    of the shingle sets is 0.8. Links are found through Golay keys of fingerprints of the set of
-    words, which edits move far less than those of shingles; with eight such
-    fingerprints, nearly all pairs of Jaccard similarity 0.8 or more of the test tables
-    share a key. Candidates are compared in numpy, without any pair leaving a
-    bucket but those of a spanning forest. Buckets beyond ``bucket`` members are
-    compared block by block, each pair of blocks in a task's turn of its own.
+
+def _table_links(nodes: DataFrame, first: int, last: int, most: int, bucket: int) -> DataFrame:
+    """Links between the groups ``c`` of ``nodes(node, c, w0, ..., tables)`` through some of the tables.
+
+    Buckets whose members all have one group are left out before any row is compared.
     """
-    most = int(WIDE * 64 * (1 - least))
-    wide = [f"w{k}" for k in range(WIDE)]
-    each = cut(_sketches(rows.select("id", "text"), width, tables).withColumn("node", F.xxhash64(*wide)), "simhash-sketches")
-    folded = each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in (*wide, "tables")))
-    folded = cut(folded, "simhash-nodes")
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node = batch.column(0).to_numpy()
-        fps = np.stack([np.asarray(x.as_py(), np.int64) for x in batch.column(1)])
+        node, c = (batch.column(k).to_numpy() for k in (0, 1))
+        fps = np.stack([np.asarray(x.as_py(), np.int64) for x in batch.column(2)])
         keys, owners = [], []
-        for t in range(fps.shape[1]):
+        for t in range(first, last):
             key, owner = golay_keys(np.ascontiguousarray(fps[:, t]))
             keys.append(key | t << 40)
             owners.append(owner)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[np.concatenate(owners)])], names=["key", "node"])
+        owner = np.concatenate(owners)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[owner]), pa.array(c[owner])], names=["key", "node", "c"])
 
-    keyed = per_batch(folded.select("node", "tables"), go, "key long, node long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, "key").join(folded.select("node", *wide), "node")
+    keyed = per_batch(nodes.select("node", "c", "tables"), go, "key long, node long, c long")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "n")
+    members = keyed.join(shared, "key").join(nodes.select("node", *_WIDE), "node")
     # Blocks of crowded buckets meet two by two; a bucket that is not crowded is one block.
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    mine = F.pmod(F.hash("node"), blocks)
-    met = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    found = _within(met.select(key.alias("key"), "node", *wide).repartition("key").sortWithinPartitions("key", "node"), most)
-    reach = components(contracted(found))
-    rooted = folded.select("node", "first_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = _within(met.select(key.alias("key"), F.col("c").alias("node"), *_WIDE).repartition("key").sortWithinPartitions("key", "node"), most)
+    return contracted(found)
+
+
+def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8, bucket: int = 4096) -> DataFrame:
+    """``id, component_id`` for each of ``rows(id, text)``: texts whose similarity is ``least`` or more are linked.
+
+    The similarity of two texts is the share of agreeing bits of their wide
+    SimHash fingerprints (256 bits over the set of shingles of ``width`` words):
+    one half for unrelated texts, 0.85 on average where the Jaccard similarity
+    of the shingle sets is 0.8. Links are found through Golay keys of
+    fingerprints of the set of words, which edits move far less than those of
+    shingles; with eight such fingerprints, nearly all pairs of Jaccard
+    similarity 0.8 or more of the test tables share a key. Candidates are
+    compared in numpy, and no pair leaves a bucket but those of a spanning
+    forest. Two tables come first; what they join into one group is not
+    compared or joined again by the others, so a large group of copies costs its
+    members, not their keys. Buckets beyond ``bucket`` members are compared
+    block by block, each pair of blocks in a turn of its own.
+    """
+    most = int(WIDE * 64 * (1 - least))
+    first = min(2, tables)
+    each = cut(_sketches(rows.select("id", "text"), width, tables).withColumn("node", F.xxhash64(*_WIDE)), "simhash-sketches")
+    folded = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in (*_WIDE, "tables"))), "simhash-nodes")
+    reach = components(_table_links(folded.withColumn("c", F.col("node")), 0, first, most, bucket))
+    grouped = cut(folded.join(reach, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "simhash-groups")
+    uncut(folded)
+    more = components(_table_links(grouped, first, tables, most, bucket)).withColumnRenamed("node", "c")
+    rooted = grouped.select("node", "first_id", "c").join(more, "c", "left").withColumn("root", F.coalesce("root", "c"))
     label = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     return each.join(label, "node").select("id", "component_id")
 
