@@ -40,11 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, on_workers, per_batch, uncut
+from docloom.llm.common import cut, on_workers, per_batch, release, uncut
 
 SEED = 42
 #: Shingles whose bits are counted at once.
 _RUN = 1 << 16
+#: Fingerprints whose keys are made at once.
+_KEYED = 1000
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -141,7 +143,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
         key, owner = golay_keys(fp)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[owner])], names=["key", "fp"])
 
-    return per_batch(fps, go, "key long, fp long")
+    return per_batch(fps, go, "key long, fp long", rows=_KEYED)
 
 
 # Links.
@@ -200,6 +202,7 @@ def _within(members: DataFrame, most: int) -> DataFrame:
             if len(links):
                 links = np.unique(links, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        release()
 
     return members.mapInArrow(go, "a long, b long")
 
@@ -278,6 +281,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _least_ids(rooted: DataFrame) -> DataFrame:
+    """``root, component_id``; cut off, so that the join with a large component's members can be split."""
+    return cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, most: int = 2, bucket: int = 2048) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id, copies`` for each row of ``docs(doc_id, text)``.
 
@@ -289,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 2, bucket: int
     found = links(folded.select("fp"), most, bucket)
     reach = components(found).withColumnRenamed("node", "fp")
     rooted = folded.join(reach, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = _least_ids(rooted)
     labelled = rooted.join(least, "root").select("fp", "component_id", "copies")
     return each.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
@@ -367,7 +375,7 @@ def _table_links(nodes: DataFrame, first: int, last: int, most: int, bucket: int
         owner = np.concatenate(owners)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[owner]), pa.array(c[owner])], names=["key", "node", "c"])
 
-    keyed = per_batch(nodes.select("node", "c", "tables"), go, "key long, node long, c long")
+    keyed = per_batch(nodes.select("node", "c", "tables"), go, "key long, node long, c long", rows=_KEYED)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "n")
     members = keyed.join(shared, "key").join(nodes.select("node", *_WIDE), "node")
     # Blocks of crowded buckets meet two by two; a bucket that is not crowded is one block.
@@ -403,7 +411,7 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8
     uncut(folded)
     more = components(_table_links(grouped, first, tables, most, bucket)).withColumnRenamed("node", "c")
     rooted = grouped.select("node", "first_id", "c").join(more, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    label = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
+    label = rooted.join(_least_ids(rooted), "root").select("node", "component_id")
     return each.join(label, "node").select("id", "component_id")
 
 
