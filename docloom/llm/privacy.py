@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,6 +119,13 @@ def _key(s: str) -> int:
 def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """Places of the terms near mentions, by entity and term."""
     found: dict[tuple[int, int], set] = {}
+    covered: list[list[int]] = []  # mentions, those that touch as one
+    for a, _, b, _ in spans:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [a for a, _ in covered]
     for a, kind, b, value in spans:
         e = _key(f"{KINDS[kind]}:{value}")
         for lo, hi in ((a - window, a), (b, b + window)):
@@ -127,7 +135,8 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) ->
                 # Words that the window cuts, and those inside another mention, are no terms.
                 if (s == lo and s and text[s - 1].isalpha()) or (f == hi and f < len(text) and text[f].isalpha()):
                     continue
-                if any(s < y and x < f for x, _, y, _ in spans):
+                k = bisect_left(starts, f) - 1
+                if k >= 0 and covered[k][1] > s:
                     continue
                 found.setdefault((e, _key(m[0].lower())), set()).add((s, f))
     return {k: sorted(v) for k, v in found.items()}

@@ -67,13 +67,21 @@ class Measures:
         )
 
 
-def _repeated(words: list[bytes], hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def _repeated(words: list[bytes], ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Of the positions ``at``, those whose n words occur at another of them too."""
     ordered = np.sort(hashes)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
         return at[:0]
-    at = at[np.isin(hashes, twice)]
+    found = np.isin(hashes, twice)
+    at, hashes = at[found], hashes[found]
+    order = np.argsort(hashes, kind="stable")
+    p, h = at[order], hashes[order]
+    same = h[1:] == h[:-1]
+    left, right = p[:-1][same], p[1:][same]
+    if all((ids[left + k] == ids[right + k]).all() for k in range(n)):
+        return at
+    # Two n-grams share a hash: go by the words themselves.
     grams = [tuple(words[i : i + n]) for i in at.tolist()]
     seen = Counter(grams)
     return at[np.fromiter((seen[g] > 1 for g in grams), bool, len(grams))]
@@ -103,8 +111,8 @@ def measure(text: str | None, lengths: tuple[int, ...] = (5, 6, 7, 8, 9, 10)) ->
     share, n_repeat = dict.fromkeys(lengths, 0.0), 0
     if n_words > lengths[0]:
         ids: dict[bytes, int] = {}
-        value = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, n_words)
-        value = (value + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        number = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, n_words)
+        value = (number + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         value ^= value >> np.uint64(32)
         at, width, h = np.arange(n_words), 0, np.zeros(n_words, np.uint64)
         chars = None
@@ -114,7 +122,7 @@ def measure(text: str | None, lengths: tuple[int, ...] = (5, 6, 7, 8, 9, 10)) ->
             for k in range(width, n):
                 h = h * _BASE + value[at + k]
             width = n
-            found = _repeated(words, h, at, n) if len(at) else at
+            found = _repeated(words, number, h, at, n) if len(at) else at
             if not len(found):
                 break
             if chars is None:
