@@ -178,8 +178,8 @@ def bucket_links(node: np.ndarray, bits: np.ndarray, most: int, tile: int = 512)
     return np.stack([named[at], named[root[at]]], axis=1)
 
 
-def _within(members: DataFrame, most: int) -> DataFrame:
-    """Links inside buckets; ``members(key, node, w0, w1, ...)`` come sorted by key and node within each partition."""
+def _within(members: DataFrame, most: int, linked=bucket_links) -> DataFrame:
+    """Links inside buckets, as ``linked`` finds them; ``members(key, node, w0, w1, ...)`` come sorted by key and node within each partition."""
     on_workers(members.sparkSession)
     words = len(members.columns) - 2
 
@@ -195,7 +195,7 @@ def _within(members: DataFrame, most: int) -> DataFrame:
             upto = len(starts) if batch is None else len(starts) - 1  # the last bucket may go on
             ends = np.r_[starts[1:], len(key)]
             bits = np.stack(held[2:], axis=1)
-            out = [bucket_links(node[a:b], bits[a:b], most) for a, b in zip(starts[:upto].tolist(), ends[:upto].tolist(), strict=True) if b - a > 1]
+            out = [linked(node[a:b], bits[a:b], most) for a, b in zip(starts[:upto].tolist(), ends[:upto].tolist(), strict=True) if b - a > 1]
             rest = len(key) if batch is None else starts[-1]
             held = [h[rest:] for h in held]
             links = np.concatenate([np.empty((0, 2), np.int64), *out])
@@ -327,39 +327,78 @@ def _majorities(h: np.ndarray, seeds: int) -> list[int]:
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.int64).reshape(-1).tolist()
 
 
-def sketch(text: str | None, width: int, tables: int) -> tuple[list[int], list[int]]:
-    """The wide fingerprint of the set of shingles, and ``tables`` fingerprints of the set of words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the different shingles, ascending; a text of fewer words is one shingle."""
     if not words:
-        return [0] * WIDE, [0] * tables
+        return np.empty(0, np.uint64)
     hashed = xxhash.xxh64_intdigest
-    single = set(words)
-    h1 = np.fromiter((hashed(w, SEED) for w in single), np.uint64, len(single))
     joined = b" ".join(words)
     if len(words) <= width:
-        h = np.array([hashed(joined, SEED)], np.uint64)
-    else:
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(length + 1) - 1
-        start = (end - length)[: len(words) - width + 1].tolist()
-        h = np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)), np.uint64, len(start)))
-    return _majorities(h, WIDE), _majorities(h1, tables)
-
+        return np.array([hashed(joined, SEED)], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(length + 1) - 1
+    start = (end - length)[: len(words) - width + 1].tolist()
+    return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)), np.uint64, len(start)))
 
-def _sketches(docs: DataFrame, width: int, tables: int) -> DataFrame:
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sketch(x.as_py(), width, tables) for x in batch.column(1)]
-        wide = [pa.array([w[k] for w, _ in found], pa.int64()) for k in range(WIDE)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *wide, pa.array([t for _, t in found], pa.list_(pa.int64()))], names=["id", *(f"w{k}" for k in range(WIDE)), "tables"])
 
-    return per_batch(docs, go, "id long, " + "".join(f"w{k} long, " for k in range(WIDE)) + "tables array<long>", by=1)
+def sketch(words: list[bytes], shingles: np.ndarray, tables: int) -> tuple[list[int], list[int]]:
+    """The wide fingerprint of the set of shingles, and ``tables`` fingerprints of the set of words."""
+    if not words:
+        return [0] * WIDE, [0] * tables
+    single = set(words)
+    h1 = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in single), np.uint64, len(single))
+    return _majorities(shingles, WIDE), _majorities(h1, tables)
 
 
 _WIDE = [f"w{k}" for k in range(WIDE)]
+#: Tells texts apart; a null text counts as empty.
+_HASHED = "xxhash64(coalesce(text, '')) h"
+
 
+def _sketches(rows: DataFrame, width: int, tables: int) -> DataFrame:
+    """``id, h, node, w0, ..., tables`` for each row; rows of one ``node`` have one set of shingles."""
+
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, wide, keyed = [], [], []
+        for x in batch.column(1):
+            words = _words(x.as_py())
+            shingles = shingle_set(words, width)
+            w, t = sketch(words, shingles, tables)
+            node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+            wide.append(w)
+            keyed.append(t)
+        cols = [pa.array([w[k] for w in wide], pa.int64()) for k in range(WIDE)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), *cols, pa.array(keyed, pa.list_(pa.int64()))], names=["id", "h", "node", *_WIDE, "tables"])
+
+    return per_batch(rows.selectExpr("id", "text", _HASHED), go, "id long, h long, node long, " + "".join(f"{w} long, " for w in _WIDE) + "tables array<long>", by=1)
+
+
+def near_pairs(node: np.ndarray, held: np.ndarray, most: int, tile: int = 64) -> np.ndarray:
+    """``(a, b)``: each node with the first one of another group within ``most`` bits; ``held`` are rows of a group and words of a fingerprint."""
+    c, x = held[:, 0], held[:, 1:].view(np.uint64)
+    out = [np.empty((0, 2), np.int64)]
+    for a in range(0, len(node), tile):
+        apart = sum(np.bitwise_count(x[a : a + tile, None, k] ^ x[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
+        near = (apart <= most) & (c[a : a + tile, None] != c[None, :])
+        i = np.nonzero(near.any(axis=1))[0]
+        out.append(np.stack([node[i + a], node[near[i].argmax(axis=1)]], axis=1))
+    return np.concatenate(out)
+
+
+def _blocks(members: DataFrame, bucket: int) -> DataFrame:
+    """``members(key, n, ...)`` with blocks of crowded buckets meeting two by two; a bucket that is not crowded is one block."""
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    met = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    return met.withColumn("key", key)
 
-def _table_links(nodes: DataFrame, first: int, last: int, most: int, bucket: int) -> DataFrame:
-    """Links between the groups ``c`` of ``nodes(node, c, w0, ..., tables)`` through some of the tables.
+
+def _table_pairs(nodes: DataFrame, first: int, last: int, most: int, bucket: int) -> DataFrame:
+    """Candidate pairs of different groups ``c`` of ``nodes(node, c, w0, ..., tables)`` through some of the tables.
 
     Buckets whose members all have one group are left out before any row is compared.
     """
@@ -378,39 +417,66 @@ def _table_links(nodes: DataFrame, first: int, last: int, most: int, bucket: int
     keyed = per_batch(nodes.select("node", "c", "tables"), go, "key long, node long, c long", rows=_KEYED)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "n")
     members = keyed.join(shared, "key").join(nodes.select("node", *_WIDE), "node")
-    # Blocks of crowded buckets meet two by two; a bucket that is not crowded is one block.
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    met = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    found = _within(met.select(key.alias("key"), F.col("c").alias("node"), *_WIDE).repartition("key").sortWithinPartitions("key", "node"), most)
-    return contracted(found)
+    met = _blocks(members, bucket).select("key", "node", "c", *_WIDE)
+    return _within(met.repartition("key").sortWithinPartitions("key", "node"), most, near_pairs)
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of ``least`` or more; cut off."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h"), "node"), "simhash-wanted")
+    texts = rows.selectExpr("text", _HASHED).join(wanted, "h").select("node", "text").dropDuplicates(["node"])
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(_words(x.as_py()), width).tobytes() for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = cut(per_batch(texts, of, "node long, shingles binary", by=1), "simhash-sets")
+    of_a, of_b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
+    out = cut(per_batch(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b"), go, "a long, b long", by=3), "simhash-confirmed")
+    uncut(pairs, wanted, sets)
+    return out
+
+
+def _grouped(folded: DataFrame, found: DataFrame) -> DataFrame:
+    """``folded`` with the component ``c`` that the links ``found`` give each node; cut off."""
+    reach = components(found)
+    return cut(folded.join(reach, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "simhash-groups")
 
 
 def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8, bucket: int = 4096) -> DataFrame:
     """``id, component_id`` for each of ``rows(id, text)``: texts whose similarity is ``least`` or more are linked.
 
-    The similarity of two texts is the share of agreeing bits of their wide
-    SimHash fingerprints (256 bits over the set of shingles of ``width`` words):
-    one half for unrelated texts, 0.85 on average where the Jaccard similarity
-    of the shingle sets is 0.8. Links are found through Golay keys of
-    fingerprints of the set of words, which edits move far less than those of
-    shingles; with eight such fingerprints, nearly all pairs of Jaccard
-    similarity 0.8 or more of the test tables share a key. Candidates are
-    compared in numpy, and no pair leaves a bucket but those of a spanning
-    forest. Two tables come first; what they join into one group is not
-    compared or joined again by the others, so a large group of copies costs its
-    members, not their keys. Buckets beyond ``bucket`` members are compared
+    The similarity of two texts is the Jaccard similarity of their sets of
+    shingles of ``width`` words; every link is confirmed on the sets themselves.
+    Candidates share a Golay key of one of eight fingerprints of the set of
+    words, which edits move far less than those of shingles, and agree in a share
+    ``least`` of their wide SimHash fingerprints (256 bits over the set of
+    shingles): one half for unrelated texts, 0.85 on average where the Jaccard
+    similarity is 0.8. Candidates are compared in numpy; of a bucket each member
+    leaves with one other at most. Two tables come first; what they join into one
+    group is not compared again by the others, so a large group of copies costs
+    its members, not their keys. Buckets beyond ``bucket`` members are compared
     block by block, each pair of blocks in a turn of its own.
     """
     most = int(WIDE * 64 * (1 - least))
     first = min(2, tables)
-    each = cut(_sketches(rows.select("id", "text"), width, tables).withColumn("node", F.xxhash64(*_WIDE)), "simhash-sketches")
-    folded = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in (*_WIDE, "tables"))), "simhash-nodes")
-    reach = components(_table_links(folded.withColumn("c", F.col("node")), 0, first, most, bucket))
-    grouped = cut(folded.join(reach, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "simhash-groups")
-    uncut(folded)
-    more = components(_table_links(grouped, first, tables, most, bucket)).withColumnRenamed("node", "c")
-    rooted = grouped.select("node", "first_id", "c").join(more, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    each = cut(_sketches(rows, width, tables), "simhash-sketches")
+    folded = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("h", *_WIDE, "tables"))), "simhash-nodes")
+    found = _confirmed(_table_pairs(folded.withColumn("c", F.col("node")), 0, first, most, bucket), folded, rows, width, least)
+    grouped = _grouped(folded, found)
+    found = found.union(_confirmed(_table_pairs(grouped, first, tables, most, bucket), folded, rows, width, least))
+    uncut(grouped)
+    grouped = _grouped(folded, found)
+    rooted = grouped.select("node", "first_id", F.col("c").alias("root"))
     label = rooted.join(_least_ids(rooted), "root").select("node", "component_id")
     return each.join(label, "node").select("id", "component_id")
 

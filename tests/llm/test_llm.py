@@ -187,6 +187,40 @@ def test_similar_texts(spark, docs, nothing):
     assert ids.count(6) == 1 and 7 not in ids and (2 in ids) != (3 in ids) and None in ids
 
 
+def shingles_of(text):
+    words = text.split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard_groups(rows):
+    """Brute force: each id with the least one that links of Jaccard similarity 0.8 reach."""
+    sets = {i: shingles_of(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root
+
+
+def test_links_have_the_similarity(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(200)]
+        copy = list(base)
+        for k in r.sample(range(5, 195), r.randint(4, 9)):
+            copy[k] = word()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    want = jaccard_groups(rows)
+    assert 5 < len(set(want.values())) - 25 < 20
+    got = {x["id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == want
+
+
 # Personal data.
 
 
