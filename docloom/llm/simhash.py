@@ -355,15 +355,58 @@ def sketch(words: list[bytes], shingles: np.ndarray, tables: int) -> tuple[list[
 
 
 _WIDE = [f"w{k}" for k in range(WIDE)]
+#: Words of the parity sketch: a bit for each cell of hashes, set if an odd number of shingles is in it.
+PARITY = 16
+_PARITY = [f"p{k}" for k in range(PARITY)]
+#: Most frequent shingles that are told to all workers; more of them only shorten buckets.
+_HOT = 1 << 16
 #: Tells texts apart; a null text counts as empty.
 _HASHED = "xxhash64(coalesce(text, '')) h"
 
 
-def _sketches(rows: DataFrame, width: int, tables: int) -> DataFrame:
-    """``id, h, node, w0, ..., tables`` for each row; rows of one ``node`` have one set of shingles."""
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Two sets differ in as many shingles at least as their parities do in bits."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in one order of all, the frequent ones (``hot``, ascending) last: sets of similarity ``least`` share one of theirs.
+
+    A set that is similar to another has ``least`` of its shingles in common with
+    it, so of the first of both, one more than the rest of each can miss, one is
+    common. That holds for any order; this one keeps the buckets small.
+    """
+    n = len(shingles)
+    take = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+    rank = np.zeros(n, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        rank = np.where(hot[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, rank))[:take]]
+
+
+def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles met most often in an eighth of the texts, ascending, and how often; they only set an order."""
+
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(_words(x.as_py()), width) for x in batch.column(0)]
+        s, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
+
+    some = rows.selectExpr("text", _HASHED).where("h % 8 = 0").select("text")
+    met = per_batch(some, go, "s long, n long", by=0).groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(_HOT).toArrow()
+    s, n = met.column("s").to_numpy().view(np.uint64), met.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _sketches(rows: DataFrame, width: int, tables: int, least: float) -> DataFrame:
+    """``id, h, node, size, w0, ..., p0, ..., tables, prefix`` for each row; rows of one ``node`` have one set of shingles."""
+    sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width))
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, wide, keyed = [], [], []
+        node, wide, keyed, size, odd, firsts = [], [], [], [], [], []
         for x in batch.column(1):
             words = _words(x.as_py())
             shingles = shingle_set(words, width)
@@ -371,10 +414,14 @@ def _sketches(rows: DataFrame, width: int, tables: int) -> DataFrame:
             node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
             wide.append(w)
             keyed.append(t)
-        cols = [pa.array([w[k] for w in wide], pa.int64()) for k in range(WIDE)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), *cols, pa.array(keyed, pa.list_(pa.int64()))], names=["id", "h", "node", *_WIDE, "tables"])
+            size.append(len(shingles))
+            odd.append(parity(shingles))
+            firsts.append(prefix(shingles, *sent.value, least).view(np.int64))
+        cols = [pa.array([w[k] for w in wide], pa.int64()) for k in range(WIDE)] + [pa.array([p[k] for p in odd], pa.int64()) for k in range(PARITY)]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keyed, firsts)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *cols, *lists], names=["id", "h", "node", "size", *_WIDE, *_PARITY, "tables", "prefix"])
 
-    return per_batch(rows.selectExpr("id", "text", _HASHED), go, "id long, h long, node long, " + "".join(f"{w} long, " for w in _WIDE) + "tables array<long>", by=1)
+    return per_batch(rows.selectExpr("id", "text", _HASHED), go, "id long, h long, node long, size long, " + "".join(f"{w} long, " for w in _WIDE + _PARITY) + "tables array<long>, prefix array<long>", by=1)
 
 
 def near_pairs(node: np.ndarray, held: np.ndarray, most: int, tile: int = 64) -> np.ndarray:
@@ -389,6 +436,63 @@ def near_pairs(node: np.ndarray, held: np.ndarray, most: int, tile: int = 64) ->
     return np.concatenate(out)
 
 
+def set_pairs(node: np.ndarray, held: np.ndarray, least: float, every: bool, tile: int = 64) -> np.ndarray:
+    """``(a, b)`` of different groups whose sets can have the similarity ``least``: all, or for each node the first one.
+
+    ``held`` are rows of a group, the size of the set and its parity. Sets of that
+    similarity differ in ``(1 - least) / (1 + least)`` of their sizes' sum at most.
+    """
+    c, size, x = held[:, 0], held[:, 1], held[:, 2:].view(np.uint64)
+    share = (1 - least) / (1 + least)
+    out = [np.empty((0, 2), np.int64)]
+    for a in range(0, len(node), tile):
+        apart = sum(np.bitwise_count(x[a : a + tile, None, k] ^ x[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
+        mine = size[a : a + tile, None]
+        # What the sizes differ in is the least that the sets can.
+        near = (np.maximum(apart, np.abs(mine - size)) <= share * (mine + size) + 1e-9) & (c[a : a + tile, None] != c)
+        if every:
+            i, j = np.nonzero(near & (node[a : a + tile, None] < node))
+        else:
+            i = np.nonzero(near.any(axis=1))[0]
+            j = near[i].argmax(axis=1)
+        out.append(np.stack([node[i + a], node[j]], axis=1))
+    return np.concatenate(out)
+
+
+def _shared(grouped: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``key, node`` of the shingles of ``prefixes(node, prefix)`` that nodes of different groups ``c`` have; cut off."""
+    keyed = prefixes.join(grouped.select("node", "c"), "node").select(F.explode("prefix").alias("key"), "node", "c")
+    on_workers(grouped.sparkSession)
+
+    def go(batches):
+        held = [np.empty(0, np.int64)] * 3
+        for batch in _ended(batches):
+            if batch is not None:
+                held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            key, node, c = held
+            if not len(key):
+                continue
+            starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+            rest = len(key) if batch is None else starts[-1]  # the last bucket may go on
+            if rest:
+                starts = starts[starts < rest]
+                lo, hi = np.minimum.reduceat(c[:rest], starts), np.maximum.reduceat(c[:rest], starts)
+                n = np.diff(np.r_[starts, rest])
+                keep = np.repeat(lo != hi, n)
+                yield pa.RecordBatch.from_arrays([pa.array(key[:rest][keep]), pa.array(node[:rest][keep]), pa.array(np.repeat(n, n)[keep])], names=["key", "node", "n"])
+            held = [h[rest:] for h in held]
+        release()
+
+    return cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(go, "key long, node long, n long"), "simhash-shared")
+
+
+def _set_pairs(shared: DataFrame, grouped: DataFrame, least: float, every: bool, bucket: int) -> DataFrame:
+    """Candidate pairs of different groups that have a key of :func:`_shared`, by :func:`set_pairs`."""
+    columns = ["c", "size", *_PARITY]
+    met = _blocks(shared, bucket).join(grouped.select("node", *columns), "node").select("key", "node", *columns)
+    return _within(met.repartition("key").sortWithinPartitions("key", "node"), least, lambda node, held, least: set_pairs(node, held, least, every))
+
+
 def _blocks(members: DataFrame, bucket: int) -> DataFrame:
     """``members(key, n, ...)`` with blocks of crowded buckets meeting two by two; a bucket that is not crowded is one block."""
     blocks = F.ceil(F.col("n") / bucket).cast("int")
@@ -457,25 +561,36 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8
 
     The similarity of two texts is the Jaccard similarity of their sets of
     shingles of ``width`` words; every link is confirmed on the sets themselves.
-    Candidates share a Golay key of one of eight fingerprints of the set of
+    The first candidates share a Golay key of one of eight fingerprints of the set of
     words, which edits move far less than those of shingles, and agree in a share
     ``least`` of their wide SimHash fingerprints (256 bits over the set of
     shingles): one half for unrelated texts, 0.85 on average where the Jaccard
     similarity is 0.8. Candidates are compared in numpy; of a bucket each member
-    leaves with one other at most. Two tables come first; what they join into one
+    leaves with one other at most. The search is completed by the shingles
+    themselves: sets of that similarity have one in common among the rarest fifth
+    of each (:func:`prefix`). Of such pairs that are not in one group by then,
+    those that sizes and parities allow are compared, first one for each member,
+    then all, so that no link is missed. Two tables come first; what they join into one
     group is not compared again by the others, so a large group of copies costs
     its members, not their keys. Buckets beyond ``bucket`` members are compared
     block by block, each pair of blocks in a turn of its own.
     """
     most = int(WIDE * 64 * (1 - least))
     first = min(2, tables)
-    each = cut(_sketches(rows, width, tables), "simhash-sketches")
-    folded = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("h", *_WIDE, "tables"))), "simhash-nodes")
+    each = cut(_sketches(rows, width, tables, least), "simhash-sketches")
+    folded = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("h", "size", *_WIDE, *_PARITY, "tables"))), "simhash-nodes")
     found = _confirmed(_table_pairs(folded.withColumn("c", F.col("node")), 0, first, most, bucket), folded, rows, width, least)
     grouped = _grouped(folded, found)
     found = found.union(_confirmed(_table_pairs(grouped, first, tables, most, bucket), folded, rows, width, least))
     uncut(grouped)
     grouped = _grouped(folded, found)
+    prefixes = each.join(folded.select("node", "h"), ["node", "h"]).select("node", "prefix").dropDuplicates(["node"])
+    shared = _shared(grouped, prefixes)
+    for every in (False, True):
+        found = found.union(_confirmed(_set_pairs(shared, grouped, least, every, bucket), folded, rows, width, least))
+        uncut(grouped)
+        grouped = _grouped(folded, found)
+    uncut(shared, folded)
     rooted = grouped.select("node", "first_id", F.col("c").alias("root"))
     label = rooted.join(_least_ids(rooted), "root").select("node", "component_id")
     return each.join(label, "node").select("id", "component_id")

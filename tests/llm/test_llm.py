@@ -221,6 +221,21 @@ def test_links_have_the_similarity(spark):
     assert got == want
 
 
+def test_all_links_are_found(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    common = [word() for _ in range(60)]
+    rows = [(0, "a b"), (1, "a b"), (2, "a b c"), (3, "")]
+    for k in range(60):
+        base = [word() for _ in range(r.randint(60, 300))] + common
+        more = [word() for _ in range(len(base) * r.randint(12, 30) // 100)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join((base + more, more + base, base[len(more) :])[k % 3]))]
+    want = jaccard_groups(rows)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    for bucket in (4096, 5):
+        assert {x["id"]: x["component_id"] for x in simhash.similar(df, bucket=bucket).collect()} == want
+
+
 # Personal data.
 
 
