@@ -1,26 +1,26 @@
 """Information-theoretic sanitisation: personal data, and the terms around it that give it away.
 
 Base spans are e-mail and IP addresses, card and telephone numbers, found by
-pattern. Each value is a protected entity. Words near a mention are terms; the
-corpus tells how much a term reveals of an entity. With probabilities counted in
-documents, the pointwise mutual information
+pattern. Each value is a protected entity. The words of a document outside its
+mentions are terms; the corpus tells how much a term reveals of an entity. With
+probabilities counted in documents, the pointwise mutual information
 
-    PMI(e, t) = log2( p(e, t) / (p(e) p(t)) ),   p(e, t): t near a mention of e,
+    PMI(e, t) = log2( p(e, t) / (p(e) p(t)) ),   p(e, t): t in a document of e,
 
 divided by the information IC(e) = -log2 p(e) is the share of the entity's
 information that the term discloses: 1 if the term never occurs without it.
 Terms at ``generalise`` or more, seen with the entity in ``support`` documents at
-least, are spans too; in sanitised text they become a placeholder, and from
-``remove`` on they go altogether.
+least, are spans wherever they occur, in texts without a mention too; in
+sanitised text they become a placeholder, and from ``remove`` on they go altogether.
 
-Counts cover the whole corpus. Co-occurrences are counted near mentions only, so
-their number follows the mentions. Document counts of terms are needed only
-for terms that some entity meets ``support`` times: a bit table of fixed size
-screens words before they are counted, and the exact join afterwards leaves no
-false ones. Pairs and terms are aggregated before they are shuffled.
+Counts cover the whole corpus. Pairs are made only for entities of ``support``
+documents. Document counts of terms are needed only for terms that some entity
+meets ``support`` times: a bit table of fixed size screens words before they are
+counted, and the exact join afterwards leaves no false ones. Pairs and terms are
+aggregated before they are shuffled. The disclosing terms are sent to the workers.
 
 Defined cases: a null text counts as empty and has no spans; rows with equal or
-null ids are kept apart by a row number; a text that is nothing but a number or
+null ids are separate documents; a text that is nothing but a number or
 has no words has base spans only; an empty table gives an empty result; other
 columns pass through :func:`sanitise` untouched.
 """
@@ -37,7 +37,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm.common import cut, on_workers, parts, per_batch, uncut
 
@@ -58,9 +57,6 @@ SCREEN_BITS = 1 << 23
 
 @dataclass(frozen=True)
 class Limits:
-    """``window``: characters on each side of a mention whose whole words are its terms."""
-
-    window: int = 80
     support: int = 3
     generalise: float = 0.6
     remove: float = 0.9
@@ -116,9 +112,8 @@ def _key(s: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Places of the terms near mentions, by entity and term."""
-    found: dict[tuple[int, int], set] = {}
+def places(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """Places of the words that lie in no mention; what touches a mention is part of it."""
     covered: list[list[int]] = []  # mentions, those that touch as one
     for a, _, b, _ in spans:
         if covered and a <= covered[-1][1]:
@@ -126,73 +121,36 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) ->
         else:
             covered.append([a, b])
     starts = [a for a, _ in covered]
-    for a, kind, b, value in spans:
-        e = _key(f"{KINDS[kind]}:{value}")
-        for lo, hi in ((a - window, a), (b, b + window)):
-            lo, hi = max(lo, 0), min(hi, len(text))
-            for m in _WORD.finditer(text, lo, hi):
-                s, f = m.span()
-                # Words that the window cuts, and those inside another mention, are no terms.
-                if (s == lo and s and text[s - 1].isalpha()) or (f == hi and f < len(text) and text[f].isalpha()):
-                    continue
-                k = bisect_left(starts, f) - 1
-                if k >= 0 and covered[k][1] > s:
-                    continue
-                found.setdefault((e, _key(m[0].lower())), set()).add((s, f))
-    return {k: sorted(v) for k, v in found.items()}
-
+    out = []
+    for m in _WORD.finditer(text):
+        k = bisect_left(starts, m.end()) - 1
+        if k < 0 or covered[k][1] <= m.start():
+            out.append(m.span())
+    return out
 
-def listed(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
+def entities(spans: list[tuple[int, int, int, str]]) -> set[int]:
+    return {_key(f"{KINDS[kind]}:{value}") for _, kind, _, value in spans}
 
-_PLACE = T.StructType([T.StructField("s", T.LongType()), T.StructField("f", T.LongType())])
-_FOUND = T.StructType(
-    [
-        *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]),
-        T.StructField("base", T.StringType()),
-        T.StructField("base_sha256", T.StringType()),
-        T.StructField("entities", T.ArrayType(T.LongType())),
-        T.StructField("near", T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("t", T.LongType()), T.StructField("at", T.ArrayType(_PLACE))]))),
-    ]
-)
 
+def listed(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
-def scan(docs: DataFrame, limits: Limits, whole: bool) -> DataFrame:
-    """``row, doc_id, found``, and with ``whole`` the rows themselves as ``doc``; cut off from what came before."""
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", _FOUND)])
-    if whole:
-        columns.append(F.struct("*").alias("doc"))
-        schema.add("doc", docs.schema)
-    into = T.StructType([schema["found"]])
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    kind = to_arrow_schema(into).field("found").type
+def scan(docs: DataFrame) -> DataFrame:
+    """``es, ts``: entities and terms of each row that has mentions; cut off from what came before."""
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for x in batch.column(1):
+        es, ts = [], []
+        for x in batch.column(0):
             text = x.as_py() or ""
-            spans = base_spans(text)
-            base = listed([s[:3] for s in spans])
-            near = contexts(text, spans, limits.window) if spans else {}
-            count = [0] * 4
-            for s in spans:
-                count[s[1]] += 1
-            rows.append(
-                {
-                    **{f"n_{k}": n for k, n in zip(KINDS, count, strict=False)},
-                    "base": base,
-                    "base_sha256": hashlib.sha256(base.encode()).hexdigest(),
-                    "entities": sorted({_key(f"{KINDS[s[1]]}:{s[3]}") for s in spans}),
-                    "near": [{"e": e, "t": t, "at": [{"s": s, "f": f} for s, f in at]} for (e, t), at in near.items()],
-                }
-            )
-        cols = [batch.column(0), pa.array(rows, kind)]
-        return pa.RecordBatch.from_arrays([*cols, batch.column(2)] if whole else cols, names=schema.names)
+            if spans := base_spans(text):
+                es.append(sorted(entities(spans)))
+                ts.append([_key(w) for w in {text[s:f].lower() for s, f in places(text, spans)}])
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(es, longs), pa.array(ts, longs)], names=["es", "ts"])
 
-    return cut(per_batch(docs.select(columns), go, schema, by=1).withColumn("row", F.monotonically_increasing_id()), "privacy-scan")
+    return cut(per_batch(docs.select("text"), go, "es array<long>, ts array<long>", by=0), "privacy-scan")
 
 
 def screen_of(terms: DataFrame) -> bytes:
@@ -229,62 +187,76 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(go, "t long, n long").groupBy("t").agg(F.sum("n").alias("df")).join(terms, "t", "left_semi")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, limits: Limits) -> DataFrame:
+def disclosures(docs: DataFrame, limits: Limits) -> DataFrame:
     """``e, t, share``: pairs whose term discloses that share of the entity, ``generalise`` or more."""
-    near = scanned.select(F.explode("found.near").alias("x")).select("x.e", "x.t")
-    met = cut(near.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= limits.support), "privacy-pairs")
+    scanned = scan(docs)
+    met_in = cut(scanned.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= limits.support), "privacy-entities")
+    # Entities of too few documents have no term; they are left out before any pair is made.
+    each = scanned.select(F.explode("es").alias("e"), "ts").join(met_in.select("e"), "e")
+    met = cut(each.select("e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= limits.support), "privacy-pairs")
     df_t = term_counts(docs, met.select("t").distinct())
-    df_e = scanned.select(F.explode("found.entities").alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
-    n = scanned.count()
+    n = docs.count()
     pmi = F.log2(F.col("both") * F.lit(float(max(n, 1))) / (F.col("df_e") * F.col("df")))
     # An entity of every document has no information to disclose.
     share = F.when(F.col("df_e") < n, pmi / -F.log2(F.col("df_e") / F.lit(float(max(n, 1))))).otherwise(0.0)
-    out = cut(met.join(df_t, "t").join(df_e, "e").select("e", "t", share.alias("share")).where(F.col("share") >= limits.generalise), "privacy-terms")
-    uncut(met)
+    out = cut(met.join(df_t, "t").join(met_in, "e").select("e", "t", share.alias("share")).where(F.col("share") >= limits.generalise), "privacy-terms")
+    uncut(scanned, met_in, met)
     return out
 
 
-def _term_spans(scanned: DataFrame, told: DataFrame) -> DataFrame:
-    """``row, terms``: of each row that has any, its spans of terms and the share that they disclose."""
-    at = scanned.select("row", F.explode("found.near").alias("x")).select("row", "x.e", "x.t", "x.at").join(told, ["e", "t"])
-    each = at.select("row", "share", F.explode("at").alias("p")).groupBy("row", "p.s", "p.f").agg(F.max("share").alias("share"))
-    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "f", "share"))).alias("terms"))
-
+def _told(docs: DataFrame, limits: Limits):
+    """Broadcast terms, ascending, and the most that each discloses of any entity."""
+    got = disclosures(docs, limits)
+    # A row for each term that discloses something: a small part of the vocabulary.
+    terms = got.groupBy("t").agg(F.max("share").alias("share")).toArrow()
+    uncut(got)
+    t, share = terms.column("t").to_numpy(), terms.column("share").to_numpy()
+    order = np.argsort(t)
+    return docs.sparkSession.sparkContext.broadcast((t[order], share[order]))
 
-def _with_terms(docs: DataFrame, limits: Limits, whole: bool) -> DataFrame:
-    scanned = scan(docs, limits, whole)
-    told = disclosures(docs, scanned, limits)
-    return scanned.join(_term_spans(scanned, told), "row", "left")
 
+def term_places(text: str, spans: list[tuple[int, int, int, str]], t: np.ndarray, share: np.ndarray) -> list[tuple[int, int, float]]:
+    """``(start, end, share)`` of every occurrence of the terms ``t`` outside mentions."""
+    words = {w for piece in set(text.lower().split()) for w in ([piece] if piece.isalpha() and len(piece) > 2 else _WORD.findall(piece))} if len(t) else ()
+    if not words:
+        return []
+    words = list(words)
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+    at = np.minimum(np.searchsorted(t, h), len(t) - 1)
+    said = {words[i]: float(share[at[i]]) for i in np.nonzero(t[at] == h)[0]}
+    if not said:
+        return []
+    return [(s, f, said[w]) for s, f in places(text, spans) if (w := text[s:f].lower()) in said]
 
 
 def private_spans(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: counts, a digest of the base spans, and all spans."""
-    found = _with_terms(docs, limits or Limits(), False)
-    parts = F.expr(
-        "array_sort(concat("
-        "transform(filter(split(found.base, ','), x -> x <> ''), x -> named_struct('s', cast(split(x, ':')[1] as long), 'k', "
-        + "array_position(array('" + "','".join(KINDS) + "'), split(x, ':')[0])"
-        + ", 'x', x)),"
-        "transform(coalesce(terms, array()), t -> named_struct('s', t.s, 'k', cast(5 as long), 'x', concat('term:', t.s, ':', t.f)))))"
-    )
-    return found.select(
-        "doc_id",
-        *(F.col(f"found.n_{k}").alias(f"n_{k}") for k in KINDS[:4]),
-        F.col("found.base_sha256").alias("base_sha256"),
-        F.array_join(F.transform(parts, lambda p: p["x"]), ",").alias("spans"),
-        F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"),
-    )
-
-
-def sanitised(text: str, base: str, terms: list | None, limits: Limits) -> str:
+    sent = _told(docs, limits or Limits())
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_term"]
+
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for x in batch.column(1):
+            text = x.as_py() or ""
+            spans = base_spans(text)
+            base = [s[:3] for s in spans]
+            terms = term_places(text, spans, *sent.value)
+            count = [0] * 4
+            for s in spans:
+                count[s[1]] += 1
+            rows.append((*count, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + [(s, 4, f) for s, f, _ in terms]), len(terms)))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+        cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
+
+    schema = "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS[:4]) + "base_sha256 string, spans string, n_term long"
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), go, schema, by=1)
+
+
+def sanitised(text: str, spans: list[tuple[int, int, int, str]], terms: list[tuple[int, int, float]], limits: Limits) -> str:
     """The text with its spans replaced: personal data by its kind, terms by a placeholder or by nothing."""
-    edits = []
-    for x in base.split(",") if base else ():
-        kind, s, f = x.split(":")
-        edits.append((int(s), int(f), f"[{kind.upper()}]"))
-    for t in terms or ():
-        edits.append((t["s"], t["f"], "" if t["share"] >= limits.remove else "[TERM]"))
+    edits = [(s, f, f"[{KINDS[kind].upper()}]") for s, kind, f, _ in spans]
+    edits += [(s, f, "" if share >= limits.remove else "[TERM]") for s, f, share in terms]
     out, at = [], 0
     for s, f, new in sorted(edits):
         if s >= at:
@@ -297,20 +269,21 @@ def sanitised(text: str, base: str, terms: list | None, limits: Limits) -> str:
 def sanitise(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """``docs`` with personal data and disclosing terms taken out of ``text``; ``n_chars``, if there, follows."""
     limits = limits or Limits()
-    found = _with_terms(docs, limits, True).select("doc.text", "found.base", "terms", "doc")
+    sent = _told(docs, limits)
     names = docs.columns
-    schema = docs.schema
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
         new = []
-        for text, base, terms in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            b, t = base.as_py(), terms.as_py()
-            new.append(sanitised(text.as_py() or "", b, t, limits) if b or t else text.as_py())
-        cols = dict(zip(names, batch.column(3).flatten(), strict=True))
+        for x in batch.column(0):
+            text = x.as_py() or ""
+            spans = base_spans(text)
+            terms = term_places(text, spans, *sent.value)
+            new.append(sanitised(text, spans, terms, limits) if spans or terms else x.as_py())
+        cols = dict(zip(names, batch.column(1).flatten(), strict=True))
         if "n_chars" in cols:
             kind = cols["n_chars"].type
             cols["n_chars"] = pa.array([None if x is None else len(x) for x in new], kind)
         cols["text"] = pa.array(new, cols["text"].type)
         return pa.RecordBatch.from_arrays([cols[k] for k in names], names=names)
 
-    return per_batch(found, go, schema, by=0)
+    return per_batch(docs.select("text", F.struct("*").alias("doc")), go, docs.schema, by=0)

@@ -278,6 +278,16 @@ def test_disclosing_terms(spark, docs, nothing):
     assert privacy.private_spans(docs).count() == len(TEXTS) and privacy.private_spans(nothing).count() == 0
 
 
+def test_terms_far_from_mentions(spark):
+    far = " and the rest" * 20
+    rows = [(i, f"zorblax{far} ann.1@mail.example.com and the rest") for i in range(4)] + [(4, f"Zorblax alone{far}")] + [(i, f"number{far}") for i in range(5, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in privacy.private_spans(df).collect()}
+    assert all(got[i].startswith("term:0:7,email:") for i in range(4)) and got[4] == "term:0:7" and got[5] == ""
+    clean = {x["doc_id"]: x["text"] for x in privacy.sanitise(df).collect()}
+    assert not any("zorblax" in t.lower() for t in clean.values()) and clean[5] == dict(rows)[5]
+
+
 # Byte-level BPE and packing.
 
 
