@@ -1,7 +1,9 @@
 """Information-theoretic sanitisation: personal data, and the terms around it that give it away.
 
 Base spans are e-mail and IP addresses, card and telephone numbers, found by
-pattern. Each value is a protected entity. The words of a document outside its
+pattern. Each value is a protected entity, and so is what it shares with others:
+person and domain of an address, network, issuer, beginning of a number, and the
+kind; most values occur once, and terms are learnt from these groups. The words of a document outside its
 mentions are terms; the corpus tells how much a term reveals of an entity. With
 probabilities counted in documents, the pointwise mutual information
 
@@ -12,6 +14,8 @@ information that the term discloses: 1 if the term never occurs without it.
 Terms at ``generalise`` or more, seen with the entity in ``support`` documents at
 least, are spans wherever they occur, in texts without a mention too; in
 sanitised text they become a placeholder, and from ``remove`` on they go altogether.
+A group is in many documents and meets rare words by chance; there the meetings
+must have a log-likelihood ratio of ``evidence`` (about one in a million by chance).
 
 Counts cover the whole corpus. Pairs are made only for entities of ``support``
 documents. Document counts of terms are needed only for terms that some entity
@@ -57,7 +61,10 @@ SCREEN_BITS = 1 << 23
 
 @dataclass(frozen=True)
 class Limits:
+    """``evidence``: the log-likelihood ratio from which a term and a group of values meet by more than chance."""
+
     support: int = 3
+    evidence: float = 24.0
     generalise: float = 0.6
     remove: float = 0.9
 
@@ -129,8 +136,24 @@ def places(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int,
     return out
 
 
-def entities(spans: list[tuple[int, int, int, str]]) -> set[int]:
-    return {_key(f"{KINDS[kind]}:{value}") for _, kind, _, value in spans}
+def groups(kind: int, value: str) -> list[str]:
+    """What values of one kind have in common: person and domain, network, issuer, the number's beginning; and the kind."""
+    if kind == 0:
+        person, _, domain = value.rpartition("@")
+        out = [f"@{domain}", f"{person}@"]
+    elif kind == 1:
+        out = [".".join(value.split(".")[:k]) + "." for k in (2, 3)]
+    elif kind == 2:
+        out = [value[:6] + "*"]
+    else:
+        out = [value[:4] + "*", value[:-4] + "*"]
+    return ["*", *out]
+
+
+def entities(spans: list[tuple[int, int, int, str]]) -> tuple[set[int], set[int]]:
+    """Of the values themselves, and of the groups that they are in."""
+    each = {(kind, value) for _, kind, _, value in spans}
+    return {_key(f"{KINDS[k]}:{v}") for k, v in each}, {_key(f"{KINDS[k]}:{g}") for k, v in each for g in groups(k, v)}
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -138,19 +161,21 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``es, ts``: entities and terms of each row that has mentions; cut off from what came before."""
+    """``es, gs, ts``: values, their groups and terms of each row that has mentions; cut off from what came before."""
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        es, ts = [], []
+        es, gs, ts = [], [], []
         for x in batch.column(0):
             text = x.as_py() or ""
             if spans := base_spans(text):
-                es.append(sorted(entities(spans)))
+                values, wider = entities(spans)
+                es.append(sorted(values))
+                gs.append(sorted(wider))
                 ts.append([_key(w) for w in {text[s:f].lower() for s, f in places(text, spans)}])
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(es, longs), pa.array(ts, longs)], names=["es", "ts"])
+        return pa.RecordBatch.from_arrays([pa.array(es, longs), pa.array(gs, longs), pa.array(ts, longs)], names=["es", "gs", "ts"])
 
-    return cut(per_batch(docs.select("text"), go, "es array<long>, ts array<long>", by=0), "privacy-scan")
+    return cut(per_batch(docs.select("text"), go, "es array<long>, gs array<long>, ts array<long>", by=0), "privacy-scan")
 
 
 def screen_of(terms: DataFrame) -> bytes:
@@ -190,16 +215,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, limits: Limits) -> DataFrame:
     """``e, t, share``: pairs whose term discloses that share of the entity, ``generalise`` or more."""
     scanned = scan(docs)
-    met_in = cut(scanned.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= limits.support), "privacy-entities")
+    named = F.explode(F.concat(F.transform("es", lambda e: F.struct(e.alias("e"), F.lit(False).alias("wide"))), F.transform("gs", lambda e: F.struct(e.alias("e"), F.lit(True).alias("wide"))))).alias("x")
+    met_in = cut(scanned.select(named).groupBy("x.e", "x.wide").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= limits.support), "privacy-entities")
     # Entities of too few documents have no term; they are left out before any pair is made.
-    each = scanned.select(F.explode("es").alias("e"), "ts").join(met_in.select("e"), "e")
+    each = scanned.select(F.explode(F.concat("es", "gs")).alias("e"), "ts").join(met_in.select("e"), "e")
     met = cut(each.select("e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= limits.support), "privacy-pairs")
     df_t = term_counts(docs, met.select("t").distinct())
     n = docs.count()
     pmi = F.log2(F.col("both") * F.lit(float(max(n, 1))) / (F.col("df_e") * F.col("df")))
     # An entity of every document has no information to disclose.
     share = F.when(F.col("df_e") < n, pmi / -F.log2(F.col("df_e") / F.lit(float(max(n, 1))))).otherwise(0.0)
-    out = cut(met.join(df_t, "t").join(met_in, "e").select("e", "t", share.alias("share")).where(F.col("share") >= limits.generalise), "privacy-terms")
+    # How far a group and a term are from independent: twice the log of the likelihood ratio of their meetings.
+    chance = F.col("df_e") * F.col("df") / F.lit(float(max(n, 1)))
+    sure = 2 * (F.col("both") * F.log(F.col("both") / chance) - F.col("both") + chance) >= limits.evidence
+    told = met.join(df_t, "t").join(met_in, "e").where(~F.col("wide") | sure).select("e", "t", share.alias("share"))
+    out = cut(told.where(F.col("share") >= limits.generalise), "privacy-terms")
     uncut(scanned, met_in, met)
     return out
 

@@ -288,6 +288,15 @@ def test_terms_far_from_mentions(spark):
     assert not any("zorblax" in t.lower() for t in clean.values()) and clean[5] == dict(rows)[5]
 
 
+def test_terms_of_unique_values(spark):
+    rows = [(i, f"common words mailbox{chr(97 + i)} zorblax ann.{i}@mail{i % 2}.example.com") for i in range(12)]
+    rows += [(i, f"common words {'rareword' if i % 50 == 0 else 'other'} here") for i in range(12, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in privacy.private_spans(df).collect()}
+    assert all("term:13:" not in got[i]["spans"] and got[i]["n_term"] == 1 and f"term:{rows[i][1].index('zorblax')}:" in got[i]["spans"] for i in range(12))
+    assert all(got[i]["n_term"] == 0 for i in range(12, 400))
+
+
 # Byte-level BPE and packing.
 
 
