@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker expands at once; bounds a worker's memory whatever a batch holds.
 BLOCK_BYTES = 4 << 20
@@ -104,5 +105,30 @@ def parts(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterat
     release()
 
 
+#: Bits of a screen: a megabyte, whatever the number of rows.
+SCREEN_BITS = 1 << 23
+
+
+def screen_of(df: DataFrame, c: str) -> bytes:
+    """A bit table of fixed size with the bit of every value of the long column ``c`` set."""
+    on = df.select(F.pmod(c, F.lit(SCREEN_BITS)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    table = np.zeros(SCREEN_BITS // 64, np.int64)
+    got = on.toArrow()  # at most SCREEN_BITS / 64 rows
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return table.tobytes()
+
+
+def passes(screen: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the values may be among those that the screen was made of."""
+    bit = h % SCREEN_BITS
+    return screen[bit >> 6] >> (bit & 63) & 1 == 1
+
+
+def screened(df: DataFrame, c: str, screen: bytes) -> DataFrame:
+    """Rows of ``df`` whose value of ``c`` may be among those of the screen; the exact join that follows leaves no others."""
+    sent, i = df.sparkSession.sparkContext.broadcast(screen), df.columns.index(c)
+    return per_batch(df, lambda batch: batch.filter(pa.array(passes(np.frombuffer(sent.value, np.int64), batch.column(i).to_numpy()))), df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

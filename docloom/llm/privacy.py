@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, on_workers, parts, per_batch, uncut
+from docloom.llm.common import cut, on_workers, parts, passes, per_batch, screen_of, uncut
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -55,8 +55,6 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-#: Bits of the screen for terms; it is one megabyte, whatever the corpus.
-SCREEN_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -178,20 +176,11 @@ def scan(docs: DataFrame) -> DataFrame:
     return cut(per_batch(docs.select("text"), go, "es array<long>, gs array<long>, ts array<long>", by=0), "privacy-scan")
 
 
-def screen_of(terms: DataFrame) -> bytes:
-    """A bit table of fixed size with the bit of every ``t`` set."""
-    on = terms.select(F.pmod("t", F.lit(SCREEN_BITS)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    table = np.zeros(SCREEN_BITS // 64, np.int64)
-    got = on.toArrow()  # at most SCREEN_BITS / 64 rows
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return table.tobytes()
-
-
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``t, df``: in how many rows of ``docs`` each term of ``terms(t)`` occurs."""
     spark = docs.sparkSession
     on_workers(spark)
-    sent = spark.sparkContext.broadcast(screen_of(terms))
+    sent = spark.sparkContext.broadcast(screen_of(terms, "t"))
 
     def go(batches):
         bits = np.frombuffer(sent.value, np.int64)
@@ -202,8 +191,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 if not words:
                     continue
                 h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
-                bit = h % SCREEN_BITS
-                out.append(h[bits[bit >> 6] >> (bit & 63) & 1 == 1])
+                out.append(h[passes(bits, h)])
             if out:
                 # One row for each term and batch.
                 t, n = np.unique(np.concatenate(out), return_counts=True)

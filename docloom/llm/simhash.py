@@ -219,6 +219,12 @@ def _meeting(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("at").alias("a"), F.array_min("at").alias("b")).where("a <> b").distinct()
 
 
+def _neighbours(fps: DataFrame, most: int) -> DataFrame:
+    """Links at one bit, or none, among ``fps(fp)``: each is looked for at the places one bit away."""
+    flips = F.explode(F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))"))
+    return fps.select(F.col("fp").alias("a"), flips.alias("b")).join(fps.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b").where(F.lit(most == 1))
+
+
 def links(fps: DataFrame, most: int = 2, bucket: int = 2048) -> DataFrame:
     """``(a, b)`` rows that connect exactly the distinct fingerprints of ``fps(fp)`` that links reach.
 
@@ -231,10 +237,7 @@ def links(fps: DataFrame, most: int = 2, bucket: int = 2048) -> DataFrame:
     members = cut(keyed.join(shared, "key"), "simhash-buckets")
     near = _within(members.where(F.col("n") <= bucket).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0")).repartition("key").sortWithinPartitions("key", "node"), most)
     crowded = members.where(F.col("n") > bucket).select("fp").distinct()
-    if most == 2:
-        far = _meeting(crowded)
-    else:
-        far = _meeting(crowded).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
+    far = _meeting(crowded) if most == 2 else _neighbours(crowded, most)
     out = cut(contracted(near.union(far)), "simhash-links")
     uncut(members)
     return out
@@ -300,316 +303,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 2, bucket: int
     least = _least_ids(rooted)
     labelled = rooted.join(least, "root").select("fp", "component_id", "copies")
     return each.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
-
-
-# Similar texts, beyond a few bits.
-
-#: Words of the wide fingerprint.
-WIDE = 4
-_GOLDEN = 0x9E3779B97F4A7C15
-
-
-def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Another 64-bit hash from each of ``h``, one family for each seed."""
-    z = h + np.uint64(_GOLDEN * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def _majorities(h: np.ndarray, seeds: int) -> list[int]:
-    """A fingerprint of the distinct hashes ``h`` for each seed."""
-    ones = np.zeros((seeds, 64), np.int64)
-    for k in range(0, len(h), _RUN):
-        for s in range(seeds):
-            bits = np.unpackbits(_mixed(h[k : k + _RUN], s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[s] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.int64).reshape(-1).tolist()
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    """Hashes of the different shingles, ascending; a text of fewer words is one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([hashed(joined, SEED)], np.uint64)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(length + 1) - 1
-    start = (end - length)[: len(words) - width + 1].tolist()
-    return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)), np.uint64, len(start)))
-
-
-def sketch(words: list[bytes], shingles: np.ndarray, tables: int) -> tuple[list[int], list[int]]:
-    """The wide fingerprint of the set of shingles, and ``tables`` fingerprints of the set of words."""
-    if not words:
-        return [0] * WIDE, [0] * tables
-    single = set(words)
-    h1 = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in single), np.uint64, len(single))
-    return _majorities(shingles, WIDE), _majorities(h1, tables)
-
-
-_WIDE = [f"w{k}" for k in range(WIDE)]
-#: Words of the parity sketch: a bit for each cell of hashes, set if an odd number of shingles is in it.
-PARITY = 16
-_PARITY = [f"p{k}" for k in range(PARITY)]
-#: Most frequent shingles that are told to all workers; more of them only shorten buckets.
-_HOT = 1 << 16
-#: Tells texts apart; a null text counts as empty.
-_HASHED = "xxhash64(coalesce(text, '')) h"
-
-
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """Two sets differ in as many shingles at least as their parities do in bits."""
-    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def prefix(shingles: np.ndarray, hot: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles in one order of all, the frequent ones (``hot``, ascending) last: sets of similarity ``least`` share one of theirs.
-
-    A set that is similar to another has ``least`` of its shingles in common with
-    it, so of the first of both, one more than the rest of each can miss, one is
-    common. That holds for any order; this one keeps the buckets small.
-    """
-    n = len(shingles)
-    take = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
-    rank = np.zeros(n, np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        rank = np.where(hot[at] == shingles, often[at], 0)
-    return shingles[np.lexsort((shingles, rank))[:take]]
-
-
-def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles met most often in an eighth of the texts, ascending, and how often; they only set an order."""
-
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(_words(x.as_py()), width) for x in batch.column(0)]
-        s, n = np.unique(np.concatenate(sets), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
-
-    some = rows.selectExpr("text", _HASHED).where("h % 8 = 0").select("text")
-    met = per_batch(some, go, "s long, n long", by=0).groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(_HOT).toArrow()
-    s, n = met.column("s").to_numpy().view(np.uint64), met.column("n").to_numpy()
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def _sketches(rows: DataFrame, width: int, tables: int, least: float) -> DataFrame:
-    """``id, h, node, size, w0, ..., p0, ..., tables, prefix`` for each row; rows of one ``node`` have one set of shingles."""
-    sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width))
-
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, wide, keyed, size, odd, firsts = [], [], [], [], [], []
-        for x in batch.column(1):
-            words = _words(x.as_py())
-            shingles = shingle_set(words, width)
-            w, t = sketch(words, shingles, tables)
-            node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
-            wide.append(w)
-            keyed.append(t)
-            size.append(len(shingles))
-            odd.append(parity(shingles))
-            firsts.append(prefix(shingles, *sent.value, least).view(np.int64))
-        cols = [pa.array([w[k] for w in wide], pa.int64()) for k in range(WIDE)] + [pa.array([p[k] for p in odd], pa.int64()) for k in range(PARITY)]
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keyed, firsts)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *cols, *lists], names=["id", "h", "node", "size", *_WIDE, *_PARITY, "tables", "prefix"])
-
-    return per_batch(rows.selectExpr("id", "text", _HASHED), go, "id long, h long, node long, size long, " + "".join(f"{w} long, " for w in _WIDE + _PARITY) + "tables array<long>, prefix array<long>", by=1)
-
-
-def near_pairs(node: np.ndarray, held: np.ndarray, most: int, tile: int = 64) -> np.ndarray:
-    """``(a, b)``: each node with the first one of another group within ``most`` bits; ``held`` are rows of a group and words of a fingerprint."""
-    c, x = held[:, 0], held[:, 1:].view(np.uint64)
-    out = [np.empty((0, 2), np.int64)]
-    for a in range(0, len(node), tile):
-        apart = sum(np.bitwise_count(x[a : a + tile, None, k] ^ x[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
-        near = (apart <= most) & (c[a : a + tile, None] != c[None, :])
-        i = np.nonzero(near.any(axis=1))[0]
-        out.append(np.stack([node[i + a], node[near[i].argmax(axis=1)]], axis=1))
-    return np.concatenate(out)
-
-
-def set_pairs(node: np.ndarray, held: np.ndarray, least: float, every: bool, tile: int = 64) -> np.ndarray:
-    """``(a, b)`` of different groups whose sets can have the similarity ``least``: all, or for each node the first one.
-
-    ``held`` are rows of a group, the size of the set and its parity. Sets of that
-    similarity differ in ``(1 - least) / (1 + least)`` of their sizes' sum at most.
-    """
-    c, size, x = held[:, 0], held[:, 1], held[:, 2:].view(np.uint64)
-    share = (1 - least) / (1 + least)
-    out = [np.empty((0, 2), np.int64)]
-    for a in range(0, len(node), tile):
-        apart = sum(np.bitwise_count(x[a : a + tile, None, k] ^ x[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
-        mine = size[a : a + tile, None]
-        # What the sizes differ in is the least that the sets can.
-        near = (np.maximum(apart, np.abs(mine - size)) <= share * (mine + size) + 1e-9) & (c[a : a + tile, None] != c)
-        if every:
-            i, j = np.nonzero(near & (node[a : a + tile, None] < node))
-        else:
-            i = np.nonzero(near.any(axis=1))[0]
-            j = near[i].argmax(axis=1)
-        out.append(np.stack([node[i + a], node[j]], axis=1))
-    return np.concatenate(out)
-
-
-def _shared(grouped: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``key, node`` of the shingles of ``prefixes(node, prefix)`` that nodes of different groups ``c`` have; cut off."""
-    keyed = prefixes.join(grouped.select("node", "c"), "node").select(F.explode("prefix").alias("key"), "node", "c")
-    on_workers(grouped.sparkSession)
-
-    def go(batches):
-        held = [np.empty(0, np.int64)] * 3
-        for batch in _ended(batches):
-            if batch is not None:
-                held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            key, node, c = held
-            if not len(key):
-                continue
-            starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-            rest = len(key) if batch is None else starts[-1]  # the last bucket may go on
-            if rest:
-                starts = starts[starts < rest]
-                lo, hi = np.minimum.reduceat(c[:rest], starts), np.maximum.reduceat(c[:rest], starts)
-                n = np.diff(np.r_[starts, rest])
-                keep = np.repeat(lo != hi, n)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:rest][keep]), pa.array(node[:rest][keep]), pa.array(np.repeat(n, n)[keep])], names=["key", "node", "n"])
-            held = [h[rest:] for h in held]
-        release()
-
-    return cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(go, "key long, node long, n long"), "simhash-shared")
-
-
-def _set_pairs(shared: DataFrame, grouped: DataFrame, least: float, every: bool, bucket: int) -> DataFrame:
-    """Candidate pairs of different groups that have a key of :func:`_shared`, by :func:`set_pairs`."""
-    columns = ["c", "size", *_PARITY]
-    met = _blocks(shared, bucket).join(grouped.select("node", *columns), "node").select("key", "node", *columns)
-    return _within(met.repartition("key").sortWithinPartitions("key", "node"), least, lambda node, held, least: set_pairs(node, held, least, every))
-
-
-def _blocks(members: DataFrame, bucket: int) -> DataFrame:
-    """``members(key, n, ...)`` with blocks of crowded buckets meeting two by two; a bucket that is not crowded is one block."""
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    met = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    return met.withColumn("key", key)
-
-
-def _table_pairs(nodes: DataFrame, first: int, last: int, most: int, bucket: int) -> DataFrame:
-    """Candidate pairs of different groups ``c`` of ``nodes(node, c, w0, ..., tables)`` through some of the tables.
-
-    Buckets whose members all have one group are left out before any row is compared.
-    """
-
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, c = (batch.column(k).to_numpy() for k in (0, 1))
-        fps = np.stack([np.asarray(x.as_py(), np.int64) for x in batch.column(2)])
-        keys, owners = [], []
-        for t in range(first, last):
-            key, owner = golay_keys(np.ascontiguousarray(fps[:, t]))
-            keys.append(key | t << 40)
-            owners.append(owner)
-        owner = np.concatenate(owners)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[owner]), pa.array(c[owner])], names=["key", "node", "c"])
-
-    keyed = per_batch(nodes.select("node", "c", "tables"), go, "key long, node long, c long", rows=_KEYED)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "n")
-    members = keyed.join(shared, "key").join(nodes.select("node", *_WIDE), "node")
-    met = _blocks(members, bucket).select("key", "node", "c", *_WIDE)
-    return _within(met.repartition("key").sortWithinPartitions("key", "node"), most, near_pairs)
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of ``least`` or more; cut off."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h"), "node"), "simhash-wanted")
-    texts = rows.selectExpr("text", _HASHED).join(wanted, "h").select("node", "text").dropDuplicates(["node"])
-
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(_words(x.as_py()), width).tobytes() for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = cut(per_batch(texts, of, "node long, shingles binary", by=1), "simhash-sets")
-    of_a, of_b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
-    out = cut(per_batch(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b"), go, "a long, b long", by=3), "simhash-confirmed")
-    uncut(pairs, wanted, sets)
-    return out
-
-
-def _grouped(folded: DataFrame, found: DataFrame) -> DataFrame:
-    """``folded`` with the component ``c`` that the links ``found`` give each node; cut off."""
-    reach = components(found)
-    return cut(folded.join(reach, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "simhash-groups")
-
-
-def similar(rows: DataFrame, width: int = 5, least: float = 0.8, tables: int = 8, bucket: int = 4096) -> DataFrame:
-    """``id, component_id`` for each of ``rows(id, text)``: texts whose similarity is ``least`` or more are linked.
-
-    The similarity of two texts is the Jaccard similarity of their sets of
-    shingles of ``width`` words; every link is confirmed on the sets themselves.
-    The first candidates share a Golay key of one of eight fingerprints of the set of
-    words, which edits move far less than those of shingles, and agree in a share
-    ``least`` of their wide SimHash fingerprints (256 bits over the set of
-    shingles): one half for unrelated texts, 0.85 on average where the Jaccard
-    similarity is 0.8. Candidates are compared in numpy; of a bucket each member
-    leaves with one other at most. The search is completed by the shingles
-    themselves: sets of that similarity have one in common among the rarest fifth
-    of each (:func:`prefix`). Of such pairs that are not in one group by then,
-    those that sizes and parities allow are compared, first one for each member,
-    then all, so that no link is missed. Two tables come first; what they join into one
-    group is not compared again by the others, so a large group of copies costs
-    its members, not their keys. Buckets beyond ``bucket`` members are compared
-    block by block, each pair of blocks in a turn of its own.
-    """
-    most = int(WIDE * 64 * (1 - least))
-    first = min(2, tables)
-    each = cut(_sketches(rows, width, tables, least), "simhash-sketches")
-    folded = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("h", "size", *_WIDE, *_PARITY, "tables"))), "simhash-nodes")
-    found = _confirmed(_table_pairs(folded.withColumn("c", F.col("node")), 0, first, most, bucket), folded, rows, width, least)
-    grouped = _grouped(folded, found)
-    found = found.union(_confirmed(_table_pairs(grouped, first, tables, most, bucket), folded, rows, width, least))
-    uncut(grouped)
-    grouped = _grouped(folded, found)
-    prefixes = each.join(folded.select("node", "h"), ["node", "h"]).select("node", "prefix").dropDuplicates(["node"])
-    shared = _shared(grouped, prefixes)
-    for every in (False, True):
-        found = found.union(_confirmed(_set_pairs(shared, grouped, least, every, bucket), folded, rows, width, least))
-        uncut(grouped)
-        grouped = _grouped(folded, found)
-    uncut(shared, folded)
-    rooted = grouped.select("node", "first_id", F.col("c").alias("root"))
-    label = rooted.join(_least_ids(rooted), "root").select("node", "component_id")
-    return each.join(label, "node").select("id", "component_id")
-
-
-#: Ids given to rows without one begin here, after all others.
-_UNNAMED = 1 << 62
-
-
-def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each component of similar texts, the one with the least id, with all columns of ``docs``.
-
-    A row without an id stays only if its component has none with one. Of rows
-    that repeat an id, one stays: ids are what tells documents apart.
-    """
-    name = "near_id"
-    while name in docs.columns:
-        name += "_"
-    named = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1) + F.lit(_UNNAMED)))
-    found = similar(named.select(F.col(name).alias("id"), "text"), width, least)
-    first = found.where("id = component_id").select(F.col("id").alias(name)).distinct()
-    return named.join(first, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -131,8 +131,8 @@ def brute_components(fps, most):
     return {f: find(f) for f in fps}
 
 
-@pytest.mark.parametrize("bucket", [2048, 2])
-def test_links_are_complete(spark, bucket):
+@pytest.mark.parametrize(("bucket", "most"), [(2048, 2), (2, 2), (2048, 1), (2, 1), (2, 0)])
+def test_links_are_complete(spark, bucket, most):
     r = random.Random(2)
     fps = [r.getrandbits(64) for _ in range(60)]
     for f in list(fps):
@@ -142,8 +142,8 @@ def test_links_are_complete(spark, bucket):
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
-    got = {x["node"]: x["root"] for x in simhash.components(simhash.links(df, 2, bucket)).collect()}
-    want = brute_components(fps, 2)
+    got = {x["node"]: x["root"] for x in simhash.components(simhash.links(df, most, bucket)).collect()}
+    want = brute_components(fps, most)
     groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
     unsigned = {f % (1 << 64): v % (1 << 64) for f, v in got.items()}
     assert [g for g in groups(unsigned) if len(g) > 1] == [g for g in groups(want) if len(g) > 1]
@@ -165,77 +165,6 @@ def test_near_duplicates(docs, nothing):
     assert simhash.near_duplicates(nothing, 3).count() == 0
 
 
-def test_similar_texts(spark, docs, nothing):
-    r = random.Random(3)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
-    rows, family = [], {}
-    for g in range(25):
-        base = [word() for _ in range(r.randint(120, 400))]
-        for k in range(r.randint(1, 5)):
-            copy = list(base)
-            for _ in range(k and len(base) // 100 + 1):
-                copy[r.randrange(len(copy))] = word()
-            family[len(rows)] = g
-            rows.append((len(rows), " ".join(copy)))
-    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
-    for bucket in (4096, 2):
-        got = {x["id"]: x["component_id"] for x in simhash.similar(df, bucket=bucket).collect()}
-        assert got == {i: min(j for j in family if family[j] == family[i]) for i in family}
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and simhash.keep_one(nothing).count() == 0
-    ids = [x["doc_id"] for x in kept.collect()]
-    assert ids.count(6) == 1 and 7 not in ids and (2 in ids) != (3 in ids) and None in ids
-
-
-def shingles_of(text):
-    words = text.split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def jaccard_groups(rows):
-    """Brute force: each id with the least one that links of Jaccard similarity 0.8 reach."""
-    sets = {i: shingles_of(t) for i, t in rows}
-    root = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if a < b and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((root[a], root[b]))
-                root = {i: x if r == y else r for i, r in root.items()}
-    return root
-
-
-def test_links_have_the_similarity(spark):
-    r = random.Random(11)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
-    rows = []
-    for _ in range(25):
-        base = [word() for _ in range(200)]
-        copy = list(base)
-        for k in r.sample(range(5, 195), r.randint(4, 9)):
-            copy[k] = word()
-        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
-    want = jaccard_groups(rows)
-    assert 5 < len(set(want.values())) - 25 < 20
-    got = {x["id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(rows, "id long, text string")).collect()}
-    assert got == want
-
-
-def test_all_links_are_found(spark):
-    r = random.Random(12)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
-    common = [word() for _ in range(60)]
-    rows = [(0, "a b"), (1, "a b"), (2, "a b c"), (3, "")]
-    for k in range(60):
-        base = [word() for _ in range(r.randint(60, 300))] + common
-        more = [word() for _ in range(len(base) * r.randint(12, 30) // 100)]
-        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join((base + more, more + base, base[len(more) :])[k % 3]))]
-    want = jaccard_groups(rows)
-    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
-    for bucket in (4096, 5):
-        assert {x["id"]: x["component_id"] for x in simhash.similar(df, bucket=bucket).collect()} == want
-
-
 # Personal data.
 
 
