@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, packing, privacy, repetition, simhash, toxicity
+from docloom.llm import bpe, neardup, packing, privacy, repetition, toxicity
 from docloom.llm.common import cut, table, uncut
 
 
@@ -27,7 +27,7 @@ def drop_repetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of texts with a similarity of 0.8 or more over five-word shingles."""
-    return simhash.keep_one(docs, width=5, least=0.8)
+    return neardup.keep_one(docs, width=5, least=0.8)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
