@@ -10,8 +10,12 @@ opens a new match. :class:`Encoder` cuts texts there and hands each different
 piece to the library once, keeping ids of pieces in a bounded memory. The ids
 are those of the whole text; only the work is less.
 
-Defined cases: null counts as the empty text, which has no ids; special tokens
-are ordinary text.
+Defined cases: null counts as the empty text, which has no ids. A special token of
+the file that stands in a text is its id, as the library's plain call gives it;
+vocabularies made of ranks have none, there it is ordinary text. Rows that repeat an id are
+encoded one by one. Texts of any length are encoded whole, in blocks of rows; a text longer
+than a block is a block of its own. An empty table gives no rows; columns
+other than ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
@@ -129,7 +133,6 @@ class Encoder:
 
     def __init__(self, spec: str, memo: int = 600_000, memo_chars: int = 12 << 20):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.memo, self.memo_chars = memo, memo_chars
         self._forget()
 

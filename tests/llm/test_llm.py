@@ -250,7 +250,6 @@ def test_ids_are_those_of_whole_texts(multi, single):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     plain = Tokenizer.from_str(single)
-    plain.encode_special_tokens = True
     texts = odd_texts(3000, 5) + [t or "" for _, t in TEXTS]
     for spec, ids_of in ((multi, own.encode_ordinary), (single, lambda t: plain.encode(t, add_special_tokens=False).ids)):
         e = bpe.Encoder(spec, memo=2000)
@@ -278,7 +277,6 @@ def test_decoding(multi, docs, nothing):
 
 def test_packing(single, docs, nothing):
     plain = Tokenizer.from_str(single)
-    plain.encode_special_tokens = True
     got = packing.pack(docs.repartition(3), single).collect()
     by_doc, by_sequence = {}, {}
     for x in got:
@@ -295,8 +293,10 @@ def test_packing(single, docs, nothing):
         s.sort(key=lambda x: x["offset"])
         n = sum(x["length"] for x in s)
         assert n <= 1024 and n & (n - 1) == 0 and [x["offset"] for x in s] == np.cumsum([0, *(x["length"] for x in s)])[:-1].tolist()
-    digest = packing.digests(packing.pack(docs, single)).first()
-    assert digest["ids_crc32"] >= 0
+    for x in packing.digests(packing.pack(docs, single)).collect():
+        whole = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in TEXTS if i == x["doc_id"]]
+        assert any(x["ids_crc32"] == zlib.crc32(ids[x["start"] : x["start"] + x["length"]].tobytes()) and x["doc_tokens"] == len(ids) for ids in whole)
+    assert packing.encoder(single).encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
     assert packing.pack(nothing, single).count() == 0
 
 
