@@ -46,7 +46,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def shape_features(token: str) -> tuple[int, ...]:
     """Buckets of a token's shape: letters by case, digits, marks as they are; runs count once or as two."""
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:LONGEST])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     shape = _RUNS.sub(r"\1\1", shape)
     return _bucket("shape " + shape), _bucket("end " + shape[-2:])
 
@@ -123,13 +123,14 @@ def labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], of:
     """Features and targets of at most ``most`` labelled documents, in the order of a hash of their ids.
 
     Texts stay on the executors; the driver gets counts of buckets. The last
-    array has the values of ``extra`` for each document.
+    array has the values of ``extra`` for each document. Of rows that repeat an id
+    the text with the least hash counts, so a fit can be repeated.
     """
     on_workers(docs.sparkSession)
     ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(c.alias(k) for k, c in targets.items()))
     picked = ids.dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     names = list(targets)
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by most
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) h").join(F.broadcast(picked), "doc_id")  # bounded by most
 
     def go(batches):
         features = Features(of)
@@ -143,12 +144,13 @@ def labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], of:
                 out[2].append(n)
                 out[3].append(extra(text) if extra else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.float64())), *(batch.column(2 + i) for i in range(len(names)))],
-                names=["doc_id", "b", "c", "n", "extra", *names],
+                [batch.column(0), batch.column(2), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.float64())), *(batch.column(3 + i) for i in range(len(names)))],
+                names=["doc_id", "h", "b", "c", "n", "extra", *names],
             )
 
-    got = rows.select("doc_id", "text", *(F.col(k).cast("double").alias(k) for k in names)).mapInArrow(go, "doc_id long, b binary, c binary, n long, extra array<double>, " + ", ".join(f"{k} double" for k in names))
-    t = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "text", "h", *(F.col(k).cast("double").alias(k) for k in names)).mapInArrow(go, "doc_id long, h long, b binary, c binary, n long, extra array<double>, " + ", ".join(f"{k} double" for k in names))
+    first = F.min_by(F.struct("b", "c", "n", "extra", *names), "h").alias("x")
+    t = got.groupBy("doc_id").agg(first).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     b = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("b")]
     size = np.fromiter(map(len, b), np.int64, len(b))
     count = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x.as_py(), np.float32) for x in t.column("c"))])

@@ -16,7 +16,10 @@ documents are scored, whole, without a shuffle.
 
 Defined cases: a null or empty text has no tokens; without ratings, or with only
 one grade among them, every document gets that grade (the highest, if there are
-none); repeated label rows count with their lowest grade.
+none); repeated label rows count with their lowest grade; of documents that repeat a rated id the one
+with the least hash is the example, and each is scored by itself; a tail that equals the cut-off is kept; very
+long texts and tokens are read whole, a block of rows at a time; an empty table gives no rows; columns other than
+``doc_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ GRADE = "case when quality = 0 then 0 when coalesce(toxic, 0) = 1 then 1 else 2
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: rated documents that the model is fitted on, at most."""
+    """``sample``: rated documents that the model is fitted on, at most; ``features``: buckets it keeps, those that tell most."""
 
     sample: int = 8000
     features: int = 1500
