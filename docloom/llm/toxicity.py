@@ -4,26 +4,32 @@ Features are hashed words and beginnings of words, as shares of the text, so
 that a long clean text with a chance word stays clean. Of the buckets, those are
 kept that tell toxic from other documents in the training sample.
 
-The chain's categories come from labels. The table of labels has one, ``toxic``;
-the categories before it are weakly labelled: a toxic document with a seed word
-of the category belongs to it. The last link is trained on the given label and
+The chain's categories come from the labels and from what the labelled texts
+have in common; no list of words is given. First comes ``poor``, from the label of
+quality, if the table has it. Then come ``kind_1``, ``kind_2``, ...: the toxic documents of the
+sample, parted into clusters by the words that tell them from the others, as
+toxic texts of one sort share their words. The last link is trained on the label ``toxic`` and
 decides. Links are logistic regressions; the probabilities that a later link is
 trained on are out of fold, so that it learns how far the earlier ones can be
 trusted on texts they have not seen. The cut-off is the one with the best F1
 on out-of-fold probabilities.
 
-The model is fitted on a bounded sample of labelled rows (``sample``); all
-documents are scored, whole, without a shuffle.
+The model is fitted on a bounded sample of labelled rows (``sample``) and keeps a
+bounded number of buckets (``features``, those that tell most); all documents are
+scored, whole, without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the chain's base
 probabilities; a category without positive or without negative examples has its
 share as its probability; without labels nothing is toxic; repeated label rows
-count as toxic if any of them is.
+count as toxic, or poor, if any of them is; of documents that repeat a labelled id the
+one with the least hash is the example, and each is scored by itself; a probability that
+equals the cut-off is toxic; very long texts are read whole, a block of rows at a time; an
+empty table gives an empty result; :func:`keep_civil` passes columns of any name through.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +39,15 @@ from pyspark.sql import functions as F
 from docloom.llm.common import on_workers, parts
 from docloom.llm.hashed import Features, Sparse, labelled, minimise, share, sigmoid, telling, word_features
 
-#: Seed words of the weakly labelled categories, in the order of the chain.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("pathetic", "worthless", "disgusting"),
-    "dehumanising": ("scum", "trash", "vermin"),
-}
-
-
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled documents that the chain is trained on, at most."""
+    """``sample``: labelled documents that the chain is trained on, at most; ``features``: buckets it keeps; ``kinds``: clusters of toxic documents."""
 
     sample: int = 8000
     features: int = 1500
     folds: int = 4
     penalty: float = 1e-4
-    seeds: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(SEEDS))
+    kinds: int = 3
 
 
 @dataclass
@@ -110,36 +108,64 @@ def best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings) -> Chain:
-    x, y, seeded = labelled(docs, labels, {"toxic": F.max("toxic")}, word_features, settings.sample, _Seeds(tuple(settings.seeds.values())))
-    toxic = (y["toxic"] > 0).astype(float)
-    buckets = telling(x, toxic, settings.features)
-    x = x.columns(buckets)
-    n = len(toxic)
-    targets = [((seeded[:, i] > 0) & (toxic > 0)).astype(float) if n else toxic for i in range(len(settings.seeds))] + [toxic]
+def clusters(x: Sparse, toxic: np.ndarray, count: int, rounds: int = 25) -> np.ndarray:
+    """A cluster from 1 to ``count`` for each toxic row, 0 for the others: k-means on unit vectors of the buckets more usual in toxic rows.
+
+    The first centre is the row nearest to the mean, each further one the row farthest from those chosen.
+    """
+    out, at = np.zeros(len(toxic), np.int64), np.nonzero(toxic)[0]
+    if not len(at):
+        return out
+    row, n1 = x.row, len(at)
+    n0 = max(1, len(toxic) - n1)
+    on = toxic[row] > 0
+    usual = np.bincount(x.column[on], x.value[on], x.width) / n1 > np.bincount(x.column[~on], x.value[~on], x.width) / n0
+    part = x.rows(at).columns(np.nonzero(usual)[0])
+    dense = np.zeros((n1, part.width), np.float32)
+    dense[part.row, part.column] = np.log1p(part.value)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    centres = dense[[int(np.argmax(dense @ dense.mean(axis=0)))]]
+    while len(centres) < min(count, n1):
+        centres = np.concatenate([centres, dense[[int(np.argmin((dense @ centres.T).max(axis=1)))]]])
+    for _ in range(rounds):
+        of = np.argmax(dense @ centres.T, axis=1)
+        new = np.stack([dense[of == k].mean(axis=0) if (of == k).any() else centres[k] for k in range(len(centres))])
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
+        if np.allclose(new, centres):
+            break
+        centres = new
+    out[at] = 1 + np.argmax(dense @ centres.T, axis=1)
+    return out
+
+
+def fit_chain(x: Sparse, targets: dict[str, np.ndarray], settings: Settings) -> tuple[list[Link], np.ndarray]:
+    """Links in the order of ``targets``, and the out-of-fold probabilities, a column for each."""
+    n = len(x.start) - 1
     fold = np.arange(n) % settings.folds
     links, before = [], np.empty((n, 0))
-    for name, t in zip([*settings.seeds, "toxic"], targets, strict=True):
+    for name, y in targets.items():
         unseen = np.zeros(n)
         for k in range(settings.folds):
             train, test = np.nonzero(fold != k)[0], np.nonzero(fold == k)[0]
-            w = fit_link(x.rows(train), before[train], t[train], settings.penalty)
+            w = fit_link(x.rows(train), before[train], y[train], settings.penalty)
             part = x.rows(test)
             unseen[test] = sigmoid(part.dot(w[: x.width], part.row) + before[test] @ w[x.width : -1] + w[-1])
-        links.append(Link(name, fit_link(x, before, t, settings.penalty)))
+        links.append(Link(name, fit_link(x, before, y, settings.penalty)))
         before = np.column_stack([before, unseen])
-    return Chain(buckets, links, best_cutoff(before[:, -1], toxic))
+    return links, before
 
 
-@dataclass(frozen=True)
-class _Seeds:
-    """Counts the seed words of each category in a text."""
-
-    categories: tuple[tuple[str, ...], ...]
-
-    def __call__(self, text: str) -> list[float]:
-        low = text.lower()
-        return [float(sum(map(low.count, words))) for words in self.categories]
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings) -> Chain:
+    wanted = {"toxic": F.max("toxic")} | ({"poor": F.max((F.coalesce("quality", F.lit(1)) == 0).cast("int"))} if "quality" in labels.columns else {})
+    x, y, _ = labelled(docs, labels, wanted, word_features, settings.sample)
+    toxic = (y["toxic"] > 0).astype(float)
+    buckets = telling(x, toxic, settings.features)
+    x = x.columns(buckets)
+    kind = clusters(x, toxic, settings.kinds)
+    targets = {"poor": (y["poor"] > 0).astype(float)} if "poor" in y else {}
+    targets |= {f"kind_{k}": (kind == k).astype(float) for k in range(1, settings.kinds + 1)}
+    links, unseen = fit_chain(x, targets | {"toxic": toxic}, settings)
+    return Chain(buckets, links, best_cutoff(unseen[:, -1], toxic))
 
 
 class Scorer:
