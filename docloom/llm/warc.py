@@ -16,7 +16,9 @@ content depends on the input alone, so a task that runs twice does no harm.
 
 Defined cases: null html is an empty payload; a null url is an empty target;
 rows that repeat a page id are records of their own, and of equal payloads with
-equal ids the one written last is the response; a null id counts as the least.
+equal ids the one written last is the response; a null id counts as the least;
+a payload is held whole, one at a time, whatever its length; an empty table gives no archive and
+no rows; columns other than ``page_id``, ``url`` and ``html`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from docloom.llm.files import reading, writing
 
 #: Payload bytes after which an archive is closed.
 ARCHIVE_BYTES = 64 << 20
+#: Archives that a task rewrites or reads, at most.
+ARCHIVES_A_TASK = 8
 _CHUNK = 1 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,8 +201,13 @@ def normalise(written: DataFrame, folder: str, into: str, least: int = 0, level:
                     out.write("".join(json.dumps(x) + "\n" for x in index).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([len(index)], pa.int64())], names=["archive", "n_records"])
 
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    return cut(jobs.repartition(parts * 4).mapInArrow(go, "archive string, n_records long"), "warc-normal")
+    return cut(_spread(jobs, written).mapInArrow(go, "archive string, n_records long"), "warc-normal")
+
+
+def _spread(jobs: DataFrame, archives: DataFrame) -> DataFrame:
+    """Jobs over so many tasks that each has a few archives: a lost executor costs no more than those."""
+    n = archives.select("archive").distinct().count()
+    return jobs.repartition(max(1, min(n, 4 * jobs.sparkSession.sparkContext.defaultParallelism), -(-n // ARCHIVES_A_TASK)))
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, member_bytes long"
@@ -235,7 +244,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                     cols = zip(*out[k : k + 5000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return archives.select("archive").mapInArrow(go, READ)
+    return _spread(archives.select("archive"), archives).mapInArrow(go, READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
