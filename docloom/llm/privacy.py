@@ -25,8 +25,11 @@ aggregated before they are shuffled. The disclosing terms are sent to the worker
 
 Defined cases: a null text counts as empty and has no spans; rows with equal or
 null ids are separate documents; a text that is nothing but a number or
-has no words has base spans only; an empty table gives an empty result; other
-columns pass through :func:`sanitise` untouched.
+has no words has base spans only; spans with one start are listed in the order of :data:`KINDS`,
+and where replacements overlap the one that begins first stands; a share that equals a limit reaches it;
+very long texts are scanned whole, in time linear in them, a block of rows at a time;
+an empty table gives an empty result; other columns, whatever their names,
+pass through :func:`sanitise` untouched.
 """
 
 from __future__ import annotations
@@ -134,6 +137,11 @@ def places(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int,
     return out
 
 
+def words_of(text: str) -> set[str]:
+    """The words of a text in lower case; found first and lowered then, as in :func:`places`."""
+    return {w.lower() for piece in set(text.split()) for w in ([piece] if piece.isalpha() and len(piece) > 2 else _WORD.findall(piece))}
+
+
 def groups(kind: int, value: str) -> list[str]:
     """What values of one kind have in common: person and domain, network, issuer, the number's beginning; and the kind."""
     if kind == 0:
@@ -187,7 +195,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in (part for whole in batches for part in parts(whole, 0)):
             out = []
             for x in batch.column(0):
-                words = {w for piece in set((x.as_py() or "").lower().split()) for w in ([piece] if piece.isalpha() and len(piece) > 2 else _WORD.findall(piece))}
+                words = words_of(x.as_py() or "")
                 if not words:
                     continue
                 h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
@@ -235,7 +243,7 @@ def _told(docs: DataFrame, limits: Limits):
 
 def term_places(text: str, spans: list[tuple[int, int, int, str]], t: np.ndarray, share: np.ndarray) -> list[tuple[int, int, float]]:
     """``(start, end, share)`` of every occurrence of the terms ``t`` outside mentions."""
-    words = {w for piece in set(text.lower().split()) for w in ([piece] if piece.isalpha() and len(piece) > 2 else _WORD.findall(piece))} if len(t) else ()
+    words = words_of(text) if len(t) else ()
     if not words:
         return []
     words = list(words)
