@@ -61,6 +61,30 @@ def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def _op8_sql(rules: repetition.Rules) -> str:
+    """Words one by one, n-grams by the words after each, and what lies inside those that occur twice."""
+    lengths = sorted(rules.ngram_chars)
+    after = ", ".join(f"lead(word, {k}) OVER q AS w{k}" for k in range(1, lengths[-1]))
+    gram = lambda n: " || ' ' || ".join(["word", *(f"w{k}" for k in range(1, n))])
+    twice = ", ".join(f"({gram(n)}) IS NOT NULL AND count(*) OVER (PARTITION BY r, {gram(n)}) > 1 AS g{n}" for n in lengths)
+    inside = ", ".join(f"bool_or(g{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS in{n}" for n in lengths)
+    sums = ", ".join(f"coalesce(sum(length(word)) FILTER (WHERE in{n}), 0) AS c{n}" for n in lengths)
+    share = lambda c: f"CASE WHEN word_chars = 0 THEN 0.0::DOUBLE ELSE {c}::DOUBLE / word_chars END"
+    space = r"[^ \t\n\x0B\f\r]"
+    verdict = " OR ".join([f"{share('dup_chars')} > {rules.line_chars}", f"n_symbols > {rules.symbol_words} * n_words", *(f"{share(f'c{n}')} > {most}" for n, most in rules.ngram_chars.items())])
+    failed = f"n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words"
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT r, regexp_extract_all(t, '{space}+') AS w FROM d), "
+        f"u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w), a AS (SELECT *, {after} FROM u WINDOW q AS (PARTITION BY r ORDER BY i)), g AS (SELECT r, i, word, {twice} FROM a), n AS (SELECT r, word, {inside} FROM g), "
+        f"s AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (WHERE in5) AS n_repeat_words, {sums} FROM n GROUP BY r), "
+        f"x AS (SELECT r, line, count(*) - 1 AS again, length(regexp_replace(line, '[ \t\x0B\f\r]', '', 'g')) AS chars FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{space}') GROUP BY r, line), "
+        "y AS (SELECT r, sum(again) AS n_dup_lines, sum(again * chars) AS dup_chars FROM x GROUP BY r), "
+        "z AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, "
+        f"coalesce(dup_chars, 0) AS dup_chars, {', '.join(f'coalesce(c{n}, 0) AS c{n}' for n in lengths)} FROM d LEFT JOIN s USING (r) LEFT JOIN y USING (r)) "
+        f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed} OR {verdict}) AS kept, {share('dup_chars')} AS dup_line_share, {share('c5')} AS dup_5gram_share, {share('c10')} AS dup_10gram_share FROM z"
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     spec = bpe.load(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     done = bpe.encode_decode(table(spark, sf_dir, "documents"), spec)
@@ -77,5 +101,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only op3 can be said in SQL; the others need models, tokenizers, hashes or filters that it lacks."""
-    return {"op3_warc_normaliser": OP3_SQL}
+    """The others need models, tokenizers, hashes or filters that SQL lacks."""
+    return {"op3_warc_normaliser": OP3_SQL, "op8_repetition_coverage": _op8_sql(repetition.Rules())}
