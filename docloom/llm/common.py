@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch on its way to a worker, about; rows stay whole.
+BATCH_BYTES = 4 << 20
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep what is sent to them at once small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
@@ -55,11 +60,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends there.
 
     A lost executor loses nothing that was cut. The path is kept in ``_cut``
-    so that the caller can :func:`remove` the table once it is of no use.
+    so that the caller can :func:`uncut` the table once it is of no use; what a
+    result still reads from goes when the application ends.
     """
     spark = df.sparkSession
     path = fresh(spark, label)
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
     return out
@@ -130,5 +138,12 @@ def screened(df: DataFrame, c: str, screen: bytes) -> DataFrame:
     return per_batch(df, lambda batch: batch.filter(pa.array(passes(np.frombuffer(sent.value, np.int64), batch.column(i).to_numpy()))), df.schema)
 
 
+#: Bytes of a table for each core up to which :func:`table` moves rows.
+SPREAD_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. A small one in fewer files than there are cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df

@@ -34,7 +34,7 @@ an empty table gives an empty result; columns of any other name pass through.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,8 @@ PARITY = 16
 _PARITY = [f"p{k}" for k in range(PARITY)]
 #: Most frequent shingles that are told to all workers; more of them only shorten buckets.
 _HOT = 1 << 16
-#: Words remembered with their hashes by a worker, and the longest of them in bytes.
-_MEMO, _LONGEST = 200_000, 64
+#: Words remembered with their hashes within a block of texts, and the longest of them in bytes.
+_MEMO, _LONGEST = 100_000, 64
 #: Texts whose keys are made at once.
 _KEYED = 1000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -76,9 +76,6 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def _mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """Another 64-bit hash from each of ``h``, one family for each seed."""
     z = h + np.uint64(int(_ODD[0]) * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
@@ -87,9 +84,15 @@ def _mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, known: _Hashes) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def hashed_texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text of a block."""
+    known = _Hashes()
+    return (word_hashes(x.as_py(), known) for x in column)
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -158,7 +161,7 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that texts most often share within a block of texts, ascending, and how often; they only set an order."""
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(word_hashes(x.as_py()), width) for x in batch.column(0)]
+        sets = [shingle_set(words, width) for words in hashed_texts(batch.column(0))]
         s, n = np.unique(np.concatenate(sets), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
 
@@ -178,8 +181,7 @@ def _sketches(rows: DataFrame, width: int, least: float) -> DataFrame:
 
     def go(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, keyed, size, odd, firsts = [], [], [], [], []
-        for x in batch.column(1):
-            words = word_hashes(x.as_py())
+        for words in hashed_texts(batch.column(1)):
             shingles = shingle_set(words, width)
             node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
             keyed.append(_majorities(np.unique(words), TABLES))
@@ -315,7 +317,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int,
     texts = screened(rows.selectExpr("text", _HASHED), "h", screen_of(wanted, "h")).join(wanted, "h").select("node", "text").dropDuplicates(["node"])
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(word_hashes(x.as_py()), width) for x in batch.column(1)]
+        sets = [shingle_set(words, width) for words in hashed_texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_parity(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "fine", "shingles"])
 
     sets = cut(per_batch(texts, of, "node long, fine binary, shingles binary", by=1), "near-sets")

@@ -95,7 +95,7 @@ def test_sketches_only_rule_out(spark):
 
 
 def test_shingles_are_told_apart():
-    words = lambda t: neardup.word_hashes(t)
+    words = lambda t: neardup.word_hashes(t, neardup._Hashes())
     sets = lambda t: set(neardup.shingle_set(words(t), 5).tolist())
     assert sets("a b c d e f") == sets("A b  c\td e\nf") and len(sets("a b c d e f")) == 2
     assert len({frozenset(sets(t)) for t in ("a b", "b a", "a", "a a", "a a a", "", "ab", "a b c d e", "e d c b a")}) == 9
