@@ -15,7 +15,8 @@ computed in groups counted from the start of the document, so equal media give
 equal bytes.
 
 Defined cases: a null text counts as empty, which gives 576 bytes of 255; media
-that are null have null features; other columns are not looked at.
+that are null have null features; an energy that equals a threshold changes nothing; repeated rows give equal results; very
+long clips are computed in groups of frames; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ does not depend on the data. Its weights are sent to the executors; pages are
 labelled in batches of similar length, whole, without a shuffle.
 
 Defined cases: null and empty html, and pages without main text, give an empty
-text; repeated rows give equal results; other columns are not looked at.
+text; a probability of exactly one half counts as main text; repeated rows give equal results; very long
+pages are read whole, in time linear in them, and labelled by themselves; an empty table gives
+no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

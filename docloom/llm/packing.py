@@ -17,7 +17,9 @@ Each partition packs what it reads, in bounded memory and without a shuffle. Ids
 of sequences and groups begin with the number of the partition.
 
 Defined cases: null counts as the empty text, whose one id is the end id; rows
-that repeat an id are packed one by one; an empty table gives no rows.
+that repeat an id are packed one by one; of pieces of one length the last that came is taken first; a text of
+any length is encoded whole and cut into full windows; an empty table gives no rows; columns other than
+``doc_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations

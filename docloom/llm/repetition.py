@@ -8,8 +8,10 @@ longer n-gram can only repeat where a shorter one does, so lengths 6 to 10 look
 at the positions that the length before left over: clean texts cost one sort.
 
 Defined cases: a null text counts as empty; an empty text has no words and
-fails the base rule; ties and repeated rows are judged row by row; columns of
-the input beyond ``doc_id`` and ``text`` are not looked at.
+fails the base rule; a share that equals its limit passes; repeated rows are judged row by row; very long texts are
+measured whole, a block of rows at a time; an empty table gives no rows; columns of
+the input beyond ``doc_id`` and ``text``, whatever their names, are not looked at, and
+:func:`keep_unrepetitive` passes them through.
 """
 
 from __future__ import annotations

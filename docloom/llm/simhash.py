@@ -26,7 +26,9 @@ row, and every hot key is met by partial aggregation before its shuffle.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any
 other; rows with a null id keep their fingerprint and get the component of it
-(null if no row of the component has an id); repeated rows get equal results.
+(null if no row of the component has an id); repeated rows get equal results; a bit that
+exactly half of the shingles have is not set; very long texts are hashed whole, their bits counted in runs;
+an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
