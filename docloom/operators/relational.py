@@ -24,20 +24,35 @@ def most_complete(df: DataFrame, key: str, fields: list[str], order: list[Column
 
 
 def latest(df: DataFrame, key: str, version: str, date: str) -> DataFrame:
-    """The version of the latest date; of equal dates the least version."""
-    return df.groupBy(key).agg(F.max_by(F.struct(version, date), F.struct(F.col(date), -F.col(version))).alias("best")).select(key, f"best.{version}", f"best.{date}")
+    """The version of the latest date; of equal dates the least version, whatever its type."""
+    last = df.groupBy(key).agg(F.max(date).alias(date))
+    return df.join(last, [key, date]).groupBy(key, date).agg(F.min(version).alias(version)).select(key, version, date)
 
 
-def inside(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Points strictly between the ends of intervals with the same key: an equi-join with a range as residual."""
-    return points.join(intervals, key).where((F.col(at) > F.col(start)) & (F.col(at) < F.col(end)))
+def _bin(c: Column, width: float) -> Column:
+    return F.floor(c / width).cast("bigint")
+
+
+def inside(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: float = 1000) -> DataFrame:
+    """Points strictly between the ends of intervals with the same key.
+
+    An equi-join on the key and a bin of ``width``, which intervals enter for each bin that they reach into; a key
+    of any size costs its points and what lies near them. ``width`` is best near the usual length.
+    """
+    bins = F.sequence(_bin(F.col(start), width), _bin(F.col(end), width))
+    wide = intervals.where(F.col(end) > F.col(start)).withColumn("_bin", F.explode(bins))
+    met = points.withColumn("_bin", _bin(F.col(at), width)).join(wide, [key, "_bin"])
+    return met.where((F.col(at) > F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
 
 
 def band(df: DataFrame, key: str, at: str, kind: str, before: float, after: float, of_kind: str) -> DataFrame:
-    """Rows of ``of_kind`` with rows of other kinds of the same key from ``before`` below to ``after`` above."""
+    """Rows of ``of_kind`` with rows of other kinds of the same key from ``before`` below to ``after`` above; met by key and bin."""
     a = df.where(F.col(kind) == of_kind).select(key, *(F.col(c).alias(f"{c}_a") for c in df.columns if c != key))
     b = df.where(F.col(kind) != of_kind).select(key, *(F.col(c).alias(f"{c}_b") for c in df.columns if c != key))
-    return a.join(b, key).where(F.col(f"{at}_b").between(F.col(f"{at}_a") - before, F.col(f"{at}_a") + after))
+    width = max(before + after, 1)
+    bins = F.sequence(_bin(F.col(f"{at}_a") - before, width), _bin(F.col(f"{at}_a") + after, width))
+    met = a.withColumn("_bin", F.explode(bins)).join(b.withColumn("_bin", _bin(F.col(f"{at}_b"), width)), [key, "_bin"])
+    return met.where(F.col(f"{at}_b").between(F.col(f"{at}_a") - before, F.col(f"{at}_a") + after)).drop("_bin")
 
 
 def runs(df: DataFrame, keys: list[str], n: str) -> DataFrame:
@@ -64,7 +79,13 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: str = "s") -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: str = "f", strata: int = 64) -> DataFrame:
-    """``fold``: place in the shuffled class, modulo ``k``.
+    """``fold``: place in the shuffled class, modulo ``k``."""
+    placed = with_place(df, label, key, seed, strata)
+    return placed.withColumn("fold", (F.col("place") % k).cast("int")).drop("place")
+
+
+def with_place(df: DataFrame, label: str, key: str, seed: str = "f", strata: int = 64) -> DataFrame:
+    """``place``: 0-based, in the shuffled class.
 
     Places are counted in ``strata`` parts of each class, cut by the first digits
     of the hash, and shifted by the sizes of the parts before: a class as large
@@ -75,8 +96,7 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: str = "f
     sizes = h.groupBy(label, "_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     w = Window.partitionBy(label, "_part").orderBy("_h", key)
-    placed = h.join(before, [label, "_part"]).withColumn("fold", ((F.row_number().over(w) - 1 + F.col("_before")) % k).cast("int"))
-    return placed.drop("_h", "_part", "_before")
+    return h.join(before, [label, "_part"]).withColumn("place", F.row_number().over(w) - 1 + F.col("_before")).drop("_h", "_part", "_before")
 
 
 def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -87,6 +107,20 @@ def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return total.select(*keys, (F.ln("_total") - F.col("_nln") / F.col("_total")).alias("entropy"))
 
 
+def page_categories(pages: DataFrame, links: DataFrame, namespace: int = 0) -> DataFrame:
+    """``page_title, category`` of the pages of a namespace, by the links from their ids."""
+    of = pages.where(F.col("page_namespace") == namespace).select("page_id", "page_title")
+    return of.join(links.select(F.col("cl_from").alias("page_id"), F.col("cl_to").alias("category")), "page_id").select("page_title", "category")
+
+
+def entity_pages(entities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Entities with ``wikipedia_page``: the one mapped to their id, else to their text, else null; the first by name of several."""
+    by_id = mapping.where("entity_id is not null").groupBy("entity_id").agg(F.min("wikipedia_page").alias("_by_id"))
+    by_text = mapping.where("entity_text is not null").groupBy("entity_text").agg(F.min("wikipedia_page").alias("_by_text"))
+    out = entities.join(by_id, "entity_id", "left").join(by_text, "entity_text", "left")
+    return out.withColumn("wikipedia_page", F.coalesce("_by_id", "_by_text")).drop("_by_id", "_by_text")
+
+
 def hierarchy(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """``level, node``: parents of parents, level by level; an item met twice counts twice.
 

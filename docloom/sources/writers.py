@@ -23,11 +23,15 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def refresh(df: DataFrame, path: str) -> None:
+    """Replace the table; ``df`` must not read from it. Readers that run meanwhile may see it half-written."""
     df.write.mode("overwrite").parquet(path)
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys the table does not have; a second run adds none. Returns how many were added."""
+    """Append the rows whose keys the table does not have; a second run adds none. Returns how many were added.
+
+    For one writer at a time: two that run at once both see the table as it was before.
+    """
     spark = df.sparkSession
     try:
         before = spark.read.parquet(path).select(*keys)
@@ -44,12 +48,13 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
 
 
 def with_surrogate(df: DataFrame, natural: list[str], name: str = "id", after: int = 0, parts: int = 64) -> DataFrame:
-    """Numbers from ``after + 1`` in the order of a natural key.
+    """Numbers from ``after + 1`` in the order of the MD5 of the natural key, then of the key: the same whatever the partitions.
 
-    Keys are cut into ranges at quantiles of their hash; numbers run inside each
-    and are shifted by the sizes of those before, so no task sees all rows.
+    Keys are cut into ranges of their hash; numbers run inside each and are
+    shifted by the sizes of those before, so no task sees all rows.
     """
-    h = df.withColumn("_h", F.xxhash64(*natural)).withColumn("_part", F.floor((F.col("_h") / F.lit(2.0**63) + 1) / 2 * parts).cast("int"))
+    hashed = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in natural)))
+    h = df.withColumn("_h", hashed).withColumn("_part", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int"))
     sizes = h.groupBy("_part").agg(F.count("*").alias("_n"))
     # At most ``parts`` rows.
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -57,6 +62,13 @@ def with_surrogate(df: DataFrame, natural: list[str], name: str = "id", after: i
     return h.join(F.broadcast(before), "_part").withColumn(name, (F.row_number().over(w) + F.col("_before") + after).cast("bigint")).drop("_h", "_part", "_before")
 
 
+def manual_matches(pairs: DataFrame, entities: DataFrame, item_documents: DataFrame) -> DataFrame:
+    """Rows to append for a reader's ``pairs(item_id, entity_id)``: only where the item is linked to the entity's document."""
+    of = pairs.join(entities.select("entity_id", "document_id"), "entity_id")
+    linked = item_documents.groupBy("item_id", "document_id").agg(F.min("id").alias("item_document_id"))
+    return of.join(linked, ["item_id", "document_id"]).select("item_document_id", F.col("entity_id").alias("matched_entity_id"), F.lit(True).alias("manual_match"))
+
+
 def children(df: DataFrame, key: str, values: str, name: str) -> DataFrame:
     """A child row for each element of an array, in order."""
     return df.select(F.col(key), F.posexplode(values).alias("position", name))
