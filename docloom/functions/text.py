@@ -51,7 +51,8 @@ def shingles(words: Column, n: int = 2) -> Column:
 
 
 def shinglize(c: Column, n: int = 2, tokenizer: Callable[[Column], Column] = tokens) -> Column:
-    return shingles(tokenizer(c), n)
+    """Shingles of a text; the words are bound to a variable, so that they are made once and not for each use."""
+    return F.get(F.transform(F.array(tokenizer(c)), lambda words: shingles(words, n)), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -178,6 +179,16 @@ def content_id(c: Column) -> Column:
     return F.sha1(c)
 
 
+def random_id(length: int = 10) -> Column:
+    """Letters and digits by chance: an id for what has no content to derive one from."""
+    return F.randstr(F.lit(length))
+
+
+def recoded(c: Column) -> Column:
+    """Text whose UTF-8 bytes were read as Latin-1, read again as what they are."""
+    return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
+
+
 def year_of(c: Column) -> Column:
     """The first four characters of a date written as text."""
     return F.substring(c, 1, 4)

@@ -11,6 +11,10 @@ from docloom.functions import text as T
 MISSING = "GROUP_BY_ATTRIBUTE_MISSING"
 
 
+#: Shingles of the left side that are sent to all workers, at most; counted before.
+SENT = 1_000_000
+
+
 def shingled(df: DataFrame, key: str, c: Column, n: int) -> DataFrame:
     """``key, grams``: the distinct shingles of each text."""
     return df.select(F.col(key), T.tokens(T.normalize(c)).alias("words")).select(key, T.shingles(F.col("words"), n).alias("grams"))
@@ -22,10 +26,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     An inverted index: both sides are exploded and joined on the shingle, so no
     pair without one is ever made, and intersections are counted by partial
     aggregation. Set sizes travel with the rows; no set is compared with
-    another.
+    another. Where the left side has few different shingles (``SENT``), the right side's are
+    held against their hashes before they are shuffled.
     """
     a = shingled(left, left_key, F.col(left_text), n).select(left_key, F.size("grams").alias("n_left"), F.explode("grams").alias("gram"))
     b = shingled(right, right_key, F.col(right_text), n).select(right_key, F.size("grams").alias("n_right"), F.explode("grams").alias("gram"))
+    hashes = a.select(F.xxhash64("gram").alias("hash")).distinct()
+    if hashes.limit(SENT + 1).count() <= SENT:
+        b = b.withColumn("hash", F.xxhash64("gram")).join(F.broadcast(hashes), "hash", "left_semi").drop("hash")
     shared = a.join(b, "gram").groupBy(left_key, right_key).agg(F.count("*").alias("shared"), F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"))
     union = F.col("n_left") + F.col("n_right") - F.col("shared")
     return shared.select(left_key, right_key, "shared", (F.col("shared") / union).alias("jaccard"), (F.col("shared") / F.col("n_left")).alias("containment"))
