@@ -83,6 +83,19 @@ def chi2(df: DataFrame, y: str, feature: str, value: Column | None = None) -> Da
     return full.groupBy(feature).agg(F.sum((F.col("seen") - expected) ** 2 / expected).alias("chi2"), F.first("seen_all").alias("n"))
 
 
+def top_percent(ranked: DataFrame, score: str, percents: tuple[int, ...] = (1, 3, 5, 7, 9)) -> DataFrame:
+    """Rows of ``ranked`` once for each ``percent`` whose best share of rows they belong to; equals at the edge all stay.
+
+    How many rows are better goes by running sums over the distinct scores.
+    """
+    by = ranked.groupBy(score).agg(F.count("*").alias("_n"))
+    better = prefix_sums(by, score, ["_n"], descending=True).select(score, (F.col("sum__n") - F.col("_n")).alias("_better"))
+    total = ranked.agg(F.count("*").alias("_all"))
+    # One row of totals.
+    placed = ranked.join(better, score).crossJoin(F.broadcast(total)).withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
+    return placed.where(F.col("_better") * 100 < F.col("percent") * F.col("_all")).drop("_better", "_all")
+
+
 def errors(df: DataFrame, y: str, p: str, score: str, key: str, num: int = 1000) -> DataFrame:
     """``kind`` (FP, FN, TN, TP) and the first ``num`` of each kind by key, listed by score: wrong and sure first."""
     kind = F.when((F.col(y) == 0) & (F.col(p) == 1), "FP").when((F.col(y) == 1) & (F.col(p) == 0), "FN").when(F.col(y) == 0, "TN").otherwise("TP")

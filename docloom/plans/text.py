@@ -121,7 +121,9 @@ def unigram_bag(spark, sf):
     f"SELECT b.g AS bigram, count(*)::BIGINT AS n_docs FROM (SELECT unnest({grams('t', 2)}) AS g FROM (SELECT {toks(norm('text'))} AS t FROM documents)) b GROUP BY 1"
 )
 def bigram_bag(spark, sf):
-    return read(spark, sf, "documents").select(F.explode(T.bigrams(F.col("text"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n_docs"))
+    # The words are a projection of their own: inside the shingles they would be made again for each use.
+    d = read(spark, sf, "documents").select(T.tokens(T.normalize(F.col("text"))).alias("t"))
+    return d.select(F.explode(T.shingles(F.col("t"), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n_docs"))
 
 
 @plans.add(
@@ -192,25 +194,44 @@ def html_preprocess(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.md5(s).alias("hash"), F.length(s).cast("bigint").alias("n"))
 
 
+@plans.add("SELECT page_id, sha1(url) AS content_id, string_split(url, '/')[-1] AS last, substr(url, 1, 4) AS year FROM pages")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return read(spark, sf, "pages").select("page_id", T.content_id(u).alias("content_id"), T.last_segment(u).alias("last"), T.year_of(u).alias("year"))
+
+
 @plans.add(
-    "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, try_cast(regexp_extract(url, '/(\\d+)', 1) AS INT) AS number, sha1(url) AS content_id, string_split(url, '/')[-1] AS last FROM pages"
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'bill' ELSE 'report' END AS doc_type, CASE WHEN o_orderkey % 3 < 2 THEN (100 + o_custkey % 12)::INT END AS congress, "
+    "CASE WHEN o_orderkey % 3 = 2 THEN '' WHEN o_orderstatus = 'F' THEN 'senate' ELSE 'house' END AS chamber, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderstatus = 'F' THEN 's' ELSE 'hr' END || o_orderkey WHEN 1 THEN o_orderkey::VARCHAR ELSE '' END AS number, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'enr' ELSE 'ih' END END AS version FROM orders"
 )
 def path_metadata(spark, sf):
-    u = F.col("url")
-    return read(spark, sf, "pages").select(
-        "page_id",
-        F.regexp_extract(u, "^([a-z]+)://", 1).alias("scheme"),
-        F.regexp_extract(u, "^[a-z]+://([^/]+)", 1).alias("host"),
-        F.regexp_extract(u, r"/(\d+)", 1).try_cast("int").alias("number"),
-        T.content_id(u).alias("content_id"),
-        T.last_segment(u).alias("last"),
-    )
+    """Where documents lie, written by the path builders and read back: bills, reports, and files that are neither."""
+    o = read(spark, sf, "orders")
+    congress, kind = (100 + F.col("o_custkey") % 12).cast("int"), F.col("o_orderkey") % 3
+    number = F.concat(F.when(F.col("o_orderstatus") == "F", "s").otherwise("hr"), F.col("o_orderkey").cast("string"))
+    version = F.when(F.col("o_orderpriority") == "5-LOW", "enr").otherwise("ih")
+    chamber = F.when(F.col("o_orderstatus") == "F", "senate").otherwise("house")
+    at = F.when(kind == 0, readers.bill_path(congress, number, version)).when(kind == 1, readers.report_path(congress, chamber, F.col("o_orderkey"))).otherwise("notes")
+    d = o.select("o_orderkey", F.concat(F.lit("file:/data/"), at, F.lit("/document.txt")).alias("path"))
+    return readers.with_path_metadata(d).select("o_orderkey", "doc_type", "congress", "chamber", "number", "version")
+
 
+_SAID = "SELECT event_id, unnest([0, 1]) AS i, event_type, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"
 
-@plans.add("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) IS NOT NULL")
+
+@plans.add(
+    f"SELECT event_id, 'urn:e' AS uri, 'w' || i AS entity_text, event_type AS entity_type, (k + 100 * i + event_id)::INT AS entity_offset, (i + 2)::INT AS entity_length, 'U' || user_id AS entity_inferred_name, CASE WHEN user_id % 2 = 0 THEN 'page' || user_id END AS entity_url FROM ({_SAID})"
+)
 def json_explode(spark, sf):
-    e = read(spark, sf, "events").select("event_id", "event_type", F.explode(F.from_json("props", "map<string,int>")).alias("name", "k"))
-    return e.where("name = 'k' and k is not null").select("event_id", "event_type", "k")
+    """Instances of the entities in an annotator's answers, shifted to their place in the document."""
+    e = read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    said = F.array(*(F.struct((F.col("k") + 100 * i).alias("offset"), F.lit(i + 2).alias("length"), F.lit(f"w{i}").alias("exact")) for i in (0, 1)))
+    page = F.when(F.col("user_id") % 2 == 0, F.array(F.struct(F.concat(F.lit("page"), "user_id").alias("id"))))
+    entity = F.struct(F.lit("entities").alias("_typeGroup"), F.col("event_type").alias("_type"), F.concat(F.lit("U"), "user_id").alias("name"), said.alias("instances"), page.alias("resolutions"))
+    topic = F.struct(F.lit("topics").alias("_typeGroup"), F.lit(None).cast("string").alias("_type"), F.lit("t").alias("name"), F.lit(None).cast("array<struct<offset:int,length:int,exact:string>>").alias("instances"), F.lit(None).cast("array<struct<id:string>>").alias("resolutions"))
+    answers = e.select("event_id", F.to_json(F.create_map(F.lit("urn:e"), entity, F.lit("urn:t"), topic)).alias("response"))
+    return readers.annotations(answers, offset=F.col("event_id").cast("int"))
 
 
 @plans.add(
@@ -224,28 +245,76 @@ def type_group_counts(spark, sf):
 
 
 @plans.add(
-    "SELECT doc_id, substring(text, 1, 2048) AS entity_text, CASE WHEN length(text) >= 4096 THEN substring(text, 1, 4050) ELSE text END AS excerpt, substring(text, greatest(10 - 60, 0) + 1, 10) || '<<' || substring(text, 11, 10) || '>>' || substring(text, 21, 60) AS snippet FROM documents WHERE length(text) >= 20"
+    "SELECT doc_id, substring(text, 1, 2048) AS entity_text, CASE WHEN length(text) >= 4096 THEN substring(text, 1, 4050) ELSE text END AS excerpt, substring(text, greatest(10 - 60, 0) + 1, 10) || '<<' || substring(text, 11, 10) || '>>' || substring(text, 21, 60) AS snippet FROM documents"
 )
 def truncations(spark, sf):
     from docloom.sources.writers import cut_excerpt, cut_to
 
     c = F.col("text")
-    return read(spark, sf, "documents").where(F.length("text") >= 20).select("doc_id", cut_to(c, 2048).alias("entity_text"), cut_excerpt(c).alias("excerpt"), T.window(c, F.lit(10), F.lit(20)).alias("snippet"))
+    return read(spark, sf, "documents").select("doc_id", cut_to(c, 2048).alias("entity_text"), cut_excerpt(c).alias("excerpt"), T.window(c, F.lit(10), F.lit(20)).alias("snippet"))
 
 
-def _drawn_tables(spark, sf):
-    """A text for each order with its lines as a dotted table."""
+def _drawn(spark, sf, line):
+    """A text for each order with a table of its lines; ``line`` draws one."""
     li = read(spark, sf, "lineitem").join(read(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    line = F.concat(F.rpad(F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), F.lit("....")), 40, "."), F.lit("  "), F.lpad(F.format_number("l_extendedprice", 0), 12, " "), F.lit("\n"))
-    rows = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", line.alias("line")).alias("r"))
+    rows = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_extendedprice", line.alias("line")).alias("r"))
     drawn = F.concat(F.lit(" A TABLE OF LINES\n\n"), F.array_join(F.transform("rs", lambda r: r["line"]), ""))
     return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs")).select(F.col("l_orderkey").alias("doc_id"), drawn.alias("text"))
 
 
-@plans.add()
+def _amount():
+    return F.concat(F.lit("  "), F.lpad(F.format_number("l_extendedprice", 0), 12, " "), F.lit("\n"))
+
+
+def _drawn_tables(spark, sf):
+    """Dotted tables, a line for each entry."""
+    return _drawn(spark, sf, F.concat(F.rpad(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_brand"), 40, "."), _amount()))
+
+
+def _drawn_entries(spark, sf):
+    """Dotted tables, two lines for each entry: the name, and further in the brand with the amount."""
+    return _drawn(spark, sf, F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("\n"), F.rpad(F.concat(F.lit("  of_"), "p_brand"), 40, "."), _amount()))
+
+
+_LINES = (
+    "l AS (SELECT l_orderkey AS document_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1)::INT AS n, replace(p_name, ' ', '_') AS name, p_brand AS brand, format('{:,}', round_even(l_extendedprice, 0)::BIGINT) AS amount FROM lineitem JOIN part ON p_partkey = l_partkey), "
+)
+_ENTROPY = "SELECT document_id, -sum(k / t * ln(k / t)) AS e FROM (SELECT document_id, v, count(*) AS k, sum(count(*)) OVER (PARTITION BY document_id) AS t FROM {of} GROUP BY 1, 2) GROUP BY 1"
+_ROW = "document_id, 0 AS table_no, row_no, entity_text, 'table_row' AS entity_type, entity_offset, entity_length, entity_inferred_name, 'dots_table' AS source, n_cells"
+
+
+@plans.add(
+    f"WITH {_LINES} v AS (SELECT *, name || '_' || brand AS v FROM l), h AS ({_ENTROPY.format(of='v')}), "
+    "r AS (SELECT document_id, n AS row_no, v || ' | ' || amount AS entity_text, 19 + 55 * n AS entity_offset, 55 AS entity_length, CASE WHEN e >= 1.2 THEN v ELSE '' END AS entity_inferred_name, 2::BIGINT AS n_cells FROM v JOIN h USING (document_id)) "
+    f"SELECT {_ROW} FROM r"
+)
 def table_rows(spark, sf):
     """Rows of tables laid out as text: a table for each order, drawn from its lines."""
-    return tables.extract_rows(_drawn_tables(spark, sf))
+    return tables.extract_rows(_drawn_tables(spark, sf)).withColumn("n_cells", F.size("cells").cast("bigint")).drop("cells")
+
+
+@plans.add(
+    # Lines of the text, and what the parser must make of them: entries of two lines are one row, but for the table's first.
+    f"WITH {_LINES} k AS (SELECT document_id, 2 * n AS line, name AS v, length(name) + 1 AS long, '' AS amount FROM l UNION ALL SELECT document_id, 2 * n + 1, 'of_' || brand, 55, amount FROM l), "
+    f"o AS (SELECT *, 19 + coalesce(sum(long) OVER (PARTITION BY document_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM k), h AS ({_ENTROPY.format(of='k')}), "
+    "g AS (SELECT document_id, CASE WHEN e < 1.2 OR line < 2 THEN line ELSE line // 2 + 1 END AS row_no, string_agg(v, ' ' ORDER BY line) AS v, max(amount) AS amount, min(begins)::INT AS entity_offset, (sum(long) + count(*) - 1)::INT AS entity_length FROM o JOIN h USING (document_id) GROUP BY 1, 2), "
+    f"i AS ({_ENTROPY.format(of='g')}), "
+    "r AS (SELECT document_id, row_no::INT AS row_no, v || ' | ' || amount AS entity_text, entity_offset, entity_length, CASE WHEN e >= 1.2 THEN v ELSE '' END AS entity_inferred_name, 2::BIGINT AS n_cells FROM g JOIN i USING (document_id)) "
+    f"SELECT {_ROW} FROM r"
+)
+def table_entries(spark, sf):
+    """Entries that go over two lines and share one amount."""
+    return tables.extract_rows(_drawn_entries(spark, sf)).withColumn("n_cells", F.size("cells").cast("bigint")).drop("cells")
+
+
+@plans.add(
+    f"WITH {_LINES} c AS (SELECT document_id, count(*)::INT AS n_rows, string_agg(rpad(name || '_' || brand, 40, '.') || '  ' || lpad(amount, 12, ' ') || chr(10), ' ' ORDER BY n) AS content FROM l GROUP BY 1) "
+    "SELECT document_id, 0 AS table_no, 19 AS \"offset\", 55 * n_rows AS length, 'dots' AS kind, '' AS headers, '' AS title, md5(content) AS body, md5(content) AS content, n_rows FROM c"
+)
+def table_blocks(spark, sf):
+    """Tables found in text, each with its place and content."""
+    t = tables.extract_tables(_drawn_tables(spark, sf))
+    return t.withColumns({c: F.md5(c) for c in ("body", "content")})
 
 
 @plans.add()
@@ -261,17 +330,47 @@ def score_documents(spark, sf):
     return scoring.score_rows(rows, model, names, states)
 
 
-@plans.add()
+_STATES, _ABBREVIATIONS, _CITIES, _NAMES, _PREFIXES = ("The", "Une"), ("la", "der"), ("tion", "Haus"), ("the", "and", "of", "la", "de", "und", "der"), ("The", "Of", "In")
+
+
+def _listed(values: tuple) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@plans.add(
+    f"WITH w AS (SELECT doc_id, text, {toks(norm('text'))} AS t, {toks(norm('text', lower=False))} AS k FROM documents), "
+    "c AS (SELECT *, len(t) AS n, length(text) AS long, len(list_filter(t, lambda x: regexp_full_match(x, '\\p{L}+'))) AS alpha, len(regexp_extract_all(text, '[.]')) AS dots, len(regexp_extract_all(text, '[0-9]')) AS digits FROM w), "
+    "f AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{Lu}'))::DOUBLE AS NUM_ALL_CAPS, dots::DOUBLE AS NUM_DOTS, CASE WHEN long = 0 THEN 0.0 ELSE dots / long END AS PERCENT_DOTS, digits::DOUBLE AS NUM_DIGITS, CASE WHEN long = 0 THEN 0.0 ELSE digits / long END AS PERCENT_DIGITS, "
+    "n::DOUBLE AS NUM_WORDS, long::DOUBLE AS LENGTH, coalesce(t[1] = 'for', false)::INT::DOUBLE AS STARTS_WITH_FOR, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_filter(k, lambda x: regexp_matches(x, '^\\p{Lu}'))) / len(k) END AS PERCENT_CAPITALIZED, "
+    "alpha::DOUBLE AS ALPHA_TOKENS, CASE WHEN n = 0 THEN 0.0 ELSE alpha / n END AS PERCENT_ALPHA_TOKENS, (n - alpha)::DOUBLE AS NON_ALPHA_TOKENS, CASE WHEN n = 0 THEN 0.0 ELSE 1 - alpha / n END AS PERCENT_NON_ALPHA_TOKENS, "
+    f"list_has_any(k, list_concat({_listed(_STATES)}, {_listed(tuple(map(str.upper, _STATES)))}, {_listed(_ABBREVIATIONS)}))::INT::DOUBLE AS GEO_HAS_STATE, regexp_matches(text, 'county|County|COUNTY')::INT::DOUBLE AS GEO_HAS_COUNTY, "
+    f"coalesce(list_contains(list_concat({_listed(_STATES)}, {_listed(_ABBREVIATIONS)}), k[-1]), false)::INT::DOUBLE AS GEO_ENDS_WITH_STATE, ({' OR '.join(f'contains(text, {x!r}) OR contains(text, {x.upper()!r})' for x in _CITIES)})::INT::DOUBLE AS GEO_HAS_CITY, "
+    f"(len(list_filter(string_split(text, ' | '), lambda z: len(list_filter(regexp_split_to_array(z, '[:;, ]'), lambda x: list_contains({_listed(_NAMES)}, x))) / len(regexp_split_to_array(z, '[:;, ]')) > 0.7)) > 0)::INT::DOUBLE AS SPONSOR_PRESENT, "
+    + ", ".join(f"CASE WHEN starts_with(text, '{x}') THEN 1.0::DOUBLE END AS PREFIX_{x}" for x in _PREFIXES)
+    + ", len(list_distinct(t))::DOUBLE AS N_UNIGRAMS FROM c) "
+    "SELECT doc_id, feature, round(value, 6) AS value FROM (UNPIVOT f ON COLUMNS(* EXCLUDE doc_id) INTO NAME feature VALUE value)"
+)
 def feature_groups(spark, sf):
-    """Sparse feature maps of every document, rendered as text."""
+    """Sparse features of every document, from several generators in a row."""
     c = F.col("text")
-    empty = F.array().cast("array<string>")
+    listed = lambda values: F.array(*map(F.lit, values))
     d = X.pipe(
         read(spark, sf, "documents").select("doc_id", "text"),
         X.group("simple", X.simple_text(c)),
         X.group("unigrams", X.unigram_bag(c)),
-        X.group("geo", X.geo(c, empty, empty, empty)),
-        X.group("sponsor", X.sponsor(c, empty)),
-        X.group("prefixes", N.prefix_features(c, ["The", "Of", "In"])),
+        X.group("geo", X.geo(c, listed(_STATES), listed(_ABBREVIATIONS), listed(_CITIES))),
+        X.group("sponsor", X.sponsor(c, listed(_NAMES))),
+        X.group("prefixes", N.prefix_features(c, list(_PREFIXES))),
+        # A group that is there already is not made again.
+        X.group("simple", F.create_map(F.lit("WRONG"), F.lit(1.0))),
     )
-    return d.select("doc_id", F.size("unigrams").alias("n_unigrams"), X.render(F.col("simple")).alias("simple"), X.render(F.map_concat("geo", "sponsor", "prefixes")).alias("rest"))
+    n = F.create_map(F.lit("N_UNIGRAMS"), F.size("unigrams").cast("double"))
+    return d.select("doc_id", F.explode(F.map_concat("simple", "geo", "sponsor", "prefixes", n)).alias("feature", "value")).withColumn("value", F.round("value", 6))
+
+
+@plans.add(
+    f"SELECT doc_id, md5(array_to_string(list_transform(list_sort(list_distinct({toks(norm('text'))})), lambda x: 'UNIGRAM_' || x || ':1.0'), ' ')) AS hash FROM documents"
+)
+def rendered_features(spark, sf):
+    """A feature group as text, ``name:value`` in the order of names."""
+    return read(spark, sf, "documents").select("doc_id", F.md5(X.render(X.unigram_bag(F.col("text")))).alias("hash"))

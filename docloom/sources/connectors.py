@@ -6,6 +6,7 @@ tests and offline runs use a stub. Work over many ids is a map over partitions.
 
 from __future__ import annotations
 
+import http.client
 import io
 import re
 import time
@@ -39,6 +40,38 @@ def with_retries(fetch: Fetch, attempts: int = 5, wait: float = 0.0, factor: flo
     return run
 
 
+def head_status(path: str, host: str, connect: Callable | None = None) -> int | None:
+    """The status that a host answers a HEAD request with; None if it can't be reached. ``connect`` makes the connection."""
+    connection = (connect or http.client.HTTPConnection)(host)
+    try:
+        connection.request("HEAD", path)
+        return connection.getresponse().status
+    except OSError:
+        return None
+    finally:
+        connection.close()
+
+
+def paged(spark: SparkSession, fetch: Callable[[int], list[str]], most: int = 100_000) -> DataFrame:
+    """``record``: JSON records of a paged service; pages are numbered from 1, the first empty one is the last."""
+    records = []
+    for page in range(1, most + 1):
+        found = fetch(page)
+        if not found:
+            return spark.createDataFrame([(r,) for r in records], "record string")
+        records += found
+    raise ValueError(f"more than {most} pages")
+
+
+_BILL = "bill_id string, versions array<struct<version_code:string,bill_version_id:string,urls:struct<html:string>>>"
+
+
+def bill_versions(records: DataFrame) -> DataFrame:
+    """``path, url``: where each version of the bills in ``records(record)`` belongs and where it is; bills without versions have none."""
+    v = records.select(F.from_json("record", _BILL).alias("b")).select("b.bill_id", F.explode("b.versions").alias("v"))
+    return v.select(F.concat_ws("/", "bill_id", "v.version_code", "v.bill_version_id").alias("path"), F.col("v.urls.html").alias("url"))
+
+
 def last_id(exists: Callable[[int], bool]) -> int:
     """The largest id that exists, when all below it do: doubling, then halving."""
     if not exists(1):
@@ -66,24 +99,22 @@ def missing(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def download(urls: DataFrame, fetch: Fetch, url: str = "url") -> DataFrame:
-    """``url, content, error`` of each url; a failure is a row, not the end of the job."""
+    """``url, content, error`` of each url; a failure is a row, not the end of the job. One download is held at a time."""
     use_package(urls.sparkSession)
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for u in frame["url"]:
-                try:
-                    out.append((u, fetch(u), None))
-                except OSError as e:
-                    out.append((u, None, str(e)))
-            yield pd.DataFrame(out, columns=["url", "content", "error"])
+        for u in (u for frame in frames for u in frame["url"]):
+            try:
+                row = (u, fetch(u), None)
+            except OSError as e:
+                row = (u, None, str(e))
+            yield pd.DataFrame([row], columns=["url", "content", "error"])
 
     return urls.select(F.col(url).alias("url")).mapInPandas(go, "url string, content binary, error string")
 
 
-def unzipped(archives: DataFrame, content: str = "content", wanted: str = r"mods\.xml$|\.htm$") -> DataFrame:
-    """``path, member, content`` of the members of zip archives whose names match."""
+def unzipped(archives: DataFrame, content: str = "content", wanted: str = r"mods\.xml$|\.htm$", renamed: str | None = None) -> DataFrame:
+    """``path, member, content`` of the members of zip archives whose names match; with ``renamed``, under that name. A row at a time."""
     use_package(archives.sparkSession)
     pattern = re.compile(wanted)
 
@@ -91,9 +122,8 @@ def unzipped(archives: DataFrame, content: str = "content", wanted: str = r"mods
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    out = [(path, n, z.read(n)) for n in z.namelist() if pattern.search(n)]
-                if out:
-                    yield pd.DataFrame(out, columns=["path", "member", "content"])
+                    for n in filter(pattern.search, z.namelist()):
+                        yield pd.DataFrame([(path, renamed or n, z.read(n))], columns=["path", "member", "content"])
 
     return archives.select("path", F.col(content).alias("content")).mapInPandas(go, "path string, member string, content binary")
 

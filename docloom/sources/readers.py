@@ -52,9 +52,15 @@ def tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.text(path).where(F.size(fields) >= len(names)).select(*(F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
+def item_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``item_id, document_id, page_number, excerpt`` of a CSV of links; ids stay text until the writer casts them, empty excerpts are null."""
+    df = csv(spark, path).select("earmark_id", "document_id", "page_number", "excerpt")
+    return df.select(F.col("earmark_id").try_cast("bigint").alias("item_id"), F.col("document_id").try_cast("bigint").alias("document_id"), "page_number", F.nullif(F.trim("excerpt"), F.lit("")).alias("excerpt"))
+
+
 def ids(spark: SparkSession, path: str) -> DataFrame:
-    """A file with an id on each line."""
-    return spark.read.text(path).select(F.trim("value").try_cast("bigint").alias("id")).where("id is not null")
+    """A file with an id on each line; empty lines are left out, and a line that is no id is an error."""
+    return spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").cast("bigint").alias("id"))
 
 
 STUDENT_DEFAULTS = {
@@ -158,10 +164,13 @@ def issue_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """``path, date_issued, year, associated_bills`` from XML metadata; tag names in any case."""
-    df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="mods.xml")
-    tag = lambda t: F.regexp_extract("value", rf"(?is)<{t}\b[^>]*>\s*(.*?)\s*</{t}>", 1)
-    date = F.regexp_extract("value", r"(?is)<originInfo\b.*?<dateIssued\b[^>]*>\s*(.*?)\s*</dateIssued>", 1)
-    return df.select(F.col("_metadata.file_path").alias("path"), date.alias("date_issued"), F.substring(date, 1, 4).alias("year"), tag("associatedBills").alias("associated_bills"))
+    df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="mods.xml").select(F.col("_metadata.file_path").alias("path"), "value")
+    # Names in one case, prefixes and name spaces away: one path finds what any writer of such files called it.
+    plain = F.regexp_replace(F.lower("value"), r"(</?)[a-z0-9]+:|\sxmlns(:[a-z0-9]+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "$1")
+    mods = F.from_xml(plain, "origininfo struct<dateissued:array<string>>", {"mode": "PERMISSIVE"})
+    found = df.select("path", F.trim(F.get(mods["origininfo"]["dateissued"], F.lit(0))).alias("date_issued"), "value")
+    bills = F.regexp_extract("value", r"(?is)<associatedBills\b[^>]*>\s*(.*?)\s*</associatedBills>", 1)
+    return found.select("path", "date_issued", F.substring("date_issued", 1, 4).alias("year"), bills.alias("associated_bills"))
 
 
 def svm_light(spark: SparkSession, path: str) -> DataFrame:
@@ -187,6 +196,16 @@ def annotations(df: DataFrame, c: str = "response", offset: Column | None = None
     return i.select(*[x for x in df.columns if x != c], "uri", F.col("i.exact").alias("entity_text"), "entity_type", (F.col("i.offset") + shift).alias("entity_offset"), F.col("i.length").alias("entity_length"), "entity_inferred_name", "entity_url")
 
 
+_SUMMARY = "map<string, struct<_typeGroup:string,_type:string,name:string,categoryName:string,relevance:double>>"
+
+
+def response_summary(df: DataFrame, c: str = "response") -> DataFrame:
+    """``kind, type, name, relevance`` of the topics, entities and relations of an annotator's answer."""
+    keep = [x for x in df.columns if x != c]
+    e = df.select(*keep, F.explode(F.from_json(c, _SUMMARY)).alias("uri", "e")).where("e._typeGroup in ('topics', 'entities', 'relations')")
+    return e.select(*keep, F.col("e._typeGroup").alias("kind"), F.col("e._type").alias("type"), F.coalesce("e.name", "e.categoryName").alias("name"), F.col("e.relevance").alias("relevance"))
+
+
 def by_type_group(df: DataFrame, c: str = "response") -> DataFrame:
     """``type_group, n, uris`` of an answer: its parts regrouped."""
     each = df.select(*[x for x in df.columns if x != c], F.explode(F.from_json(c, _RESPONSE)).alias("uri", "e"))
