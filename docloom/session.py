@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,19 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return b.getOrCreate()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); it goes when the application ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file:///tmp/checkpoints/docloom"
+    path = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 #: Bytes of a table for each core up to which :func:`spread` moves rows.
 SPREAD_BYTES = 128 << 20
 

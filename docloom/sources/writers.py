@@ -89,7 +89,8 @@ def lines(df: DataFrame, c: str, path: str) -> None:
 
 
 def delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    df.write.mode("overwrite").csv(path, sep=sep, header=header)
+    """Quotes inside fields are doubled, as :func:`docloom.sources.readers.csv` reads them."""
+    df.write.mode("overwrite").csv(path, sep=sep, header=header, escape='"')
 
 
 def folds(df: DataFrame, path: str, fold: str = "fold") -> None:
