@@ -44,6 +44,44 @@ def op4_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.private_spans(table(spark, sf_dir, "documents"))
 
 
+def _op4_sql(limits: privacy.Limits) -> str:
+    """Matches with their places, from the pieces between them; then entities, terms and counts in documents."""
+
+    def found(kind: int, pattern: str) -> str:
+        return f"SELECT r, {kind} AS kind, unnest(regexp_split_to_array(t, '{pattern}')) AS before, unnest(list_append(regexp_extract_all(t, '{pattern}'), NULL)) AS said, generate_subscripts(regexp_split_to_array(t, '{pattern}'), 1) AS i FROM d WHERE regexp_matches(t, '{pattern}')"
+
+    def placed(source: str) -> str:
+        upto = "OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        start = f"(sum(length(before)) {upto} CURRENT ROW) + coalesce(sum(length(said)) {upto} 1 PRECEDING), 0))::BIGINT"
+        return f"SELECT r, kind, said, s, s + length(said) AS f FROM (SELECT r, kind, said, {start} AS s FROM ({source})) WHERE said IS NOT NULL"
+
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]")
+    luhn = "list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN (length(v) - i) % 2 = 0 THEN v[i]::INT WHEN v[i]::INT > 4 THEN v[i]::INT * 2 - 9 ELSE v[i]::INT * 2 END)) % 10 = 0"
+    holds = f"CASE kind WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(said, '.'), lambda x: length(ltrim(x, '0')) > 3 OR right(x, 4)::INT > 255)) = 0 WHEN 2 THEN length(v) BETWEEN 12 AND 19 AND {luhn} ELSE length(v) BETWEEN 9 AND 15 END"
+    value = "CASE kind WHEN 0 THEN lower(said) WHEN 1 THEN said ELSE regexp_replace(said, '[^0-9]', '', 'g') END"
+    groups = (
+        "CASE kind WHEN 0 THEN ['*', '@' || string_split(v, '@')[-1], left(v, -length(string_split(v, '@')[-1]))] WHEN 1 THEN ['*', array_to_string(string_split(v, '.')[1:2], '.') || '.', array_to_string(string_split(v, '.')[1:3], '.') || '.'] "
+        "WHEN 2 THEN ['*', v[1:6] || '*'] ELSE ['*', v[1:4] || '*', left(v, -4) || '*'] END"
+    )
+    word = r"[\p{L}\p{Nl}\p{No}]{3,}"
+    pmi = "log2(b.n * total / (e.n * c.n))"
+    chance = "e.n * c.n / total"
+    listed = "string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || f, ',' ORDER BY s, kind, f)"
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT count(*)::DOUBLE AS total FROM d), m AS ({placed(' UNION ALL '.join(found(k, p) for k, p in enumerate(patterns)))}), "
+        f"base AS (SELECT r, kind, s, f, v FROM (SELECT *, {value} AS v FROM m) WHERE {holds}), "
+        f"w AS (SELECT r, lower(said) AS term, s, f FROM ({placed(found(4, word))})), "
+        "o AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.f AND w.s < b.f)), "
+        f"x AS (SELECT DISTINCT r, kind, false AS wide, v AS e FROM base UNION SELECT DISTINCT r, kind, true, unnest({groups}) FROM base), "
+        f"e AS (SELECT kind, wide, e, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= {limits.support}), ts AS (SELECT DISTINCT r, term FROM o WHERE r IN (SELECT r FROM base)), "
+        f"b AS (SELECT kind, wide, e, term, count(*) AS n FROM x JOIN e USING (kind, wide, e) JOIN ts USING (r) GROUP BY ALL HAVING count(*) >= {limits.support}), c AS (SELECT term, count(DISTINCT r) AS n FROM w GROUP BY 1), "
+        f"told AS (SELECT DISTINCT term FROM b JOIN e USING (kind, wide, e) JOIN c USING (term), n WHERE e.n < total AND {pmi} / -log2(e.n / total) >= {limits.generalise} AND (NOT wide OR 2 * (b.n * ln(b.n / ({chance})) - b.n + {chance}) >= {limits.evidence})), "
+        "every AS (SELECT r, kind, s, f FROM base UNION ALL SELECT r, 4, s, f FROM o WHERE term IN (SELECT term FROM told)), "
+        f"a AS (SELECT r, {', '.join(f'count(*) FILTER (WHERE kind = {k}) AS n{k}' for k in range(5))}, {listed} AS spans, coalesce({listed} FILTER (WHERE kind < 4), '') AS base FROM every GROUP BY r) "
+        "SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n4, 0) AS n_term FROM d LEFT JOIN a USING (r)"
+    )
+
+
 def op5_tier_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     spec = bpe.load(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), spec))
@@ -102,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others need models, tokenizers, hashes or filters that SQL lacks."""
-    return {"op3_warc_normaliser": OP3_SQL, "op8_repetition_coverage": _op8_sql(repetition.Rules())}
+    return {"op3_warc_normaliser": OP3_SQL, "op4_disclosure_spans": _op4_sql(privacy.Limits()), "op8_repetition_coverage": _op8_sql(repetition.Rules())}
