@@ -267,8 +267,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(spec: str) -> Encoder:
-    return Encoder(spec)
+def encoder(spec: str, memo: int = 600_000) -> Encoder:
+    return Encoder(spec, memo, 20 * memo)
 
 
 # Decoding.
