@@ -19,6 +19,10 @@ from docloom.llm import bpe, neardup, packing, privacy, repetition, toxicity
 from docloom.llm.common import cut, table, uncut
 
 
+#: Pieces of text that a worker of the last stage remembers; what ran before has left it less memory than packing alone has.
+MEMO = 150_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain calls toxic; one at the cut-off is toxic, an empty one is not, and without labels none is."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.Settings())
@@ -46,7 +50,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of the packed sequences; an empty text is its end id alone."""
     spec = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.digests(packing.pack(docs, spec))
+    return packing.digests(packing.pack(docs, spec, memo=MEMO))
 
 
 STAGES = [
