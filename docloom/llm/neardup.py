@@ -198,7 +198,7 @@ def _sketches(rows: DataFrame, width: int, least: float) -> DataFrame:
 # Candidates.
 
 
-def set_pairs(node: np.ndarray, held: np.ndarray, least: float, every: bool, tile: int = 64) -> np.ndarray:
+def set_pairs(node: np.ndarray, held: np.ndarray, least: float, every: bool, tile: int = 16) -> np.ndarray:
     """``(a, b)`` of different groups whose sets can have the similarity ``least``: all, or for each node the first one.
 
     ``held`` are rows of a group, the size of the set and its parity.
