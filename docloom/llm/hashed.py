@@ -91,7 +91,7 @@ class Sparse:
 
     @property
     def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        return np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))
 
     def dot(self, w: np.ndarray, row: np.ndarray) -> np.ndarray:
         return np.bincount(row, self.value * w[self.column], len(self.start) - 1)
@@ -106,7 +106,7 @@ class Sparse:
         return Sparse(np.r_[0, ends], self.column[at], self.value[at], self.width)
 
     def columns(self, which: np.ndarray) -> Sparse:
-        number = np.full(self.width, -1)
+        number = np.full(self.width, -1, np.int32)
         number[which] = np.arange(len(which))
         c = number[self.column]
         keep = c >= 0
@@ -151,25 +151,26 @@ def labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], of:
     got = rows.select("doc_id", "text", "h", *(F.col(k).cast("double").alias(k) for k in names)).mapInArrow(go, "doc_id long, h long, b binary, c binary, n long, extra array<double>, " + ", ".join(f"{k} double" for k in names))
     first = F.min_by(F.struct("b", "c", "n", "extra", *names), "h").alias("x")
     t = got.groupBy("doc_id").agg(first).select("doc_id", "x.*").toArrow().sort_by("doc_id")
-    b = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("b")]
-    size = np.fromiter(map(len, b), np.int64, len(b))
-    count = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x.as_py(), np.float32) for x in t.column("c"))])
-    n = t.column("n").to_numpy()
-    x = Sparse(np.r_[0, np.cumsum(size)], np.concatenate([np.empty(0, np.uint32), *b]).astype(np.int64), share(count, np.repeat(n, size)), BUCKETS)
-    more = np.array(t.column("extra").to_pylist(), np.float64).reshape(len(b), -1) if b else np.empty((0, 0))
+    joined = lambda c, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_py(), kind) for x in t.column(c))])
+    size = np.fromiter((len(x.as_py()) // 4 for x in t.column("b")), np.int64, t.num_rows)
+    count, column = joined("c", np.float32), joined("b", np.uint32).astype(np.int32)
+    # Values are single precision: there is one for each different word of each example.
+    value = share(count, np.repeat(t.column("n").to_numpy().astype(np.float32), size))
+    x = Sparse(np.r_[0, np.cumsum(size)], column, value.astype(np.float32), BUCKETS)
+    more = np.array(t.column("extra").to_pylist(), np.float64).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0))
     return x, {k: t.column(k).to_numpy() for k in names}, more
 
 
 def telling(x: Sparse, y: np.ndarray, most: int, least_rows: int = 5) -> np.ndarray:
     """Columns whose mean differs most between rows with and without ``y``, in standard errors."""
-    row = x.row
-    on = y[row] > 0
-    n1, n0 = max(1, int((y > 0).sum())), max(1, int((y <= 0).sum()))
+    with_y = np.nonzero(y > 0)[0]
+    n1, n0 = max(1, len(with_y)), max(1, len(y) - len(with_y))
+    sums = lambda part: [np.bincount(part.column, part.value.astype(np.float64) ** k, part.width) for k in (1, 2)]
+    whole, own = sums(x), sums(x.rows(with_y))
     moments = []
-    for which, n in ((on, n1), (~on, n0)):
-        s1 = np.bincount(x.column[which], x.value[which], x.width) / n
-        s2 = np.bincount(x.column[which], x.value[which] ** 2, x.width) / n
-        moments.append((s1, (s2 - s1**2) / n))
+    for n, (s1, s2) in ((n1, own), (n0, [a - b for a, b in zip(whole, own, strict=True)])):
+        mean = s1 / n
+        moments.append((mean, np.maximum(s2 / n - mean**2, 0) / n))
     (m1, v1), (m0, v0) = moments
     z = np.abs(m1 - m0) / np.sqrt(v1 + v0 + 1e-9)
     z[np.bincount(x.column, minlength=x.width) < least_rows] = 0
