@@ -36,6 +36,8 @@ from docloom.llm.common import on_workers
 
 #: Tokens that wait in a partition's pool before windows are closed.
 POOL_TOKENS = 1 << 20
+#: Bytes of texts that are encoded at once.
+BLOCK = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
@@ -164,7 +166,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = 0, largest: int = 1024, least
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
 
-        for doc_id, texts in text_blocks(batches):
+        for doc_id, texts in text_blocks(batches, BLOCK):
             ids, tokens = enc.encode(texts)
             ids = ids.astype("<u4")
             upto = np.cumsum(tokens).tolist()
