@@ -20,7 +20,7 @@ from docloom.llm.common import cut, table, uncut
 
 
 #: Pieces of text that a worker of the last stage remembers; what ran before has left it less memory than packing alone has.
-MEMO = 150_000
+MEMO = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
