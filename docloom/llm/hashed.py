@@ -68,15 +68,16 @@ class Features:
             self.memo[token] = found
         return found
 
-    def counts(self, text: str | None) -> tuple[Counter, int]:
-        """Counts by bucket, and the number of tokens."""
+    def counts(self, text: str | None) -> tuple[dict[int, int], int]:
+        """Counts by bucket, and the number of tokens; each different token is looked up once."""
         tokens = (text or "").split()
-        seen: Counter = Counter()
-        for token, found in zip(tokens, map(self.memo.get, tokens), strict=True):
+        seen: dict[int, int] = {}
+        for token, times in Counter(tokens).items():
+            found = self.memo.get(token)
             if found is None:
                 found = self._new(token)
-            if found:
-                seen.update(found)
+            for b in found:
+                seen[b] = seen.get(b, 0) + times
         return seen, len(tokens)
 
 
