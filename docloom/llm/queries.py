@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import audio, bpe, extract, packing, privacy, quality, repetition, simhash, toxicity, warc
+from docloom.llm import audio, audit, bpe, extract, packing, privacy, quality, repetition, simhash, toxicity, warc
 from docloom.llm.common import table
 
 
@@ -134,10 +135,33 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), settings), settings)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op13_sql() -> str:
+    """Every order one by one: the first filter of the order that a document fails removes it."""
+    values = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+    fails = lambda f: f"CASE {f} WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END"
+    earlier = " OR ".join(f"(step > {k} AND {fails(f'o[{k}]')})" for k in range(1, 5))
+    some = lambda where, what="n": f"coalesce(sum({what}) FILTER (WHERE {where}), 0)::BIGINT"
+    here = f"({fails('f')}) AND NOT ({earlier})"
+    return (
+        "WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), "
+        "x AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w), "
+        "l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1), "
+        "g AS (SELECT part, a, b, c, d, e, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM x LEFT JOIN l USING (doc_id) GROUP BY ALL), "
+        f"s AS (SELECT o, step, o[step] AS f FROM (VALUES {values}) AS v(o), range(1, 6) AS r(step)), "
+        f"y AS (SELECT part, o AS filter_order, step::INT AS step, f, {some(f'NOT ({earlier}) AND NOT ({fails("f")})')} AS kept, {some(here)} AS removed, {some(f'({fails("f")}) AND ({earlier})')} AS redundant, "
+        f"{some(f'({fails("f")}) AND a::INT + b::INT + c::INT + d::INT + e::INT = 1')} AS unique_fails, {some(here, 'good')} AS good_lost, {some(here, 'toxic')} AS toxic_lost FROM g, s GROUP BY ALL) "
+        "SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality)}
+    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need models, tokenizers, hashes or filters that SQL lacks."""
-    return {"op3_warc_normaliser": OP3_SQL, "op4_disclosure_spans": _op4_sql(privacy.Limits()), "op8_repetition_coverage": _op8_sql(repetition.Rules())}
+    return {"op3_warc_normaliser": OP3_SQL, "op4_disclosure_spans": _op4_sql(privacy.Limits()), "op8_repetition_coverage": _op8_sql(repetition.Rules()), "op13_filter_audit": _op13_sql()}
