@@ -8,7 +8,7 @@ from itertools import permutations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import audio, audit, bpe, extract, packing, privacy, quality, repetition, simhash, toxicity, warc
+from docloom.llm import audio, audit, bpe, extract, negatives, packing, privacy, quality, repetition, simhash, toxicity, warc
 from docloom.llm.common import table
 
 
@@ -135,6 +135,24 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), settings), settings)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "if(vec_id % 7 = 0, (label + 1) % 10, label) label", "embedding vector", "vec_id % 100 = 0 anchor")
+    return negatives.mine(rows)
+
+
+def _op11_sql(s: negatives.Settings) -> str:
+    return (
+        "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, "
+        f"list_transform(embedding, lambda x: floor({s.scale} * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "a AS (SELECT row_number() OVER () AS n, * FROM v WHERE vec_id % 100 = 0), "
+        "s AS (SELECT a.n, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM a JOIN v b ON len(a.v) = len(b.v)), "
+        f"p AS (SELECT n, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS j FROM s WHERE same AND vec_id <> anchor_id QUALIFY j <= {s.positives}), "
+        "r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, (row_number() OVER (PARTITION BY p.n, j ORDER BY s.score DESC, s.vec_id))::INT AS rank "
+        f"FROM p JOIN s ON s.n = p.n AND NOT same AND {s.low} * positive_score <= 100 * s.score AND 100 * s.score <= {s.high} * positive_score) "
+        f"SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= {s.negatives}"
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -159,9 +177,9 @@ def _op13_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality, op11_hard_negatives, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need models, tokenizers, hashes or filters that SQL lacks."""
-    return {"op3_warc_normaliser": OP3_SQL, "op4_disclosure_spans": _op4_sql(privacy.Limits()), "op8_repetition_coverage": _op8_sql(repetition.Rules()), "op13_filter_audit": _op13_sql()}
+    return {"op3_warc_normaliser": OP3_SQL, "op4_disclosure_spans": _op4_sql(privacy.Limits()), "op8_repetition_coverage": _op8_sql(repetition.Rules()), "op11_hard_negatives": _op11_sql(negatives.Settings()), "op13_filter_audit": _op13_sql()}
