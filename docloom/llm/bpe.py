@@ -231,15 +231,18 @@ class Encoder:
         grown = np.zeros(self.size - len(self.start), np.int64)
         self.start, self.length = np.concatenate([self.start, grown]), np.concatenate([self.length, grown])
         if self.new:
-            e = self.tokenizer.encode(self.new, is_pretokenized=True, add_special_tokens=False)
-            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(self.new))
-            self._store(np.array(self.new_at), np.array(e.ids, np.uint32), counts)
+            self._store(np.array(self.new_at), *self._library(self.new))
         if self.joined:
             n, *parts = np.array(self.joined).T
             at = np.stack(parts, axis=1).reshape(-1)
             self._store(n, self._gather(at), self.length[at].reshape(-1, 2).sum(axis=1))
         self.new, self.new_at, self.joined = [], [], []
 
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and the number of ids of each."""
+        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces))
+
     def _store(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         self.start[at] = np.cumsum(counts) - counts + len(self.pool)
         self.length[at] = counts
@@ -277,10 +280,14 @@ def encoder(spec: str, memo: int = 600_000) -> Encoder:
 @lru_cache(2)
 def token_bytes(spec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all tokens one after the other, and the start and length of each id's, by the reversed byte table."""
-    vocab = json.loads(spec)["model"]["vocab"]
-    raw = [b""] * (max(vocab.values()) + 1)
+    j = json.loads(spec)
+    vocab = j["model"]["vocab"]
+    special = {a["id"]: a["content"].encode() for a in j["added_tokens"]}
+    raw = [b""] * (max([*vocab.values(), *special]) + 1)
     for token, i in vocab.items():
         raw[i] = raw_of(token)
+    for i, said in special.items():
+        raw[i] = said
     length = np.fromiter(map(len, raw), np.int64, len(raw))
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length
 
@@ -337,7 +344,7 @@ def text_blocks(batches, most: int = BLOCK_BYTES):
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary, byte_ends binary, split_tokens long"
 
 
-def encode_decode(docs: DataFrame, spec: str, offsets: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, spec: str, offsets: bool = False, encoder_of=encoder) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: its ids and, decoded from them, its bytes.
 
     ``ids`` are little-endian unsigned 32-bit integers. ``byte_ends``, with
@@ -351,7 +358,7 @@ def encode_decode(docs: DataFrame, spec: str, offsets: bool = False) -> DataFram
 
     def go(batches):
         spec = sent.value
-        enc = encoder(spec)
+        enc = encoder_of(spec)
         for doc_id, texts in text_blocks(batches):
             ids, tokens = enc.encode(texts)
             raw, ends = decode(spec, ids)

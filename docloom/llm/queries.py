@@ -8,7 +8,7 @@ from itertools import permutations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import audio, audit, bpe, extract, negatives, packing, privacy, quality, repetition, simhash, toxicity, warc
+from docloom.llm import audio, audit, bpe, extract, negatives, packing, prefix_bpe, privacy, quality, repetition, simhash, toxicity, warc
 from docloom.llm.common import table
 
 
@@ -153,6 +153,12 @@ def _op11_sql(s: negatives.Settings) -> str:
     )
 
 
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    spec = prefix_bpe.spec_of(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    done = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), spec)
+    return done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "sha2(decoded, 256) decoded_sha256", "split_tokens")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -177,7 +183,7 @@ def _op13_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality, op11_hard_negatives, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_main_text, op2_toxicity_chain, op3_warc_normaliser, op4_disclosure_spans, op5_tier_packing, op6_golay_simhash, op7_audio_features, op8_repetition_coverage, op9_byte_bpe, op10_ordinal_quality, op11_hard_negatives, op12_prefix_bpe, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
