@@ -1,7 +1,8 @@
 """HTML as a sequence of leaf blocks: text between block-level tags, with the path of tags above it.
 
-Scripts, styles, templates, the head and comments have no blocks. Character
-references are decoded, inline tags vanish, a line break is white space, and
+Scripts, styles, templates, the head and comments have no blocks and part none:
+text before and after one of them in a paragraph is one block. Character
+references are decoded, tags that are no block's vanish, a line break is white space, and
 white space becomes one space. Paragraphs, list items and table cells that are
 not closed end where HTML says they do. Formulas and drawings are inline: their
 text is text of the block around them.
@@ -34,7 +35,11 @@ _RAW = frozenset("script style iframe title textarea".split())
 #: What a head can hold; anything else ends it.
 _HEAD = frozenset("title meta link base style script noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that begin and end a block; all others, known or not, stand in the line of the text around them.
+_BLOCK = frozenset(
+    "html body address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav object ol optgroup option"
+    " p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+)
 #: What lies in these is inline, and a tag there can close itself.
 _FOREIGN = ("math", "svg")
 #: Elements that an opening tag ends, and those beyond which it ends none.
@@ -180,14 +185,14 @@ def blocks(page: str | None, paths: Paths) -> list[Block]:
         done = look = end + 1
         tag = named[2].lower()
         foreign = any(places.get(x) for x in _FOREIGN)
-        inline = foreign or tag in _INLINE or tag in _FOREIGN
+        inline = foreign or tag not in _BLOCK
         if named[1]:  # an end tag
             if tag == "br":
                 pieces.append(" ")
                 continue
             opened = places[tag][-1] if places.get(tag) else 0
-            # An end tag of what a formula or drawing stands in ends that too.
-            if not inline or foreign and tag not in _INLINE and 0 < opened < nearest(_FOREIGN):
+            # An end tag of what a formula or drawing, or a silent element, stands in ends that too.
+            if tag in _BLOCK and (not foreign or 0 < opened < nearest(_FOREIGN)) and (not silent or 0 < opened < silent):
                 flush()
             if opened:
                 shrink(opened)

@@ -8,7 +8,7 @@ that every block is judged in the context of all others, and gives each the
 probability that it is main text. The text is those of one half or more, in page order.
 
 The model is trained here, on invented pages whose main text is known
-(:mod:`docloom.llm.sample_pages`); training takes a few seconds on the driver and
+(:mod:`docloom.llm.sample_pages`); training takes about 40 seconds on the driver and
 does not depend on the data. Its weights are sent to the executors; pages are
 labelled in batches of similar length, whole, without a shuffle.
 
@@ -118,7 +118,7 @@ def examples(seed: int, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 @lru_cache(2)
-def labeller(seed: int = 7, pages: int = 2400, rounds: int = 8, size: int = 40) -> BiLstm:
+def labeller(seed: int = 7, pages: int = 3400, rounds: int = 10, size: int = 40) -> BiLstm:
     """The trained model; equal arguments give equal models."""
     known = examples(seed, pages)
     rng = random.Random(seed)

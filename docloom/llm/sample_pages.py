@@ -180,7 +180,68 @@ class Pages:
                 out.append(f"<div>{MARK}{self.text(1, 3)}</div>")
         return out
 
+    # Whole pages.
+
+    def bare(self) -> str:
+        """An article and nothing or little else: paragraphs without a frame, or text without a tag."""
+        r, x = self.r, self.r.random()
+        if x < 0.2:
+            return f"{MARK}{self.text(1, 6)}"
+        if x < 0.45:
+            body = "".join(f"<p>{MARK}{self.inline(self.text(1, 6))}" + r.choice(["</p>", ""]) for _ in range(r.randint(1, 8)))
+        elif x < 0.55:
+            line = f"<p>{MARK}{self.text(1, 3)}</p>"
+            body = line * r.randint(2, 5)
+        else:
+            body = "".join(self.said_in())
+        body = r.choice([self.around("nav"), self.links("nav"), "", "", ""]) + body + r.choice([self.around("footer"), f"<hr>{self.said('footer')}", "", "", ""])
+        return r.choice(["{}", "<html><body>{}</body></html>", "<body>{}"]).format(body)
+
+    def plain_name(self) -> str:
+        r = self.r
+        return r.choice(["", f' class="{r.choice("abcdstx")}{r.randint(1, 30)}"', f" class={r.choice('cx')}{r.randint(1, 9)}", f' class="{r.choice(_PLAIN)}"', f' class="css-{r.randrange(16**6):06x}"'])
+
+    def soup(self) -> str:
+        """Divisions only, with names that say nothing."""
+        r = self.r
+        div = lambda x: f"<div{self.plain_name()}>{x}</div>"
+        name = self.plain_name()
+        inner = ([div(f"{MARK}{self.words(2, 10)}")] if r.random() < 0.8 else []) + [f"<div{name}>{MARK}{self.inline(self.text(1, 5))}</div>" for _ in range(r.randint(1, 10))]
+        if r.random() < 0.1:
+            inner = inner[:-1] + [inner[-1]] * r.randint(2, 4)
+        body = div("".join(inner)) if r.random() < 0.9 else "".join(inner)
+        links = lambda kind: div(r.choice([lambda: self.links(kind), lambda: " ".join(self.said(kind) for _ in range(r.randint(1, 4))), lambda: div(self.links(kind)) + div(self.links(kind))])())
+        before = [links(k) for k, p in (("nav", 0.8), ("ad", 0.2), ("notice", 0.1)) if r.random() < p]
+        after = [links(k) for k, p in (("side", 0.3), ("share", 0.2), ("ad", 0.2)) if r.random() < p] + ([div(r.choice(["Contact us", "Contact", "About us", "Help", self.said("footer"), self.said("footer")]))] if r.random() < 0.8 else [])
+        whole = "".join(before) + body + "".join(after)
+        return r.choice(["{}", "<html><head><title>t</title></head><body>{}</body></html>"]).format(div(whole) if r.random() < 0.4 else whole)
+
+    def table(self) -> str:
+        """A page laid out by a table: links on top or at a side, the text in a cell, a last line."""
+        r = self.r
+        a = lambda: r.choice(["", "", ' width="20%"', " bgcolor=#eee", ' valign="top"', " colspan=2", ' align="center"'])
+        font = lambda x: r.choice(["{}", "{}", "<font size=2>{}</font>", "<center>{}</center>"]).format(x)
+        text = r.choice([
+            lambda: "".join(self.said_in()),
+            lambda: f"<h1>{MARK}{self.words(2, 8)}</h1>" + "".join(f"<p>{MARK}{self.inline(self.text(1, 5))}" for _ in range(r.randint(1, 6))),
+            lambda: f"<b>{MARK}{self.words(2, 8)}</b><p>" + "<p>".join(f"{MARK}{self.text(1, 5)}" for _ in range(r.randint(1, 6))),
+            lambda: f"{MARK}{self.text(2, 6)}",
+        ])()
+        top = f"<tr><td{a()}>{font(r.choice([self.links('nav'), self.said('nav'), '<img src=x>' + self.words(1, 3)]))}</td></tr>" if r.random() < 0.7 else ""
+        side = f"<td{a()}>{font(r.choice([self.links('nav'), self.links('side'), self.lines('side')]))}</td>" if r.random() < 0.7 else ""
+        main = f"<td{a()}>{text}</td>"
+        ends = ["Copyright 1999", f"Copyright {r.randint(1994, 2012)} {self.words(1, 2)}", f"&copy; {r.randint(1994, 2012)}", "Best viewed at 800x600", self.links("footer"), self.said("footer")]
+        last = f"<tr><td{a()}>{font(r.choice(ends))}</td></tr>" if r.random() < 0.85 else ""
+        whole = f"<table{a()}>{top}<tr>{r.choice([side + main, main + side])}</tr>{last}</table>" + (r.choice(ends) if r.random() < 0.15 else "")
+        return r.choice(["{}", "<html><body bgcolor=white>{}</body></html>"]).format(whole)
+
     def page(self) -> str:
+        """A page of any kind."""
+        x = self.r.random()
+        return self.bare() if x < 0.08 else self.soup() if x < 0.18 else self.table() if x < 0.26 else self.framed()
+
+    def framed(self) -> str:
+        """A page whose parts have names or elements of their own."""
         r = self.r
         parts = self.said_in()
         if r.random() < 0.3:
