@@ -12,7 +12,8 @@ toxic texts of one sort share their words. The last link is trained on the label
 decides. Links are logistic regressions; the probabilities that a later link is
 trained on are out of fold, so that it learns how far the earlier ones can be
 trusted on texts they have not seen. The cut-off is the one with the best F1
-on out-of-fold probabilities.
+on held-out probabilities: of each fold by a chain whose buckets, kinds and links come from the other folds
+alone (``held_out`` has the counts; only the cut-off itself has seen those rows).
 
 The model is fitted on a bounded sample of labelled rows (``sample``) and keeps a
 bounded number of buckets (``features``, those that tell most); all documents are
@@ -63,6 +64,7 @@ class Chain:
     buckets: np.ndarray
     links: list[Link]
     cutoff: float
+    held_out: dict[str, int] | None = None  # labelled rows by chains that have not seen them, at the cut-off
 
     def probabilities(self, x: Sparse) -> np.ndarray:
         """A column for each link."""
@@ -138,10 +140,15 @@ def clusters(x: Sparse, toxic: np.ndarray, count: int, rounds: int = 25) -> np.n
     return out
 
 
+def folds_of(n: int, folds: int) -> np.ndarray:
+    """A fold for each of ``n`` rows, of equal sizes and by no order of theirs; equal arguments give equal folds."""
+    return np.random.default_rng(n).permutation(n) % folds
+
+
 def fit_chain(x: Sparse, targets: dict[str, np.ndarray], settings: Settings) -> tuple[list[Link], np.ndarray]:
     """Links in the order of ``targets``, and the out-of-fold probabilities, a column for each."""
     n = len(x.start) - 1
-    fold = np.arange(n) % settings.folds
+    fold = folds_of(n, settings.folds)
     links, before = [], np.empty((n, 0))
     for name, y in targets.items():
         unseen = np.zeros(n)
@@ -155,17 +162,37 @@ def fit_chain(x: Sparse, targets: dict[str, np.ndarray], settings: Settings) ->
     return links, before
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings) -> Chain:
-    wanted = {"toxic": F.max("toxic")} | ({"poor": F.max((F.coalesce("quality", F.lit(1)) == 0).cast("int"))} if "quality" in labels.columns else {})
-    x, y, _ = labelled(docs, labels, wanted, word_features, settings.sample)
-    toxic = (y["toxic"] > 0).astype(float)
+def fit_whole(x: Sparse, toxic: np.ndarray, poor: np.ndarray | None, settings: Settings) -> tuple[np.ndarray, list[Link]]:
+    """All that is learnt from rows, but for the cut-off: the buckets that tell, the kinds, the links."""
     buckets = telling(x, toxic, settings.features)
     x = x.columns(buckets)
     kind = clusters(x, toxic, settings.kinds)
-    targets = {"poor": (y["poor"] > 0).astype(float)} if "poor" in y else {}
+    targets = {} if poor is None else {"poor": poor}
     targets |= {f"kind_{k}": (kind == k).astype(float) for k in range(1, settings.kinds + 1)}
-    links, unseen = fit_chain(x, targets | {"toxic": toxic}, settings)
-    return Chain(buckets, links, best_cutoff(unseen[:, -1], toxic))
+    return buckets, fit_chain(x, targets | {"toxic": toxic}, settings)[0]
+
+
+def held_out(x: Sparse, toxic: np.ndarray, poor: np.ndarray | None, settings: Settings) -> np.ndarray:
+    """The probability of ``toxic`` for each row by a chain whose buckets, kinds and links were learnt without the row's fold."""
+    fold, out = folds_of(len(toxic), settings.folds), np.zeros(len(toxic))
+    for k in range(settings.folds):
+        train, test = np.nonzero(fold != k)[0], np.nonzero(fold == k)[0]
+        if len(test):
+            buckets, links = fit_whole(x.rows(train), toxic[train], None if poor is None else poor[train], settings)
+            out[test] = Chain(buckets, links, 0.0).probabilities(x.rows(test).columns(buckets))[:, -1]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings) -> Chain:
+    wanted = {"toxic": F.max("toxic")} | ({"poor": F.max((F.coalesce("quality", F.lit(1)) == 0).cast("int"))} if "quality" in labels.columns else {})
+    x, y, _ = labelled(docs, labels, wanted, word_features, settings.sample)
+    toxic = (y["toxic"] > 0).astype(float)
+    poor = (y["poor"] > 0).astype(float) if "poor" in y else None
+    p = held_out(x, toxic, poor, settings)
+    cutoff = best_cutoff(p, toxic)
+    said = p >= cutoff
+    figures = {"toxic": int(toxic.sum()), "found": int((said & (toxic > 0)).sum()), "others": int((toxic == 0).sum()), "false": int((said & (toxic == 0)).sum())}
+    return Chain(*fit_whole(x, toxic, poor, settings), cutoff, figures)
 
 
 class Scorer:
