@@ -21,7 +21,7 @@ Counts cover the whole corpus. Pairs are made only for entities of ``support``
 documents. Document counts of terms are needed only for terms that some entity
 meets ``support`` times: a bit table of fixed size screens words before they are
 counted, and the exact join afterwards leaves no false ones. Pairs and terms are
-aggregated before they are shuffled. The disclosing terms are sent to the workers.
+aggregated before they are shuffled. Up to :data:`MOST_TERMS` disclosing terms are sent to the workers, more are joined.
 
 Defined cases: a null text counts as empty and has no spans; rows with equal or
 null ids are separate documents; a text that is nothing but a number or
@@ -198,7 +198,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 words = words_of(x.as_py() or "")
                 if not words:
                     continue
-                h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+                h = _hashes(list(words))
                 out.append(h[passes(bits, h)])
             if out:
                 # One row for each term and batch.
@@ -230,15 +230,49 @@ def disclosures(docs: DataFrame, limits: Limits) -> DataFrame:
     return out
 
 
-def _told(docs: DataFrame, limits: Limits):
-    """Broadcast terms, ascending, and the most that each discloses of any entity."""
+#: Terms that are sent to all workers, at most; counted before.
+MOST_TERMS = 1_000_000
+NONE = np.empty(0, np.int64), np.empty(0, np.float64)
+
+
+def _marked(rows: DataFrame, docs: DataFrame, limits: Limits, f, schema, most: int) -> DataFrame:
+    """``f(batch, told)`` over blocks of ``rows``, which have a column ``text``; ``told(i)`` gives the terms of row ``i``, ascending, and the most that each discloses.
+
+    Up to ``most`` terms are sent to the workers, the same for all rows. More are joined to the words of each text; then texts are shuffled.
+    """
     got = disclosures(docs, limits)
-    # A row for each term that discloses something: a small part of the vocabulary.
-    terms = got.groupBy("t").agg(F.max("share").alias("share")).toArrow()
-    uncut(got)
-    t, share = terms.column("t").to_numpy(), terms.column("share").to_numpy()
-    order = np.argsort(t)
-    return docs.sparkSession.sparkContext.broadcast((t[order], share[order]))
+    terms, text = got.groupBy("t").agg(F.max("share").alias("share")), rows.columns.index("text")
+    if terms.limit(most + 1).count() <= most:
+        t = terms.toArrow().sort_by("t")  # at most ``most`` rows
+        uncut(got)
+        sent = rows.sparkSession.sparkContext.broadcast((t.column("t").to_numpy(), t.column("share").to_numpy()))
+        return per_batch(rows, lambda batch: f(batch, lambda i: sent.value), schema, by=text)
+    numbered = cut(rows.withColumn("told_row", F.monotonically_increasing_id()), "privacy-rows")
+    screen = rows.sparkSession.sparkContext.broadcast(screen_of(terms, "t"))
+
+    def said(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits, at, found = np.frombuffer(screen.value, np.int64), [], []
+        for row, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            h = _hashes(list(words_of(x.as_py() or "")))
+            h = h[passes(bits, h)]
+            at.append(np.full(len(h), row))
+            found.append(h)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(found))], names=["told_row", "t"])
+
+    met = per_batch(numbered.select("told_row", "text"), said, "told_row long, t long", by=1).join(terms, "t")
+    told = met.groupBy("told_row").agg(F.sort_array(F.collect_list(F.struct("t", "share"))).alias("told"))  # the different words of a text at most
+    joined = numbered.join(told, "told_row", "left").select(*rows.columns, F.col("told.t").alias("told_t"), F.col("told.share").alias("told_share"))
+    n = len(rows.columns)
+
+    def own(batch: pa.RecordBatch):
+        t, share = batch.column(n), batch.column(n + 1)
+        return lambda i: (t[i].values.to_numpy(), share[i].values.to_numpy()) if t[i].is_valid else NONE
+
+    return per_batch(joined, lambda batch: f(batch, own(batch)), schema, by=text)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 def term_places(text: str, spans: list[tuple[int, int, int, str]], t: np.ndarray, share: np.ndarray) -> list[tuple[int, int, float]]:
@@ -247,7 +281,7 @@ def term_places(text: str, spans: list[tuple[int, int, int, str]], t: np.ndarray
     if not words:
         return []
     words = list(words)
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+    h = _hashes(words)
     at = np.minimum(np.searchsorted(t, h), len(t) - 1)
     said = {words[i]: float(share[at[i]]) for i in np.nonzero(t[at] == h)[0]}
     if not said:
@@ -255,18 +289,17 @@ def term_places(text: str, spans: list[tuple[int, int, int, str]], t: np.ndarray
     return [(s, f, said[w]) for s, f in places(text, spans) if (w := text[s:f].lower()) in said]
 
 
-def private_spans(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+def private_spans(docs: DataFrame, limits: Limits | None = None, most: int = MOST_TERMS) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: counts, a digest of the base spans, and all spans."""
-    sent = _told(docs, limits or Limits())
     names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_term"]
 
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def go(batch: pa.RecordBatch, told) -> pa.RecordBatch:
         rows = []
-        for x in batch.column(1):
+        for i, x in enumerate(batch.column(1)):
             text = x.as_py() or ""
             spans = base_spans(text)
             base = [s[:3] for s in spans]
-            terms = term_places(text, spans, *sent.value)
+            terms = term_places(text, spans, *told(i))
             count = [0] * 4
             for s in spans:
                 count[s[1]] += 1
@@ -276,7 +309,7 @@ def private_spans(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
     schema = "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS[:4]) + "base_sha256 string, spans string, n_term long"
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), go, schema, by=1)
+    return _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs, limits or Limits(), go, schema, most)
 
 
 def sanitised(text: str, spans: list[tuple[int, int, int, str]], terms: list[tuple[int, int, float]], limits: Limits) -> str:
@@ -292,18 +325,17 @@ def sanitised(text: str, spans: list[tuple[int, int, int, str]], terms: list[tup
     return "".join(out)
 
 
-def sanitise(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, limits: Limits | None = None, most: int = MOST_TERMS) -> DataFrame:
     """``docs`` with personal data and disclosing terms taken out of ``text``; ``n_chars``, if there, follows."""
     limits = limits or Limits()
-    sent = _told(docs, limits)
     names = docs.columns
 
-    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def go(batch: pa.RecordBatch, told) -> pa.RecordBatch:
         new = []
-        for x in batch.column(0):
+        for i, x in enumerate(batch.column(0)):
             text = x.as_py() or ""
             spans = base_spans(text)
-            terms = term_places(text, spans, *sent.value)
+            terms = term_places(text, spans, *told(i))
             new.append(sanitised(text, spans, terms, limits) if spans or terms else x.as_py())
         cols = dict(zip(names, batch.column(1).flatten(), strict=True))
         if "n_chars" in cols:
@@ -312,4 +344,4 @@ def sanitise(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         cols["text"] = pa.array(new, cols["text"].type)
         return pa.RecordBatch.from_arrays([cols[k] for k in names], names=names)
 
-    return per_batch(docs.select("text", F.struct("*").alias("doc")), go, docs.schema, by=0)
+    return _marked(docs.select("text", F.struct("*").alias("doc")), docs, limits, go, docs.schema, most)
