@@ -21,6 +21,7 @@ other than ``doc_id`` and ``text`` are not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import os
 import re
@@ -341,37 +342,70 @@ def text_blocks(batches, most: int = BLOCK_BYTES):
             yield part.column(0), [x or "" for x in part.column(1).to_pylist()]
 
 
-SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary, byte_ends binary, split_tokens long"
+def _encoded(batches, spec: str, encoder_of):
+    """For each block of texts: ``(doc ids, ids, raw bytes, where each id's bytes end, ids before each text, bytes before each text)``."""
+    enc = encoder_of(spec)
+    for doc_id, texts in text_blocks(batches):
+        ids, tokens = enc.encode(texts)
+        raw, ends = decode(spec, ids)
+        upto = np.r_[0, np.cumsum(tokens)]
+        yield doc_id, ids, raw, ends, upto, np.r_[0, ends][upto]
+
+
+SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary, byte_ends binary, char_spans binary, split_tokens long"
 
 
 def encode_decode(docs: DataFrame, spec: str, offsets: bool = False, encoder_of=encoder) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: its ids and, decoded from them, its bytes.
 
-    ``ids`` are little-endian unsigned 32-bit integers. ``byte_ends``, with
-    ``offsets``, holds where each id's bytes end in the text, as little-endian
-    64-bit integers (else null); ``split_tokens`` counts ids that end inside a
-    character. No shuffle.
+    ``ids`` are little-endian unsigned 32-bit integers. With ``offsets`` (else null), ``byte_ends`` holds where each
+    id's bytes end in the text, ``char_spans`` the first character that each id has bytes of and one past its last, as
+    little-endian 64-bit integers; ``split_tokens`` counts ids that end inside a character. No shuffle.
     """
-    spark = docs.sparkSession
-    on_workers(spark)
-    sent = spark.sparkContext.broadcast(spec)  # a vocabulary: its size is checked when it is read
+    sent = _sent(docs, spec)
 
     def go(batches):
-        spec = sent.value
-        enc = encoder_of(spec)
-        for doc_id, texts in text_blocks(batches):
-            ids, tokens = enc.encode(texts)
-            raw, ends = decode(spec, ids)
-            upto = np.cumsum(tokens)
-            byte_at = np.r_[0, np.r_[0, ends][upto]]
-            first = np.r_[(raw & 0xC0) != 0x80, True]
-            split = np.r_[0, np.cumsum(~first[ends])]
-            a = np.r_[0, upto[:-1]]
-            out = [[], [], []]
-            for i, (b, e) in enumerate(zip(a.tolist(), upto.tolist(), strict=True)):
-                out[0].append(ids[b:e].astype("<u4").tobytes())
-                out[1].append(raw[byte_at[i] : byte_at[i + 1]].tobytes())
-                out[2].append((ends[b:e] - byte_at[i]).astype("<i8").tobytes() if offsets else None)
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(tokens), *(pa.array(x, pa.binary()) for x in out), pa.array(split[upto] - split[a])], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        for doc_id, ids, raw, ends, upto, at in _encoded(batches, sent.value, encoder_of):
+            first, last, split = char_offsets(raw, ends)
+            out = [[], [], [], []]
+            for a, b, p, q in zip(upto[:-1].tolist(), upto[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[0].append(ids[a:b].astype("<u4").tobytes())
+                out[1].append(raw[p:q].tobytes())
+                out[2].append((ends[a:b] - p).astype("<i8").tobytes() if offsets else None)
+                out[3].append(_spans(first, last, a, b).tobytes() if offsets else None)
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(upto)), *(pa.array(x, pa.binary()) for x in out), pa.array(_in_each(split, upto))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(go, SCHEMA)
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, char_spans_sha256 string, split_tokens long"
+
+
+def digests(docs: DataFrame, spec: str, encoder_of=encoder) -> DataFrame:
+    """What :func:`encode_decode` gives, as SHA-256 of ids, decoded bytes and character spans; worked out where the ids are."""
+    sent = _sent(docs, spec)
+
+    def go(batches):
+        for doc_id, ids, raw, ends, upto, at in _encoded(batches, sent.value, encoder_of):
+            first, last, split = char_offsets(raw, ends)
+            ids, out = ids.astype("<u4"), [[], [], []]
+            for a, b, p, q in zip(upto[:-1].tolist(), upto[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for to, what in zip(out, (ids[a:b], raw[p:q], _spans(first, last, a, b)), strict=True):
+                    to.append(hashlib.sha256(what).hexdigest())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(upto)), *(pa.array(x, pa.string()) for x in out), pa.array(_in_each(split, upto))], names=[x.split()[0] for x in DIGESTS.split(", ")])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(go, DIGESTS)
+
+
+def _sent(docs: DataFrame, spec: str):
+    on_workers(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary: its size is checked when it is read
+
+
+def _spans(first: np.ndarray, last: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Character spans of the ids ``a`` to ``b`` of one text, from its own first character on."""
+    return np.ascontiguousarray(np.stack([first[a:b], last[a:b]], axis=1) - (first[a] if a < b else 0)).astype("<i8")
+
+
+def _in_each(flags: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[0, np.cumsum(flags)][upto])

@@ -173,3 +173,8 @@ def encoder(spec: str, memo: int = 600_000) -> PrefixEncoder:
 def encode_decode(docs: DataFrame, spec: str) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: its ids and what they decode to; the columns of :func:`docloom.llm.bpe.encode_decode`. No shuffle."""
     return bpe.encode_decode(docs, spec, encoder_of=encoder)
+
+
+def digests(docs: DataFrame, spec: str) -> DataFrame:
+    """The columns of :func:`docloom.llm.bpe.digests`."""
+    return bpe.digests(docs, spec, encoder_of=encoder)

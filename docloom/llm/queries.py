@@ -126,8 +126,7 @@ def _op8_sql(rules: repetition.Rules) -> str:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     spec = bpe.load(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = bpe.encode_decode(table(spark, sf_dir, "documents"), spec)
-    return done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "sha2(decoded, 256) decoded_sha256", "split_tokens")
+    return bpe.digests(table(spark, sf_dir, "documents"), spec)
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +154,7 @@ def _op11_sql(s: negatives.Settings) -> str:
 
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     spec = prefix_bpe.spec_of(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-    done = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), spec)
-    return done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "sha2(decoded, 256) decoded_sha256", "split_tokens")
+    return prefix_bpe.digests(table(spark, sf_dir, "documents"), spec)
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
