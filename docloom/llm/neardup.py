@@ -404,20 +404,35 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8, bucket: int = 4
     return out
 
 
+#: Files whose numbers are sent to all workers, at most.
+_FILES = 100_000
+#: Steps of a plan that give each row of a scan once or not at all.
+_ROWWISE = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a scan of files, of whose rows some may be left out but none comes twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ROWWISE:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a number for each row that stays the same however often it is read.
 
-    Rows of files are numbered by their file and place in it. Others are written first.
+    Rows of a scan of files are numbered by their file and place in it; any other rows, whose place could be that
+    of several, are written first. No column of ``docs`` begins with ``name``.
     """
+    files = len(docs.inputFiles()) if _is_scan(docs) else 0
     try:
-        if not docs.inputFiles():
-            raise AnalysisException("no files")
+        if not 0 < files <= _FILES:
+            raise AnalysisException("not numbered by place")
         placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_place"))
     except AnalysisException:
         return cut(docs.withColumn(name, F.monotonically_increasing_id()), "near-rows")
-    # As many rows as files.
-    files = placed.select(f"{name}_file").distinct().withColumn(f"{name}_no", F.row_number().over(Window.orderBy(f"{name}_file")))
-    return placed.join(F.broadcast(files), f"{name}_file").withColumn(name, F.shiftleft(F.col(f"{name}_no").cast("long"), 40) + F.col(f"{name}_place")).select(*docs.columns, name)
+    order = placed.select(f"{name}_file").distinct().withColumn(f"{name}_no", F.row_number().over(Window.orderBy(f"{name}_file")))  # at most _FILES rows
+    return placed.join(F.broadcast(order), f"{name}_file").withColumn(name, F.shiftleft(F.col(f"{name}_no").cast("long"), 40) + F.col(f"{name}_place")).select(*docs.columns, name)
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -427,7 +442,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     the numbers of the rows that go are too many to be sent to the workers.
     """
     name = "near_row"
-    while name in docs.columns:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
     numbered = _numbered(docs, name)
     found = similar(numbered.select(F.col(name).alias("id"), "text"), width, least)
