@@ -159,3 +159,28 @@ def test_whole_table(spark, name):
         root[y] = x
     kept = {x["doc_id"] for x in neardup.keep_one(docs).collect()}
     assert kept == {d for d in sets if find(d) == d} and len(links) > 50
+
+
+def test_rows_of_one_place_are_told_apart(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randint(0, 10_000)}" for _ in range(40)) for _ in range(3))
+    spark.createDataFrame([(1, [a, b]), (2, [a, c])], "doc_id long, texts array<string>").coalesce(1).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    once = read.select("doc_id", F.explode("texts").alias("text"))
+    assert sorted(x.text for x in neardup.keep_one(once).collect()) == sorted([a, b, c])
+    assert sorted(x.text for x in neardup.keep_one(once.union(once)).collect()) == sorted([a, b, c])
+    plain = read.select("doc_id", F.col("texts")[1].alias("text")).where("doc_id > 0")
+    assert neardup._is_scan(plain) and not neardup._is_scan(once) and not neardup._is_scan(plain.union(plain))
+    assert sorted(x.text for x in neardup.keep_one(plain).collect()) == sorted([b, c])
+
+
+def test_columns_of_the_names_used_inside_pass_through(spark, tmp_path):
+    names = ["near_row", "near_row_file", "near_row_no", "Near_Row_Place", "id", "component_id", "key", "node", "h"]
+    rows = [(1, "one two three four five six", *names), (2, "one two three four five six", *names), (3, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    df.write.parquet(str(tmp_path / "t"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "t"))):
+        got = neardup.keep_one(docs)
+        assert got.columns == df.columns and sorted(tuple(x) for x in got.collect()) == sorted((rows[0], rows[2]))
