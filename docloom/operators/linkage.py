@@ -20,6 +20,16 @@ def shingled(df: DataFrame, key: str, c: Column, n: int) -> DataFrame:
     return df.select(F.col(key), T.tokens(T.normalize(c)).alias("words")).select(key, T.shingles(F.col("words"), n).alias("grams"))
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    """A row for each shingle of ``grams``, as ``gram``.
+
+    Not a plain ``explode``: the optimizer would have it skip empty arrays by a filter below it, which works the array out once
+    more, with all that it is made of written out.
+    """
+    rest = [c for c in df.columns if c != "grams"]
+    return df.select(*rest, F.explode_outer("grams").alias("gram")).where("gram is not null")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str = "text", right_text: str = "text", n: int = 2) -> DataFrame:
     """Pairs that share a shingle, with ``shared``, ``jaccard`` and ``containment`` (of the left text in the right).
 
@@ -29,8 +39,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     another. Where the left side has few different shingles (``SENT``), the right side's are
     held against their hashes before they are shuffled.
     """
-    a = shingled(left, left_key, F.col(left_text), n).select(left_key, F.size("grams").alias("n_left"), F.explode("grams").alias("gram"))
-    b = shingled(right, right_key, F.col(right_text), n).select(right_key, F.size("grams").alias("n_right"), F.explode("grams").alias("gram"))
+    a = exploded(shingled(left, left_key, F.col(left_text), n).select(left_key, F.size("grams").alias("n_left"), "grams"))
+    b = exploded(shingled(right, right_key, F.col(right_text), n).select(right_key, F.size("grams").alias("n_right"), "grams"))
     hashes = a.select(F.xxhash64("gram").alias("hash")).distinct()
     if hashes.limit(SENT + 1).count() <= SENT:
         b = b.withColumn("hash", F.xxhash64("gram")).join(F.broadcast(hashes), "hash", "left_semi").drop("hash")

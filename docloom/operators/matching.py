@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.linkage import best_with_ties
+from docloom.operators.linkage import best_with_ties, exploded
 
 
 def _bundle(df: DataFrame, fields: dict[str, Column], n: int) -> DataFrame:
@@ -47,8 +47,9 @@ def scored_pairs(items: DataFrame, item_documents: DataFrame, entities: DataFram
     without a common shingle is made; intersections are counted by partial aggregation.
     """
     bundled = item_attributes(items, fields, n).select("item_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_grams").alias("grams")) for f in fields))).alias("x"))
-    a = bundled.select("item_id", "x.field", F.size("x.grams").alias("n_item"), F.explode("x.grams").alias("gram")).join(item_documents.select("item_id", "document_id").distinct(), "item_id")
-    b = _bundle(entities, {"name": F.coalesce("entity_inferred_name", F.lit(""))}, n).select("document_id", "entity_id", F.size("name_grams").alias("n_entity"), F.explode("name_grams").alias("gram"))
+    a = exploded(bundled.select("item_id", "x.field", F.size("x.grams").alias("n_item"), F.col("x.grams").alias("grams"))).join(item_documents.select("item_id", "document_id").distinct(), "item_id")
+    b = _bundle(entities, {"name": F.coalesce("entity_inferred_name", F.lit(""))}, n).select("document_id", "entity_id", F.size("name_grams").alias("n_entity"), F.col("name_grams").alias("grams"))
+    b = exploded(b)
     shared = a.join(b, ["document_id", "gram"]).groupBy("item_id", "document_id", "entity_id", "field").agg(F.count("*").alias("shared"), F.first("n_item").alias("n_item"), F.first("n_entity").alias("n_entity"))
     score = F.col("shared") / (F.col("n_item") + F.col("n_entity") - F.col("shared"))
     return shared.groupBy("item_id", "document_id", "entity_id").agg(F.max(score).alias("score"))
