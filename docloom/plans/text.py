@@ -170,8 +170,37 @@ def lookup_first_state(spark, sf):
 def substring_theta(spark, sf):
     cities = read(spark, sf, "part").select(F.split("p_name", " ")[0].alias("city"))
     d = read(spark, sf, "documents").select("doc_id", "text")
-    hits = N.named_in(d, "doc_id", "text", cities, "city").groupBy("doc_id").agg(F.count("*").alias("n_cities"), F.min("name").alias("city"))
-    return d.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("n_cities", F.lit(0)).alias("n_cities"), "city")
+    return N.places(d, "doc_id", "text", cities, "city").select("doc_id", "n_cities", "city")
+
+
+# Parts stand for entities, their types for those of entities.
+_ENTITIES = "SELECT p_partkey AS entity_id, p_brand AS document_id, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Person' WHEN p_type = 'STANDARD' THEN 'City' ELSE 'Company' END AS entity_type, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part"
+_POLITICIANS = "SELECT DISTINCT p_name AS politician FROM part WHERE p_retailprice < 950 AND p_size > 48"
+
+
+def _entities(spark, sf):
+    p = read(spark, sf, "part")
+    kind = F.when(F.col("p_type").isin("ECONOMY", "PROMO"), "Person").when(F.col("p_type") == "STANDARD", "City").otherwise("Company")
+    entities = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("document_id"), kind.alias("entity_type"), F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    return entities, p.where("p_retailprice < 950 AND p_size > 48").select(F.col("p_name").alias("politician"))
+
+
+@plans.add(f"SELECT DISTINCT entity_id, politician AS name FROM ({_ENTITIES}), ({_POLITICIANS}) WHERE entity_type = 'Person' AND (contains(name, politician) OR contains(name, upper(politician)))")
+def person_mentions(spark, sf):
+    """Politicians that entities of persons name, in either case; other entities are not looked at."""
+    entities, politicians = _entities(spark, sf)
+    return N.persons_named(entities, "entity_id", "entity_type", "name", politicians, "politician")
+
+
+@plans.add(
+    f"WITH e AS ({_ENTITIES}), c AS (SELECT document_id, entity_type, count(*) AS n FROM e GROUP BY 1, 2), f AS (SELECT document_id, 'TYPE_' || entity_type || ':' || n || '.0' AS f FROM c "
+    f"UNION ALL SELECT document_id, 'POLITICIAN:' || CASE WHEN bool_or(entity_type = 'Person' AND EXISTS (SELECT 1 FROM ({_POLITICIANS}) WHERE contains(name, politician) OR contains(name, upper(politician)))) THEN '1.0' ELSE '0.0' END FROM e GROUP BY 1) "
+    "SELECT document_id, string_agg(f, ' ' ORDER BY f) AS features FROM f GROUP BY 1"
+)
+def entity_type_features(spark, sf):
+    """Entity types of each document and whether one of its persons is a politician."""
+    entities, politicians = _entities(spark, sf)
+    return X.entity_groups(entities, "document_id", "entity_id", "entity_type", "name", politicians, "politician").select("document_id", X.render(F.col("features")).alias("features"))
 
 
 @plans.add(
@@ -324,9 +353,11 @@ def score_documents(spark, sf):
     names = F.array(F.lit("ring"), F.lit("gear"))
     states = F.create_map(F.lit("red"), F.lit("RD"), F.lit("small"), F.lit("SM"))
     rows = tables.extract_rows(_drawn_tables(spark, sf))
-    labelled = scoring.row_features(rows.withColumn("label", F.contains("entity_text", F.lit("widget")).cast("int")), names)
+    cities = read(spark, sf, "part").select(F.split("p_name", " ")[1].alias("city"))
+    places = scoring.Places(F.array(F.lit("red"), F.lit("small")), F.array(F.lit("RD"), F.lit("SM")), cities)
+    labelled = scoring.row_features(rows.withColumn("label", F.contains("entity_text", F.lit("widget")).cast("int")), names, places)
     model = scoring.ROW_VECTORS.fit(labelled, ml.forest(trees=5, depth=5))
-    return scoring.score_rows(rows, model, names, states)
+    return scoring.score_rows(rows, model, names, states, places)
 
 
 _STATES, _ABBREVIATIONS, _CITIES, _NAMES, _PREFIXES = ("The", "Une"), ("la", "der"), ("tion", "Haus"), ("the", "and", "of", "la", "de", "und", "der"), ("The", "Of", "In")
