@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import tables
 from docloom.plans.base import Plans, read
 from docloom.session import scratch
-from docloom.sources import connectors, readers, writers
+from docloom.sources import connectors, readers, services, store, writers
 
 plans = Plans()
 
@@ -107,9 +107,8 @@ def surnames_by_congress(spark, sf):
 def dashboard_facts(spark, sf):
     """A file whose lines end in a carriage return alone."""
     at = scratch(spark, "facts")
-    line = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit(","), (F.col("n_nationkey") * 3).cast("string"))
-    whole = read(spark, sf, "nation").agg(F.concat(F.lit("state,Total\r"), F.array_join(F.array_sort(F.collect_list(line)), "\r")).alias("t"))
-    writers.lines(whole, "t", at)
+    n = read(spark, sf, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("state"), (F.col("n_nationkey") * 3).alias("Total"))
+    writers.delimited(n, at, line="\r")
     return readers.regional_facts(spark, at)
 
 
@@ -193,6 +192,47 @@ def text_chunks(spark, sf):
 @plans.add("SELECT (100 + n_regionkey)::INT AS congress, CASE WHEN n_nationkey % 2 = 0 THEN 'house' ELSE 'senate' END AS chamber, unnest(generate_series(1, (n_nationkey // 10 + 1)::BIGINT))::INT AS number FROM nation WHERE n_nationkey IN (SELECT max(n_nationkey) FROM nation GROUP BY n_regionkey, n_nationkey % 2)")
 def report_numbers(spark, sf):
     """Numbers of all reports up to the last of each congress and chamber."""
-    rows = read(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()  # as many as nations
-    last = {(100 + r["n_regionkey"], ("house", "senate")[r["n_nationkey"] % 2]): r["n_nationkey"] // 10 + 1 for r in rows}
-    return connectors.report_ids(spark, last)
+    n = read(spark, sf, "nation").select((F.col("n_regionkey") + 100).cast("int").alias("congress"), F.when(F.col("n_nationkey") % 2 == 0, "house").otherwise("senate").alias("chamber"), "n_nationkey")
+    last = n.groupBy("congress", "chamber").agg(F.floor(F.max("n_nationkey") / 10 + 1).alias("last"))
+    return connectors.report_ids(last)
+
+
+@plans.add("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, (o_orderkey // 250 + 1)::BIGINT AS page FROM orders")
+def service_pages(spark, sf):
+    """Records of a paged service, fetched by executors, some pages a partition; only the last page's number is asked for beforehand."""
+    rows = services.pages(spark, "docloom.sources.services:TableService", path=f"{sf}/orders.parquet", key="o_orderkey", columns="o_orderkey,o_custkey,o_orderstatus,o_totalprice", page="250", per_partition="10")
+    record = F.from_json("record", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").alias("r")
+    return rows.select(record, F.col("number").alias("page")).select("r.*", "page")
+
+
+@plans.add("SELECT s_suppkey, s_nationkey, 'v' || s_suppkey || '/' || s_nationkey AS path FROM supplier")
+def service_stream(spark, sf):
+    """What a service has that was not fetched yet: two runs of a stream over a service that grows in between, each record once."""
+    at = scratch(spark, "stream")
+
+    def run(**more) -> None:
+        new = services.new_pages(spark, "docloom.sources.services:TableService", path=f"{sf}/supplier.parquet", key="s_suppkey", columns="s_suppkey,s_nationkey", page="5", per_partition="2", **more)
+        new.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run(last="1")
+    run()
+    run()
+    r = spark.read.schema(services.SCHEMA).parquet(f"{at}/rows").select(F.from_json("record", "s_suppkey long, s_nationkey int").alias("r")).select("r.*")
+    return r.withColumn("path", F.concat(F.lit("v"), "s_suppkey", F.lit("/"), "s_nationkey"))
+
+
+@plans.add(
+    "WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderstatus IN ('F', 'O')), p AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P'), "
+    "u AS (SELECT id, CASE WHEN status = 'F' AND price > 100000 THEN 'X' ELSE status END AS status, price FROM a UNION ALL SELECT * FROM p) SELECT * FROM u WHERE NOT (status = 'O' AND price < 1000) "
+    "UNION ALL SELECT -1 - id, 'copy', price FROM u WHERE status = 'X'"
+)
+def committed_store(spark, sf):
+    """A table that is appended to, updated by key, appended what it lacks, and refreshed from its own rows; each step a version."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    table = store.Table(spark, scratch(spark, "committed"), "id long, status string, price double")
+    table.append(o.where("status in ('F', 'O')"))
+    table.update(o.where("status = 'F' and price > 100000").withColumn("status", F.lit("X")), "id", "status")
+    for _ in range(2):
+        table.append_missing(o, ["id"])
+    table.refresh(lambda rows: rows.where("not (status = 'O' and price < 1000)").unionAll(rows.where("status = 'X'").select(-1 - F.col("id"), F.lit("copy"), "price")))
+    return table.read()

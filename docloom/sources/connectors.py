@@ -1,7 +1,8 @@
 """Connectors to services: downloads with retries, probing for the last id, archives, annotators.
 
 Nothing here opens a connection by itself: what fetches is passed in, so that
-tests and offline runs use a stub. Work over many ids is a map over partitions.
+tests and offline runs use a stub. Work over many ids is a map over partitions; paged services are
+:mod:`docloom.sources.services`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import use_package
@@ -52,17 +53,6 @@ def head_status(path: str, host: str, connect: Callable | None = None) -> int |
         connection.close()
 
 
-def paged(spark: SparkSession, fetch: Callable[[int], list[str]], most: int = 100_000) -> DataFrame:
-    """``record``: JSON records of a paged service; pages are numbered from 1, the first empty one is the last."""
-    records = []
-    for page in range(1, most + 1):
-        found = fetch(page)
-        if not found:
-            return spark.createDataFrame([(r,) for r in records], "record string")
-        records += found
-    raise ValueError(f"more than {most} pages")
-
-
 _BILL = "bill_id string, versions array<struct<version_code:string,bill_version_id:string,urls:struct<html:string>>>"
 
 
@@ -86,11 +76,9 @@ def last_id(exists: Callable[[int], bool]) -> int:
     return low
 
 
-def report_ids(spark: SparkSession, last: dict[tuple[int, str], int]) -> DataFrame:
-    """``congress, chamber, number`` of all reports up to the last of each congress and chamber."""
-    rows = [(c, chamber, n) for (c, chamber), n in last.items() if n > 0]
-    df = spark.createDataFrame(rows, "congress int, chamber string, last int")
-    return df.select("congress", "chamber", F.explode(F.sequence(F.lit(1), "last")).alias("number"))
+def report_ids(last: DataFrame) -> DataFrame:
+    """``congress, chamber, number`` of all reports up to the last of each row of ``last(congress, chamber, last)``."""
+    return last.where("last > 0").select("congress", "chamber", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("number"))
 
 
 def missing(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,7 +30,8 @@ def refresh(df: DataFrame, path: str) -> None:
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
     """Append the rows whose keys the table does not have; a second run adds none. Returns how many were added.
 
-    For one writer at a time: two that run at once both see the table as it was before.
+    For one writer at a time: two that run at once both see the table as it was before. Tables that several write
+    are :class:`docloom.sources.store.Table`.
     """
     spark = df.sparkSession
     try:
@@ -88,9 +89,9 @@ def lines(df: DataFrame, c: str, path: str) -> None:
     df.select(F.col(c).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    """Quotes inside fields are doubled, as :func:`docloom.sources.readers.csv` reads them."""
-    df.write.mode("overwrite").csv(path, sep=sep, header=header, escape='"')
+def delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, line: str = "\n") -> None:
+    """Quotes inside fields are doubled, as :func:`docloom.sources.readers.csv` reads them; lines end in ``line``."""
+    df.write.mode("overwrite").csv(path, sep=sep, header=header, escape='"', lineSep=line)
 
 
 def folds(df: DataFrame, path: str, fold: str = "fold") -> None:

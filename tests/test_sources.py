@@ -46,17 +46,8 @@ def test_head_status():
 
 def test_pages_and_versions(spark):
     bills = ['{"bill_id":"hr1-111","versions":[{"version_code":"ih","bill_version_id":"hr1-111-ih","urls":{"html":"http://a"}},{"version_code":"enr","bill_version_id":"hr1-111-enr","urls":{"html":"http://b"}}]}', '{"bill_id":"hr2-111"}']
-    asked = []
-
-    def fetch(page):
-        asked.append(page)
-        return bills[page - 1 : page]
-
-    records = connectors.paged(spark, fetch)
-    assert asked == [1, 2, 3]
+    records = spark.createDataFrame([(b,) for b in bills], "record string")
     assert sorted(map(tuple, connectors.bill_versions(records).collect())) == [("hr1-111/enr/hr1-111-enr", "http://b"), ("hr1-111/ih/hr1-111-ih", "http://a")]
-    with pytest.raises(ValueError, match="more than 4"):
-        connectors.paged(spark, lambda page: ["{}"], most=4)
 
 
 def test_downloads_and_archives(spark):
