@@ -171,9 +171,50 @@ def error_listing(spark, sf):
     return E.errors(d, "quality", "p", "score", "doc_id", 1000)
 
 
+_C = 0.001
+_SUMS = {"uu": "sum(u * u)", "uv": "sum(u * v)", "vv": "sum(v * v)", "u1": "sum(u)", "v1": "sum(v)", "n": "count(*)", "uy": "sum(u * y)", "vy": "sum(v * y)", "y1": "sum(y)"}
+
+
+def _det(a: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = a
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cramer(at: int) -> str:
+    matrix, right = [["auu", "uv", "u1"], ["uv", "avv", "v1"], ["u1", "v1", "an"]], ["uy", "vy", "y1"]
+    return f"{_det([[right[r] if k == at else x for k, x in enumerate(row)] for r, row in enumerate(matrix)])} / {_det(matrix)}"
+
+
+@plans.add(
+    # With features that tell little all rows lie inside the margin, and the optimum is that of ridge regression: three equations.
+    f"WITH d AS (SELECT l_discount * 10 AS u, l_tax * 10 AS v, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END AS y FROM lineitem), s AS (SELECT {', '.join(f'{x}::DOUBLE AS {k}' for k, x in _SUMS.items())} FROM d), "
+    f"a AS (SELECT *, uu + {1 / (2 * _C)} AS auu, vv + {1 / (2 * _C)} AS avv, n + {1 / (2 * _C)} AS an FROM s), w AS (SELECT {_cramer(0)} AS u, {_cramer(1)} AS v, {_cramer(2)} AS b FROM a), "
+    "i AS (SELECT count(*) AS n FROM d, w WHERE d.y * (w.u * d.u + w.v * d.v + w.b) < 1) "
+    "SELECT feature, round(weight, 6) AS weight, i.n AS active FROM (SELECT 'discount' AS feature, u AS weight FROM w UNION ALL SELECT 'tax', v FROM w UNION ALL SELECT 'constant', b FROM w), i"
+)
+def squared_hinge_svm(spark, sf):
+    """The weights of a linear SVM with the squared hinge loss, and how many rows lie inside its margin."""
+    from docloom.operators import newton
+
+    d = read(spark, sf, "lineitem").select(F.array(F.col("l_discount") * 10, F.col("l_tax") * 10).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    m = newton.fit(d, "x", "y", 2, c=_C)
+    rows = [(n, float(w), m.active) for n, w in zip(("discount", "tax", "constant"), [*m.w, m.b], strict=True)]
+    return spark.createDataFrame(rows, "feature string, weight double, active long").withColumn("weight", F.round("weight", 6))  # a row for each weight
+
+
 # Models: results depend on the solver, so there is no SQL for them.
 
 
+@plans.add()
+def squared_hinge_scores(spark, sf):
+    """Decision values of a linear SVM with the squared hinge loss on embeddings, its penalty chosen on folds."""
+    from docloom.operators import newton
+
+    e = read(spark, sf, "embeddings").where("label is not null and embedding is not null").select("vec_id", (F.col("label") == 0).cast("int").alias("label"), "embedding")
+    c, _ = newton.tune(e, "embedding", "label", 64, "vec_id", (0.01, 0.1))
+    return newton.score(e, newton.fit(e, "embedding", "label", 64, c), "embedding").select("vec_id", "label", "prediction", "score")
+
+
 def _design(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("label"), "embedding")
     return ml.vectors(e, "embedding")

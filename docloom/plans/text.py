@@ -345,6 +345,47 @@ def table_blocks(spark, sf):
     return t.withColumns({c: F.md5(c) for c in ("body", "content")})
 
 
+_RULE = "-" * 56 + "\n"
+_HEAD = _RULE + "Article".ljust(42) + "Amount\n" + _RULE
+
+
+def _drawn_dashes(spark, sf):
+    """Dashed tables with a head: the name on one line, the brand with the amount on the next, and a line that parts entries."""
+    line = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("\n"), F.rpad(F.concat(F.lit("of_"), "p_brand"), 38, " "), _amount(), F.lit("=\n"))
+    d = _drawn(spark, sf, line)
+    return d.select("doc_id", F.concat(F.substring("text", 1, 19), F.lit(_HEAD), F.expr("substring(text, 20)"), F.lit(_RULE)).alias("text"))
+
+
+_ENTRY = (
+    "q AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS k, (182 + coalesce(sum(length(name) + 56) OVER (PARTITION BY document_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS begins, length(name) + 1 AS long FROM l), "
+    "j AS (SELECT document_id, n, name || ' of_' || brand AS v, amount, begins, long + 54 AS length, k, long FROM q), "
+    # With the last run left as it is, its two lines are rows of their own.
+    "d AS (SELECT false AS flush, document_id, n AS row_no, v, amount, begins, length FROM j WHERE n < k - 1 UNION ALL SELECT false, document_id, n, name, '', begins, long FROM q WHERE n = k - 1 UNION ALL SELECT false, document_id, n + 1, 'of_' || brand, amount, begins + long, 53 FROM q WHERE n = k - 1 "
+    "UNION ALL SELECT true, document_id, n, v, amount, begins, length FROM j), "
+    "e AS (SELECT flush, document_id, -sum(c / t * ln(c / t)) AS e FROM (SELECT flush, document_id, v, count(*) AS c, sum(count(*)) OVER (PARTITION BY flush, document_id) AS t FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2) "
+)
+
+
+@plans.add(
+    f"WITH {_LINES} {_ENTRY} SELECT flush, document_id, row_no::INT AS row_no, 'dashes' AS kind, 'Article,Amount' AS headers, v || ' | ' || amount AS entity_text, begins::INT AS entity_offset, length::INT AS entity_length, CASE WHEN e >= 1.2 THEN v ELSE '' END AS entity_inferred_name FROM d JOIN e USING (flush, document_id)"
+)
+def dashed_tables_sql(spark, sf):
+    """The parser as a table function of SQL, on dashed tables, by both readings of the last run."""
+    tables.register(spark)
+    return spark.sql(
+        "SELECT flush, doc_id AS document_id, r.row_no, t.kind, t.headers, r.entity_text, r.entity_offset, r.entity_length, r.entity_inferred_name "
+        "FROM {docs}, LATERAL explode(array(false, true)) AS f(flush), LATERAL drawn_tables(text, flush) AS t, LATERAL explode(t.rows) AS x(r)",
+        docs=_drawn_dashes(spark, sf),
+    )
+
+
+@plans.add(f"WITH {_LINES} c AS (SELECT document_id, count(*)::INT AS n_rows, max(CASE WHEN n = 0 THEN name || '_' || brand || ' | ' || amount END) AS first_row FROM l GROUP BY 1) SELECT document_id, 'dots' AS kind, 19 AS \"offset\", 55 * n_rows AS length, n_rows, first_row FROM c")
+def dotted_tables_sql(spark, sf):
+    """The same on dotted tables: tables and rows of one parse."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id AS document_id, t.kind, t.offset, t.length, size(t.rows) AS n_rows, t.rows[0].entity_text AS first_row FROM {docs}, LATERAL drawn_tables(text) AS t", docs=_drawn_tables(spark, sf))
+
+
 @plans.add()
 def score_documents(spark, sf):
     """Documents to scored candidate rows, with a model fitted on whether a row's amount is above the others'."""
