@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import written
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row of each key, the first by ``order``."""
@@ -121,17 +125,43 @@ def entity_pages(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumn("wikipedia_page", F.coalesce("_by_id", "_by_text")).drop("_by_id", "_by_text")
 
 
-def hierarchy(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """``level, node``: parents of parents, level by level; an item met twice counts twice.
+def hierarchy(edges: DataFrame, start: DataFrame, depth: int, keep: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """``level, *keep, node, paths``: parents of parents, level by level, with the number of paths that lead to each.
 
-    ``edges(child, parent)``, ``start(node)``. A bounded chain of joins, planned as one query.
+    ``edges(child, parent)``, ``start(node, *keep)``. A level has a row for each node that it reaches (for each value of ``keep``), however many
+    paths lead there: they are counted by partial aggregation, not carried along. With ``once``, a node that an earlier level has is not
+    gone through again, so a cycle ends where it closes, and the search ends at the level that brings nothing new. Levels are written as they are found.
+    A null node has no parents.
     """
-    level = start.select(F.lit(0).alias("level"), "node")
-    out = level
+    keys = [*keep, "node"]
+    up = edges.select(F.col("child").alias("node"), "parent")
+    level = written(start.groupBy(*keys).agg(F.count("*").alias("paths")), "level")
+    found = [level.withColumn("level", F.lit(0))]
     for k in range(1, depth + 1):
-        level = level.join(edges, F.col("node") == F.col("child")).select(F.lit(k).alias("level"), F.col("parent").alias("node"))
-        out = out.unionAll(level)
-    return out
+        level = level.join(up, "node").select(*keep, F.col("parent").alias("node"), "paths").groupBy(*keys).agg(F.sum("paths").alias("paths"))
+        if once:
+            level = level.join(reduce(DataFrame.unionAll, (f.select(*keys) for f in found)), keys, "left_anti").select(*keys, "paths")
+        level = written(level, "level")
+        if once and level.isEmpty():
+            break
+        found.append(level.withColumn("level", F.lit(k)))
+    return reduce(DataFrame.unionAll, found).select("level", *keys, "paths")
+
+
+def numbered(df: DataFrame, order: str, ties: list[str], name: str = "index", first: int = 0, bins: int = 256) -> DataFrame:
+    """Numbers from ``first`` on by the numeric column ``order``, then ``ties``.
+
+    Rows are cut into ranges at approximate quantiles; numbers run inside each range and are shifted by the sizes of the ranges before, so
+    no task holds all rows. ``df`` is read three times.
+    """
+    at = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(at, [i / bins for i in range(1, bins)], 1000).alias("_cuts"))
+    cut = df.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < at))).drop("_cuts")  # one row of cuts
+    sizes = cut.groupBy("_bin").agg(F.count("*").alias("_n"))
+    # At most as many rows as bins.
+    before = sizes.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_bin").orderBy(order, *ties)
+    return cut.join(F.broadcast(before), "_bin").withColumn(name, (F.row_number().over(w) - 1 + first + F.col("_before")).cast("long")).drop("_bin", "_before")
 
 
 def self_pairs(df: DataFrame, block: str, key: str) -> DataFrame:

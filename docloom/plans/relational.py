@@ -282,7 +282,21 @@ def category_bfs(spark, sf):
         .unionAll(read(spark, sf, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey")))
     )
     start = read(spark, sf, "supplier").select(key("s", "s_suppkey").alias("node"))
-    return R.hierarchy(edges, start, 3).groupBy("level", "node").agg(F.count("*").alias("n"))
+    return R.hierarchy(edges, start, 3).select("level", "node", F.col("paths").alias("n"))
+
+
+@plans.add(
+    # A ring of nations under each region, with short cuts: what each supplier's nation reaches, each node once, at its least level.
+    "WITH RECURSIVE e AS (SELECT n_nationkey AS child, (n_nationkey + 5) % 25 AS parent FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 10) % 25 FROM nation WHERE n_nationkey % 2 = 0), "
+    "h AS (SELECT 0 AS level, s_suppkey AS start, s_nationkey AS node FROM supplier UNION SELECT level + 1, start, parent FROM h JOIN e ON node = child WHERE level < 6) "
+    "SELECT start, node::BIGINT AS node, min(level)::INT AS level FROM h GROUP BY 1, 2"
+)
+def category_cycle(spark, sf):
+    """A hierarchy with cycles, gone through from many starts at once; each node is met once."""
+    n = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("child"))
+    edges = n.select("child", ((F.col("child") + 5) % 25).alias("parent")).unionAll(n.where("child % 2 = 0").select("child", ((F.col("child") + 10) % 25).alias("parent")))
+    start = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("start"), F.col("s_nationkey").cast("long").alias("node"))
+    return R.hierarchy(edges, start, 6, keep=("start",), once=True).select("start", "node", "level")
 
 
 @plans.add(

@@ -445,3 +445,38 @@ def feature_groups(spark, sf):
 def rendered_features(spark, sf):
     """A feature group as text, ``name:value`` in the order of names."""
     return read(spark, sf, "documents").select("doc_id", F.md5(X.render(X.unigram_bag(F.col("text")))).alias("hash"))
+
+
+def _bags(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", "lang", X.presence(T.tokens(F.lower("text")), "W_").alias("words"), F.create_map(F.concat(F.lit("SOURCE_"), "source"), F.lit(1.0)).alias("source"))
+
+
+_NAMES_SEEN = (
+    f"WITH d AS (SELECT doc_id, lang, {toks('lower(text)')} AS t, source FROM documents), u AS (SELECT doc_id, lang, 'W_' || unnest(t) AS name, generate_subscripts(t, 1) AS place FROM d UNION ALL SELECT doc_id, lang, 'SOURCE_' || source, 1000000000 FROM d), "
+)
+
+
+@plans.add(_NAMES_SEEN + "f AS (SELECT name, min(doc_id) AS seen, arg_min(place, (doc_id, place)) AS place FROM u GROUP BY 1) SELECT name, row_number() OVER (ORDER BY seen, place) - 1 AS \"index\" FROM f")
+def feature_index(spark, sf):
+    """A number for each feature, as they are first seen."""
+    return X.feature_index(_bags(spark, sf), ["words", "source"], "doc_id")
+
+
+@plans.add(
+    _NAMES_SEEN + "f AS (SELECT name, lang <> 'en' AS later, min(doc_id) AS seen, arg_min(place, (doc_id, place)) AS place FROM u GROUP BY 1, 2), "
+    "g AS (SELECT * FROM f WHERE NOT later OR name NOT IN (SELECT name FROM f WHERE NOT later)) SELECT name, row_number() OVER (ORDER BY later, seen, place) - 1 AS \"index\" FROM g"
+)
+def feature_space_union(spark, sf):
+    """The features of one part of the documents, and after them those that only the others have."""
+    bags = _bags(spark, sf)
+    return X.feature_space_union(X.feature_index(bags.where("lang = 'en'"), ["words", "source"], "doc_id"), bags.where("lang <> 'en'"), ["words", "source"], "doc_id")
+
+
+@plans.add(
+    f"WITH d AS (SELECT doc_id, source, list_distinct({toks('lower(text)')}) AS t FROM documents) SELECT doc_id, (len(t) + 1)::BIGINT AS n_features, (len(t) + 1)::DOUBLE AS total FROM d"
+)
+def sparse_vectors(spark, sf):
+    """Documents as positions and values in the space of all features: as many as each has."""
+    bags = _bags(spark, sf)
+    v = X.sparse(bags, "doc_id", ["words", "source"], X.feature_index(bags, ["words", "source"], "doc_id"))
+    return v.select("doc_id", F.size(F.array_distinct("positions")).cast("long").alias("n_features"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))

@@ -31,7 +31,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); it goes when the application ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/docloom"
     path = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -40,6 +40,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of the shared folder, written now: lineage ends there, and what reads it often works nothing out again."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of a table for each core up to which :func:`spread` moves rows.
 SPREAD_BYTES = 128 << 20
 
