@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import written
+
 
 def confusion(df: DataFrame, y: str, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``tp, fp, fn, tn`` and what follows from them; work saved over sampling is (tn + fn) / n - (1 - recall)."""
@@ -18,13 +20,18 @@ def confusion(df: DataFrame, y: str, p: str, keys: tuple[str, ...] = ()) -> Data
     return t.withColumn("f1", ratio(2 * pr * re, pr + re)).withColumn("wss", ratio(tn + fn, tp + fp + fn + tn) - (1 - re))
 
 
+def _counted(df: DataFrame, y: str, score: str) -> DataFrame:
+    """``score, p, n``: positives and others of each score; written, as quantiles, totals and sums all read it."""
+    return written(df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("n")), "scores")
+
+
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
     """``score, tpr, fpr`` at every threshold that occurs, ties together.
 
     Scores are counted first, so what is ordered has a row for each score; the
     running sums then go by ranges of scores, never through one task with all rows.
     """
-    by = df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("n"))
+    by = _counted(df, y, score)
     done = prefix_sums(by, "score", ["p", "n"], descending=True)
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     # One row of totals.
@@ -53,8 +60,7 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], descending: bool =
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the curve by ranks, ties counted half; a row with ``n_pos, n_neg, auc``."""
-    by = df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("n"))
-    done = prefix_sums(by, "score", ["n"])
+    done = prefix_sums(_counted(df, y, score), "score", ["n"])
     # Each positive beats the negatives below it, and half of those beside it.
     won = done.agg(F.sum(F.col("p") * (F.col("sum_n") - F.col("n") + F.col("n") / 2)).alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return won.select("n_pos", "n_neg", (F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))

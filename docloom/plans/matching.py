@@ -286,3 +286,33 @@ def recoded_text(spark, sf):
     """Texts whose bytes were read as the wrong characters, and read again as what they are."""
     wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return read(spark, sf, "documents").select("doc_id", F.md5(T.recoded(wrong)).alias("hash"))
+
+
+_SAID = "SELECT p_partkey, p_name || ' ' || p_brand AS said FROM part"
+
+
+@plans.add(f"WITH t AS (SELECT DISTINCT said FROM ({_SAID})) SELECT x.said AS a, y.said AS b, levenshtein(x.said, y.said)::INT AS distance FROM t x JOIN t y ON x.said < y.said AND levenshtein(x.said, y.said) <= 2")
+def fuzzy_pairs(spark, sf):
+    """Names that two edits or fewer make equal."""
+    from docloom.operators import fuzzy
+
+    return fuzzy.similar_texts(read(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("said")), "said", 2)
+
+
+@plans.add(
+    f"WITH r AS ({_SAID}), t AS (SELECT said, count(*) AS n FROM r GROUP BY 1), l AS (SELECT x.said, sum(y.n)::BIGINT AS n_near FROM t x JOIN t y ON x.said <> y.said AND levenshtein(x.said, y.said) <= 1 GROUP BY 1) "
+    "SELECT p_partkey, said AS text, t.n AS n_same, coalesce(n_near, 0) AS n_near FROM r JOIN t USING (said) LEFT JOIN l USING (said)"
+)
+def fuzzy_links(spark, sf):
+    """For each part how many have its name, and how many one that differs by an edit."""
+    from docloom.operators import fuzzy
+
+    return fuzzy.fuzzy_links(read(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("said")), "p_partkey", "said", 1)
+
+
+@plans.add()
+def stemmed_documents(spark, sf):
+    """Documents with each word as its stem; SQL has no stemmer."""
+    from docloom.functions import stems
+
+    return read(spark, sf, "documents").select("doc_id", stems.normalize_stem(F.col("text")).alias("text"))
