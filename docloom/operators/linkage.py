@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.relational import numbered
+from docloom.session import written
 
 #: Sentinel for a missing group key.
 MISSING = "GROUP_BY_ATTRIBUTE_MISSING"
@@ -58,6 +60,17 @@ def group_key(*keys: Column) -> list[Column]:
     return [F.coalesce(k.cast("string"), F.lit(MISSING)) for k in keys]
 
 
+def groups(df: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """``signature, n, first, last`` of the rows that share a composite signature: how many, the least and the largest of their keys. A null is a value of its own."""
+    return df.groupBy(F.concat_ws("|", *group_key(*map(F.col, keys))).alias("signature")).agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def by_best(matches: DataFrame, key: str, score: str, ties: str) -> DataFrame:
+    """``key, best, n, place``: the largest score of each key and how many rows have it, numbered from 0 by descending score, then by ``ties`` (a column that the key determines)."""
+    best = best_with_ties(matches, [key], score).groupBy(key).agg(F.max(score).alias("best"), F.count("*").alias("n"), F.min(ties).alias("_tie"))
+    return numbered(written(best.withColumn("_down", -F.col("best")), "best"), "_down", ["_tie", key], name="place").select(key, "best", "n", "place")
+
+
 def with_rank(df: DataFrame, keys: list[str], feature: str, ties: list[str], name: str | None = None, descending: bool = True) -> DataFrame:
     """0-based place within the group by the feature; ``ties`` settle equal values."""
     order = F.col(feature).desc() if descending else F.col(feature).asc()

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import pairs as P
 from docloom.functions import text as T
+from docloom.operators import crosswalk as C
 from docloom.operators import evaluate as E
+from docloom.operators import features as X
+from docloom.operators import linkage as L
 from docloom.operators import matching as M
 from docloom.operators import relational as R
 from docloom.operators import tables, training
@@ -316,3 +319,102 @@ def stemmed_documents(spark, sf):
     from docloom.functions import stems
 
     return read(spark, sf, "documents").select("doc_id", stems.normalize_stem(F.col("text")).alias("text"))
+
+
+@plans.add(f"WITH {_RULES} SELECT document_id, round(max(score), 6) AS best, count(*) AS n, row_number() OVER (ORDER BY max(score) DESC, document_id) - 1 AS place FROM (SELECT *, max(score) OVER (PARTITION BY document_id) AS top FROM s WHERE score > 0.5) WHERE score = top GROUP BY document_id")
+def matches_by_score(spark, sf):
+    """Documents by the best score of their matches, ties together."""
+    p = read(spark, sf, "part")
+    items = p.select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_type").alias("short_description"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("full_description"))
+    links = p.select(F.col("p_partkey").alias("item_id"), F.concat_ws("#", "p_brand", "p_size").alias("document_id"))
+    scored = M.scored_pairs(items, links, _rows(spark, sf), list(_FIELDS)).where("score > 0.5")
+    return L.by_best(scored, "document_id", "score", "document_id").withColumn("best", F.round("best", 6))
+
+
+@plans.add("SELECT CASE WHEN c_acctbal < 0 THEN 'GROUP_BY_ATTRIBUTE_MISSING' ELSE c_nationkey::VARCHAR END || '|' || c_mktsegment AS signature, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1")
+def signature_groups(spark, sf):
+    """Rows by a signature of two attributes, of which one may be missing."""
+    c = read(spark, sf, "customer").withColumn("nation", F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")))
+    return L.groups(c, ["nation", "c_mktsegment"], "c_custkey")
+
+
+@plans.add(
+    "SELECT c_custkey, 'ABOVE:' || (rank() OVER w - 1)::DOUBLE || ' LEAD:' || round(c_acctbal - max(c_acctbal) OVER (PARTITION BY c_nationkey, c_mktsegment), 2)::DOUBLE || ' SIZE:' || (count(*) OVER (PARTITION BY c_nationkey, c_mktsegment))::DOUBLE AS features FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC)"
+)
+def group_pipe(spark, sf):
+    """Generators over groups in a pipe: the place in the group, the distance to its best, its size."""
+    keys, bal = ["c_nationkey", "c_mktsegment"], F.col("c_acctbal")
+    whole = X.in_groups("whole", keys, lambda w: F.create_map(F.lit("LEAD"), F.round(bal - F.max(bal).over(w), 2), F.lit("SIZE"), F.count("*").over(w).cast("double")))
+    placed = X.in_groups("placed", keys, lambda w: F.create_map(F.lit("ABOVE"), (F.rank().over(w) - 1).cast("double")), order=[bal.desc()])
+    return X.pipe(read(spark, sf, "customer"), whole, placed, placed).select("c_custkey", X.render(F.map_concat("whole", "placed")).alias("features"))
+
+
+@plans.add(
+    "SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'NO_HEADERS_FOUND:1.0' WHEN 1 THEN 'HEADER_' || lower(c_mktsegment) || ':1.0' || ' HEADER_amount:1.0' ELSE 'HEADER_amount:1.0' END AS features FROM customer WHERE c_nationkey % 3 <> 1 OR lower(c_mktsegment) < 'amount' "
+    "UNION ALL SELECT c_custkey, 'HEADER_amount:1.0 HEADER_' || lower(c_mktsegment) || ':1.0' FROM customer WHERE c_nationkey % 3 = 1 AND lower(c_mktsegment) > 'amount'"
+)
+def header_features(spark, sf):
+    """Heads of a table's columns as features: none, one said twice, and two."""
+    heads = F.when(F.col("c_nationkey") % 3 == 1, F.concat(F.col("c_mktsegment"), F.lit(",Amount"))).when(F.col("c_nationkey") % 3 == 2, "Amount,AMOUNT, ").otherwise(F.when(F.col("c_custkey") % 2 == 0, " ,"))
+    return read(spark, sf, "customer").select("c_custkey", X.render(X.table_header(heads)).alias("features"))
+
+
+@plans.add(
+    "WITH e AS (SELECT s_suppkey, ['1_n' || s_nationkey, '2_r' || n_regionkey] AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_nationkey <> 3) "
+    "SELECT s_suppkey, coalesce('CATEGORY_' || c[1] || ':1.0 CATEGORY_' || c[2] || ':1.0', 'NO_WIKIPEDIA_PAGE_WAS_FOUND:1.0') AS features FROM supplier LEFT JOIN e USING (s_suppkey)"
+)
+def category_features(spark, sf):
+    """Categories of a page and theirs, with their level, as features; pages of one nation are missing."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    n = read(spark, sf, "nation").where("n_nationkey <> 3")
+    s = read(spark, sf, "supplier").select("s_suppkey", key("n", "s_nationkey").alias("node"))
+    pages = s.join(n.select(key("n", "n_nationkey").alias("node")), "node", "left_semi")
+    up = R.hierarchy(n.select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("parent")), pages, 1, keep=("s_suppkey",), once=True)
+    levels = up.groupBy("s_suppkey").agg(F.sort_array(F.collect_set(F.concat_ws("_", F.col("level") + 1, "node"))).alias("levels"))  # the categories of one page
+    return s.select("s_suppkey").join(levels, "s_suppkey", "left").select("s_suppkey", X.render(X.categories(F.col("levels"))).alias("features"))
+
+
+@plans.add(
+    "WITH r AS (SELECT s_suppkey AS report_id, 110 + s_nationkey % 2 AS congress, 'hr' || (s_suppkey % 40) AS folder FROM supplier WHERE s_nationkey > 2), m AS (SELECT congress, folder, max(report_id) AS report_id FROM r GROUP BY 1, 2), "
+    "b AS (SELECT c_custkey AS bill_id, 110 + c_nationkey % 2 AS congress, 'hr' || (c_custkey % 60) AS folder, 'v' || c_custkey AS version, DATE '2008-01-01' + (c_custkey % 17)::INT AS d FROM customer), "
+    "l AS (SELECT *, row_number() OVER (PARTITION BY congress, folder ORDER BY d DESC, version) AS k FROM b) SELECT report_id, bill_id FROM m JOIN l USING (congress, folder) WHERE k = 1"
+)
+def report_bills(spark, sf):
+    """Reports and the latest versions of the bills that their XML names."""
+    key = lambda c, m: (F.col(c) % m).cast("string")
+    said = F.when(F.col("s_nationkey") > 2, F.concat(F.lit("<extension><associatedBills> H.R. "), key("s_suppkey", 40), F.lit("</associatedBills></extension>"))).otherwise("")
+    xml = F.concat(F.lit('<mods:mods xmlns:mods="http://x"><mods:originInfo><mods:dateIssued>2009-05-06</mods:dateIssued></mods:originInfo>'), said, F.lit("</mods:mods>"))
+    reports = readers.with_report_metadata(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("report_id"), (F.col("s_nationkey") % 2 + 110).cast("int").alias("congress"), xml.alias("value")), "value")
+    issued = readers.issued_on(F.to_json(F.struct(F.date_format(F.date_add(F.lit("2008-01-01").cast("date"), (F.col("c_custkey") % 17).cast("int")), "yyyy-MM-dd").alias("issued_on"), F.lit(1).alias("other"))))
+    bills = read(spark, sf, "customer").select(F.col("c_custkey").alias("bill_id"), (F.col("c_nationkey") % 2 + 110).cast("int").alias("congress"), F.concat(F.lit("hr"), key("c_custkey", 60)).alias("folder"), F.concat(F.lit("v"), "c_custkey").alias("version"), issued.alias("issued_on"))
+    return C.reports_to_bills(reports.where("associated_bills <> ''").withColumnRenamed("associated_bills", "cited"), bills)
+
+
+@plans.add("SELECT s_suppkey, '2009-0' || (s_suppkey % 9 + 1) || '-06' AS date_issued, '2009' AS year, CASE WHEN s_nationkey > 2 THEN 'H.R. ' || s_suppkey || ', S. 1' ELSE '' END AS associated_bills FROM supplier")
+def report_xml(spark, sf):
+    """Dates and bills from the XML of reports, written by different programs."""
+    key = F.col("s_suppkey").cast("string")
+    bills = F.when(F.col("s_nationkey") > 2, F.concat(F.lit("<extension><ASSOCIATEDBILLS>H.R. "), key, F.lit(", S. 1\n</ASSOCIATEDBILLS></extension>"))).otherwise("")
+    p = F.when(F.col("s_suppkey") % 2 == 0, "mods:").otherwise("")
+    date = F.concat(F.lit("2009-0"), (F.col("s_suppkey") % 9 + 1).cast("string"), F.lit("-06"))
+    xml = F.concat(F.lit("<"), p, F.lit('mods xmlns:mods="http://x"><'), p, F.lit("originInfo><"), p, F.lit("dateIssued> "), date, F.lit(" </"), p, F.lit("dateIssued></"), p, F.lit("originInfo>"), bills, F.lit("</"), p, F.lit("mods>"))
+    return readers.with_report_metadata(read(spark, sf, "supplier").select("s_suppkey", xml.alias("xml")), "xml").drop("xml")
+
+
+@plans.add("SELECT DISTINCT (100 + o_custkey % 12)::INT AS congress, 'hr' || (o_orderkey % 500) AS number, CASE WHEN o_orderstatus = 'F' THEN 'enr' ELSE 'ih' END AS version FROM orders WHERE o_orderstatus <> 'P'")
+def listed_versions(spark, sf):
+    """The versions of bills that lie in a tree with other files."""
+    o = read(spark, sf, "orders")
+    congress, number = (100 + F.col("o_custkey") % 12).cast("int"), F.concat(F.lit("hr"), (F.col("o_orderkey") % 500).cast("string"))
+    at = F.when(F.col("o_orderstatus") == "P", readers.report_path(congress, F.lit("house"), F.col("o_orderkey"))).otherwise(readers.bill_path(congress, number, F.when(F.col("o_orderstatus") == "F", "enr").otherwise("ih")))
+    return readers.versions(o.select(F.concat(F.lit("file:/data/"), at, F.lit("/document.txt")).alias("path")))
+
+
+@plans.add("SELECT l_orderkey AS document_id, CASE WHEN l_orderkey % 4 = 0 THEN 0 WHEN l_orderkey % 4 = 1 THEN 2 ELSE 1 END::BIGINT AS n_labelled, 1::BIGINT AS n_parsed FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def table_counts(spark, sf):
+    """How many tables a reader marked in each document and how many the parser found."""
+    from docloom.plans.text import _drawn_tables
+
+    docs = _drawn_tables(spark, sf)
+    marks = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "<dotTable>\na\n</dotTable>\n<dashTable>\nb\n</dashTable>\n").otherwise("<dotTable>\na\n</dotTable>\n")
+    return tables.table_counts(tables.labelled_tables(docs.withColumn("text", marks)), tables.extract_tables(docs))

@@ -162,15 +162,25 @@ def issue_dates(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.to_date("issued_on", "yyyy-MM-dd").alias("issued_on"))
 
 
+def issued_on(c: Column) -> Column:
+    """The date of issue in a bill version's JSON; null where it has none."""
+    return F.get_json_object(c, "$.issued_on").try_cast("date")
+
+
 def report_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """``path, date_issued, year, associated_bills`` from XML metadata; tag names in any case."""
     df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="mods.xml").select(F.col("_metadata.file_path").alias("path"), "value")
+    return with_report_metadata(df, "value").drop("value")
+
+
+def with_report_metadata(df: DataFrame, c: str) -> DataFrame:
+    """``df`` with ``date_issued, year, associated_bills`` of the XML in a column; null, null and empty where it has none."""
     # Names in one case, prefixes and name spaces away: one path finds what any writer of such files called it.
-    plain = F.regexp_replace(F.lower("value"), r"(</?)[a-z0-9]+:|\sxmlns(:[a-z0-9]+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "$1")
+    plain = F.regexp_replace(F.lower(c), r"(</?)[a-z0-9]+:|\sxmlns(:[a-z0-9]+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "$1")
     mods = F.from_xml(plain, "origininfo struct<dateissued:array<string>>", {"mode": "PERMISSIVE"})
-    found = df.select("path", F.trim(F.get(mods["origininfo"]["dateissued"], F.lit(0))).alias("date_issued"), "value")
-    bills = F.regexp_extract("value", r"(?is)<associatedBills\b[^>]*>\s*(.*?)\s*</associatedBills>", 1)
-    return found.select("path", "date_issued", F.substring("date_issued", 1, 4).alias("year"), bills.alias("associated_bills"))
+    bills = F.regexp_extract(c, r"(?is)<associatedBills\b[^>]*>\s*(.*?)\s*</associatedBills>", 1)
+    found = df.withColumns({"date_issued": F.trim(F.get(mods["origininfo"]["dateissued"], F.lit(0))), "associated_bills": bills})
+    return found.withColumn("year", F.substring("date_issued", 1, 4))
 
 
 def svm_light(spark: SparkSession, path: str) -> DataFrame:
