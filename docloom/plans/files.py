@@ -236,3 +236,21 @@ def committed_store(spark, sf):
         table.append_missing(o, ["id"])
     table.refresh(lambda rows: rows.where("not (status = 'O' and price < 1000)").unionAll(rows.where("status = 'X'").select(-1 - F.col("id"), F.lit("copy"), "price")))
     return table.read()
+
+
+@plans.add(
+    "WITH s AS (SELECT user_id, event_id, event_type, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events), "
+    "r AS (SELECT *, (sum((event_type <> 'purchase')::INT) OVER (PARTITION BY user_id, g ORDER BY event_id))::BIGINT AS run FROM s) SELECT user_id AS item, event_id AS answer, event_type = 'purchase' AS yes, run, run > 10 AS decided FROM r"
+)
+def arriving_answers(spark, sf):
+    """Runs of "no" in answers that arrive in two parts, some of them twice, by a stream that is started again for each."""
+    from docloom.streaming import answers as A
+
+    at = scratch(spark, "answers")
+    e = read(spark, sf, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("answer"), (F.col("event_type") == "purchase").alias("yes"))
+    middle = e.agg(F.percentile_approx("answer", 0.5)).first()[0]
+    for part in (e.where(F.col("answer") <= middle), e.where(F.col("answer") > middle - 10)):
+        writers.append(part.repartition(2, "item"), f"{at}/in")
+        for _ in range(2):
+            A.follow(spark.readStream.schema(e.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("item long, answer long, yes boolean, run long, decided boolean").parquet(f"{at}/out")
