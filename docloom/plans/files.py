@@ -254,3 +254,17 @@ def arriving_answers(spark, sf):
         for _ in range(2):
             A.follow(spark.readStream.schema(e.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema("item long, answer long, yes boolean, run long, decided boolean").parquet(f"{at}/out")
+
+
+@plans.add(
+    "SELECT event_id, 'urn:a' AS uri, event_type AS entity_type, 'U' || user_id AS entity_inferred_name, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_id::INT END AS entity_offset, CASE WHEN user_id % 4 = 0 THEN 'p' || user_id END AS entity_url FROM events WHERE event_id % 5 <> 0"
+)
+def answers_of_any_form(spark, sf):
+    """Answers with fields that nobody knows, with fields of another type, and answers that are no JSON."""
+    e, key = read(spark, sf, "events"), F.col("user_id").cast("string")
+    place = F.when(F.col("user_id") % 3 == 0, F.lit('"far"')).otherwise(F.col("event_id").cast("string"))
+    page = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit(',"resolutions":[{"id":"p'), key, F.lit('","score":{"x":[1,2]}}]'))).when(F.col("user_id") % 4 == 1, ',"resolutions":"none"').otherwise("")
+    part = F.concat(F.lit('{"urn:a":{"_typeGroup":"entities","_type":"'), "event_type", F.lit('","name":"U'), key, F.lit('","new":{"deep":[{"er":1}]},"instances":[{"offset":'), place, F.lit(',"exact":"w","odd":null}]'), page, F.lit('},"urn:b":{"_typeGroup":["no","text"]},"doc":7}'))
+    answer = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"urn:a":'), "event_type")).otherwise(part)
+    found = readers.annotations(e.select("event_id", answer.alias("response")))
+    return found.select("event_id", "uri", "entity_type", "entity_inferred_name", "entity_offset", "entity_url")

@@ -195,28 +195,40 @@ def wiki_list(df: DataFrame, c: str = "value") -> DataFrame:
 
 # Annotations in JSON.
 
-_RESPONSE = "map<string, struct<_typeGroup:string,_type:string,name:string,relevance:double,instances:array<struct<offset:int,length:int,exact:string>>,resolutions:array<struct<id:string>>>>"
+# Answers are objects keyed by an id, in no fixed form: they are kept as VARIANT, and what is asked for is taken out by path. Fields that nobody
+# asks for cost nothing; one that can't be read as what is expected is null; an answer that is no JSON, or no object, has no parts.
 
 
-def annotations(df: DataFrame, c: str = "response", offset: Column | None = None) -> DataFrame:
-    """A row for each instance of each entity in an annotator's answer, offsets shifted by ``offset``."""
-    each = df.select(*[x for x in df.columns if x != c], F.explode(F.from_json(c, _RESPONSE)).alias("uri", "e")).where("e._typeGroup = 'entities'")
-    i = each.select(*[x for x in df.columns if x != c], "uri", F.col("e._type").alias("entity_type"), F.col("e.name").alias("entity_inferred_name"), F.get("e.resolutions", F.lit(0))["id"].alias("entity_url"), F.explode("e.instances").alias("i"))
-    shift = F.lit(0) if offset is None else offset
-    return i.select(*[x for x in df.columns if x != c], "uri", F.col("i.exact").alias("entity_text"), "entity_type", (F.col("i.offset") + shift).alias("entity_offset"), F.col("i.length").alias("entity_length"), "entity_inferred_name", "entity_url")
+def _parts(df: DataFrame, c: str) -> DataFrame:
+    """The other columns, ``uri`` and ``part`` (VARIANT) for each part of the answers in ``c``."""
+    keep = [x for x in df.columns if x != c]
+    said = df.select(*keep, F.try_parse_json(c).alias("_answer")).where(F.schema_of_variant("_answer").startswith("OBJECT"))
+    each = said.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_answer").outer()))
+    return each.select(*keep, F.col("key").alias("uri"), F.col("value").alias("part"))
 
 
-_SUMMARY = "map<string, struct<_typeGroup:string,_type:string,name:string,categoryName:string,relevance:double>>"
+def _of(c: str, path: str, kind: str = "string") -> Column:
+    """What lies at ``path``, names and places with slashes between them, as ``kind``; null if it can't be one. As text anything can: lists and objects are their JSON."""
+    return F.try_variant_get(c, "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("/")), kind)
+
+
+def annotations(df: DataFrame, c: str = "response", offset: Column | None = None) -> DataFrame:
+    """A row for each instance of each entity in an annotator's answer, offsets shifted by ``offset``."""
+    keep = [x for x in df.columns if x != c]
+    e = _parts(df.withColumn("_shift", F.lit(0) if offset is None else offset), c).where(_of("part", "_typeGroup") == "entities")
+    named = e.select(*keep, "uri", "_shift", _of("part", "_type").alias("entity_type"), _of("part", "name").alias("entity_inferred_name"), _of("part", "resolutions/0/id").alias("entity_url"), _of("part", "instances", "variant").alias("_list"))
+    i = named.where("_list is not null").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_list").outer()))
+    return i.select(*keep, "uri", _of("value", "exact").alias("entity_text"), "entity_type", (_of("value", "offset", "int") + F.col("_shift")).alias("entity_offset"), _of("value", "length", "int").alias("entity_length"), "entity_inferred_name", "entity_url")
 
 
 def response_summary(df: DataFrame, c: str = "response") -> DataFrame:
     """``kind, type, name, relevance`` of the topics, entities and relations of an annotator's answer."""
     keep = [x for x in df.columns if x != c]
-    e = df.select(*keep, F.explode(F.from_json(c, _SUMMARY)).alias("uri", "e")).where("e._typeGroup in ('topics', 'entities', 'relations')")
-    return e.select(*keep, F.col("e._typeGroup").alias("kind"), F.col("e._type").alias("type"), F.coalesce("e.name", "e.categoryName").alias("name"), F.col("e.relevance").alias("relevance"))
+    e = _parts(df, c).where(_of("part", "_typeGroup").isin("topics", "entities", "relations"))
+    return e.select(*keep, _of("part", "_typeGroup").alias("kind"), _of("part", "_type").alias("type"), F.coalesce(_of("part", "name"), _of("part", "categoryName")).alias("name"), _of("part", "relevance", "double").alias("relevance"))
 
 
 def by_type_group(df: DataFrame, c: str = "response") -> DataFrame:
     """``type_group, n, uris`` of an answer: its parts regrouped."""
-    each = df.select(*[x for x in df.columns if x != c], F.explode(F.from_json(c, _RESPONSE)).alias("uri", "e"))
-    return each.groupBy(*[x for x in df.columns if x != c], F.col("e._typeGroup").alias("type_group")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("uri")).alias("uris"))
+    keep = [x for x in df.columns if x != c]
+    return _parts(df, c).groupBy(*keep, _of("part", "_typeGroup").alias("type_group")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("uri")).alias("uris"))  # the parts of one answer

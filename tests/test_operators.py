@@ -104,7 +104,7 @@ def test_connectors(spark):
     assert connectors.with_retries(flaky)("u") == b"ok" and len(tries) == 3
     parts = connectors.text_chunks("ab\ncd\n" + "x" * 20, 5)
     assert "".join(t for _, t in parts) == "ab\ncd\n" + "x" * 20 and all(len(t) <= 5 for _, t in parts)
-    assert connectors.report_ids(spark, {(110, "house"): 3, (110, "senate"): 0}).count() == 3
+    assert connectors.report_ids(spark.createDataFrame([(110, "house", 3), (110, "senate", 0)], "congress int, chamber string, last int")).count() == 3
 
 
 def test_annotations(spark):
