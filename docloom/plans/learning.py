@@ -260,3 +260,44 @@ def text_model(spark, sf):
     v = Vectorizer(["words"], {})
     model = v.fit(train, ml.svm())
     return E.confusion(ml.with_score(model.transform(v.expand(test))), "label", "prediction")
+
+
+_PAIRED = (
+    "c AS (SELECT c_custkey AS id, c_nationkey AS g, c_acctbal AS v, c_mktsegment AS m FROM customer), p AS (SELECT x.g, x.id AS a, y.id AS b, abs(x.v - y.v) / 1000 AS x, CASE WHEN x.m = y.m THEN 1.0 ELSE -1.0 END AS y, (x.id + y.id) % 3 AS fold FROM c x JOIN c y ON x.g = y.g AND x.id < y.id WHERE x.g <> 0), "
+    "f AS (SELECT g, fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, sum(y * y) AS syy FROM p GROUP BY 1, 2), t AS (SELECT g, sum(n) AS n, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy, count(*) AS folds FROM f GROUP BY 1), "
+    "q AS (SELECT f.*, l, t.n - f.n AS tn, t.sx - f.sx AS tx, t.sxx - f.sxx + l AS txx, t.sy - f.sy AS ty, t.sxy - f.sxy AS txy FROM f JOIN t USING (g), (VALUES (0.1), (1.0), (10.0)) AS v(l)), "
+    "w AS (SELECT *, (txy * (tn + l) - ty * tx) / (txx * (tn + l) - tx * tx) AS w, (txx * ty - tx * txy) / (txx * (tn + l) - tx * tx) AS b FROM q), "
+    "e AS (SELECT g, l, sum(syy - 2 * (w * sxy + b * sy) + w * w * sxx + 2 * w * b * sx + b * b * n) AS e FROM w GROUP BY 1, 2), "
+    "k AS (SELECT g, CASE WHEN folds > 1 THEN l ELSE 10.0 END AS l FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e, l) AS r FROM e) JOIN t USING (g) WHERE r = 1), "
+    "m AS (SELECT g, (sxy * (n + l) - sy * sx) / ((sxx + l) * (n + l) - sx * sx) AS w, ((sxx + l) * sy - sx * sxy) / ((sxx + l) * (n + l) - sx * sx) AS b FROM t JOIN k USING (g)) "
+)
+
+
+def _paired(spark, sf):
+    from docloom.operators import grouped
+    from docloom.operators.relational import self_pairs
+
+    c = read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    p = self_pairs(c, "c_nationkey", "c_custkey").select(
+        F.col("a.c_nationkey").alias("g"), F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"), (F.abs(F.col("a.c_acctbal") - F.col("b.c_acctbal")) / 1000).alias("x"),
+        (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")).cast("int").alias("y"), ((F.col("a.c_custkey") + F.col("b.c_custkey")) % 3).alias("fold"),
+    )
+    return grouped.score(p, grouped.fit(p, "g", ["x"], "y", "fold"), "g", ["x"])
+
+
+@plans.add(f"WITH {_PAIRED} SELECT a, b, round(w * x + mb, 6) AS score FROM p JOIN (SELECT g, w, b AS mb FROM m) USING (g)")
+def student_pairs_scored(spark, sf):
+    """Pairs of records of one block, scored by the model of their block, whose penalty was chosen on folds."""
+    return _paired(spark, sf).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@plans.add(
+    f"WITH {_PAIRED.rstrip()}, s AS (SELECT a, b, round(w * x + mb, 6) AS score FROM p JOIN (SELECT g, w, b AS mb FROM m) USING (g)) "
+    "SELECT a, (row_number() OVER (PARTITION BY a ORDER BY score DESC, b) - 1)::INT AS place, b, score FROM s WHERE score > -0.6"
+)
+def links_scored(spark, sf):
+    """The candidates of each record that its block's model scores above a threshold, the best first."""
+    from docloom.operators import grouped
+
+    s = _paired(spark, sf).withColumn("score", F.round("score", 6)).withColumn("prediction", (F.col("score") > -0.6).cast("int"))
+    return grouped.best_links(s, ["a"], ties=("b",)).select("a", "place", "b", "score")
