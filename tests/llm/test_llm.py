@@ -522,4 +522,4 @@ def test_pipeline(spark, sf):
 def test_queries_are_registered():
     from docloom.llm import queries
 
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 14))
