@@ -44,7 +44,7 @@ def blacklist_having(spark, sf):
 def idf(spark, sf):
     d = read(spark, sf, "documents")
     n = d.agg(F.countDistinct("doc_id").alias("n"))
-    df = d.select(F.explode(F.array_distinct(T.tokens(F.lower("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = d.select(F.explode_outer(F.array_distinct(T.tokens(F.lower("text")))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     # One row: the size of the corpus.
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log10(F.expr("n div (df + 1)") + 1), 6).alias("idf"))
 

@@ -123,7 +123,7 @@ def unigram_bag(spark, sf):
 def bigram_bag(spark, sf):
     # The words are a projection of their own: inside the shingles they would be made again for each use.
     d = read(spark, sf, "documents").select(T.tokens(T.normalize(F.col("text"))).alias("t"))
-    return d.select(F.explode(T.shingles(F.col("t"), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n_docs"))
+    return d.select(F.explode_outer(T.shingles(F.col("t"), 2)).alias("bigram")).where("bigram is not null").groupBy("bigram").agg(F.count("*").alias("n_docs"))
 
 
 @plans.add(

@@ -146,3 +146,13 @@ def test_model(spark, sf):
     assert out.count() == d.count()
     train, test = ml.split(d, "label", "vec_id")
     assert train.count() + test.count() == d.count()
+
+
+def test_costly_arrays_are_not_worked_out_in_filters(spark, sf):
+    """No filter below an explode repeats the expressions that its array is made of."""
+    from docloom.operators import linkage
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    pairs = linkage.candidate_pairs(docs, docs.withColumnRenamed("doc_id", "other"), "doc_id", "other")
+    filters = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line]
+    assert filters and not any("regexp_replace" in line or "size(" in line for line in filters)
