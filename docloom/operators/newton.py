@@ -1,8 +1,8 @@
 """Linear SVM with the squared hinge loss, fitted exactly over rows of any number.
 
 The objective is ``w.w / 2 + c * sum(max(0, 1 - y * (w.x)) ** 2)``, with the constant as one more feature, penalised like the others. Its optimum is unique.
-Newton's method finds it: each step solves for the direction by conjugate gradients, which need products of the Hessian with a vector only,
-``v + 2c X'Xv`` over the rows inside the margin. Rows are packed once into sparse blocks, written to the shared folder; a pass over them is
+Newton's method finds it: each step solves for the direction, in spaces of up to :data:`SMALL` features with the Hessian itself, in larger ones by conjugate gradients, which need products of the
+Hessian with a vector only, ``v + 2c X'Xv`` over the rows inside the margin. Rows are packed once into sparse blocks, written to the shared folder; a pass over them is
 one product, each task adds up its blocks, and sums of tasks are added in a second stage, so the driver gets a few vectors, of the length of the feature space, however many rows there are.
 
 Defined cases: a row with a null label is left out; a null vector, or a null in it, counts as zeros; labels over 0 are the positive class; rows of one class only, or none,
@@ -24,6 +24,8 @@ from docloom.session import scratch, use_package
 
 #: Rows of a block, at most, and sums that reach the driver.
 BLOCK_ROWS, SUMS = 4096, 8
+#: Features up to which the Hessian is worked out whole.
+SMALL = 256
 
 
 @dataclass(frozen=True)
@@ -139,8 +141,25 @@ class _Objective:
         return v + self.c * self._over(of, width + 1, w, v)
 
 
+    def hessian(self, w: np.ndarray) -> np.ndarray:
+        """The Hessian itself, in one pass."""
+        width = self.width
+
+        def of(block: _Block, w: np.ndarray) -> np.ndarray:
+            inside = block.y * block.dot(w) < 1
+            x = np.zeros((len(block.y), width + 1))
+            np.add.at(x, (block.row, block.column), block.value)
+            x[:, -1] = 1
+            x = x[inside]
+            return (2 * x.T @ x).reshape(-1)
+
+        return np.eye(width + 1) + self.c * self._over(of, (width + 1) ** 2, w).reshape(width + 1, width + 1)
+
+
 def _direction(f: _Objective, w: np.ndarray, g: np.ndarray, rounds: int, tight: float) -> np.ndarray:
-    """Conjugate gradients for the Newton step, as exact as the gradient is large."""
+    """The Newton step: solved at once in a small space, else by conjugate gradients, as exact as the gradient is large."""
+    if f.width <= SMALL:
+        return np.linalg.solve(f.hessian(w), -g)
     d, r = np.zeros_like(g), -g
     p, rr = r.copy(), r @ r
     enough = (min(0.1, np.sqrt(np.linalg.norm(g))) * tight) ** 2 * rr
