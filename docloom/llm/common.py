@@ -138,6 +138,29 @@ def screened(df: DataFrame, c: str, screen: bytes) -> DataFrame:
     return per_batch(df, lambda batch: batch.filter(pa.array(passes(np.frombuffer(sent.value, np.int64), batch.column(i).to_numpy()))), df.schema)
 
 
+#: Rows of one key that a task of a counted join is given, about, and classes that keys fall into when hot ones are told.
+HOT_ROWS, HOT_CLASSES = 1 << 20, 1 << 16
+
+
+def counted_join(many: DataFrame, few: DataFrame, key: str, n: str, by: str, most: int = HOT_ROWS) -> DataFrame:
+    """``many.join(few, key)`` that no hot key brings to one task; ``few``, written before, has a row for each key and in ``n`` how often ``many`` has it.
+
+    A key that ``many`` has over ``most`` times is dealt out by the hash of the column ``by``, and its row of ``few`` goes to each
+    of the parts. What is sent to all workers are the numbers of parts by class of key, at most ``HOT_CLASSES`` rows; other keys of such a
+    class are dealt out with it, which changes no row of the result.
+    """
+    spark, of = many.sparkSession, F.pmod(F.xxhash64(key), F.lit(HOT_CLASSES)).cast("int")
+    hot = few.where(F.col(n) > most).groupBy(of.alias("hot_class")).agg(F.ceil(F.max(n) / most).cast("int").alias("hot_parts")).collect()
+    if not hot:
+        return many.join(few, key)
+    sent = F.broadcast(spark.createDataFrame(hot, "hot_class int, hot_parts int"))
+    classed = lambda df: df.withColumn("hot_class", of).join(sent, "hot_class", "left").withColumn("hot_parts", F.coalesce("hot_parts", F.lit(1)))
+    dealt = classed(many).withColumn("hot_part", F.pmod(F.xxhash64(by), "hot_parts").cast("int"))
+    each = classed(few).withColumn("hot_part", F.explode(F.sequence(F.lit(0), F.col("hot_parts") - 1)))
+    inner = ("hot_class", "hot_parts")
+    return dealt.drop(*inner).join(each.drop(*inner), [key, "hot_part"]).drop("hot_part")
+
+
 #: Bytes of a table for each core up to which :func:`table` moves rows.
 SPREAD_BYTES = 128 << 20
 

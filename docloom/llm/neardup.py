@@ -43,7 +43,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, on_workers, per_batch, release, screen_of, screened, uncut
+from docloom.llm.common import HOT_ROWS, counted_join, cut, on_workers, per_batch, release, screen_of, screened, uncut
 from docloom.llm.simhash import SEED, components, golay_keys
 
 #: Fingerprints of the set of words that keys are made of, and bits counted at once.
@@ -254,16 +254,16 @@ def _ended(batches):
     yield None
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
+def _shared(keyed: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """``key, node, c, n, lo`` of the keys in ``keyed(key, node, c)`` that nodes of different groups have; cut off.
 
     ``n`` is the bucket's size, ``lo`` its least group. Keys are met by partial
     aggregation, so a hot one is never brought together; what is shared is
-    written first, so that the join knows its size.
+    written first, so that the join knows its size and the hot keys.
     """
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "n", "lo")
     met = cut(met, "near-keys")
-    out = cut(keyed.join(met, "key"), "near-shared")
+    out = cut(counted_join(keyed, met, "key", "n", "node", hot), "near-shared")
     uncut(met)
     return out
 
@@ -367,40 +367,46 @@ def _grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def similar(rows: DataFrame, width: int = 5, least: float = 0.8, bucket: int = 4096) -> DataFrame:
-    """``id, component_id`` for each of ``rows(id, text)``, ids all different: the least id that links of similarity ``least`` reach."""
+def similar(rows: DataFrame, width: int = 5, least: float = 0.8, bucket: int = 4096, hot: int = HOT_ROWS) -> DataFrame:
+    """``id, component_id`` for each of ``rows(id, text)``, ids all different: the least id that links of similarity ``least`` reach.
+
+    A key, a set or a group of over ``hot`` rows is joined in parts.
+    """
     each = cut(_sketches(rows, width, least), "near-sketches")
-    first = each.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    first = cut(each.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"), "near-first")
     # Of rows with one set the first stands for all; the others are left out of the search.
-    copies = cut(each.select("id", "node").join(first.where("copies > 1"), "node").where("id <> first_id").select("id", "node"), "near-copies")
+    copies = cut(counted_join(each.select("id", "node"), first, "node", "copies", "id", hot).where("id <> first_id").select("id", "node"), "near-copies")
     nodes = each.join(copies.select("id"), "id", "left_anti")
     confirmed = lambda buckets, grouped, every: _confirmed(_pairs_within(_with_sketches(buckets, grouped), least, every), nodes, rows, width, least)
 
     grouped = nodes.withColumn("c", F.col("node"))
-    shared = _shared(_golay_keyed(grouped))
+    shared = _shared(_golay_keyed(grouped), hot)
     links = [confirmed(_leaders(shared, bucket), grouped, False)]
     uncut(shared)
     roots = _roots(links)
     grouped = _grouped(nodes, roots)
 
     rare = lambda grouped: grouped.select(F.explode("prefix").alias("key"), "node", "c")
-    shared = _shared(rare(grouped))
+    shared = _shared(rare(grouped), hot)
     if shared.where(F.col("n") > bucket).limit(1).count():
         # Large groups of near copies that the keys left in parts become one before their members are compared.
         links.append(confirmed(_leaders(shared.where(F.col("n") > bucket), bucket), grouped, False))
         uncut(shared, roots)
         roots = _roots(links)
         grouped = _grouped(nodes, roots)
-        shared = _shared(rare(grouped))
+        shared = _shared(rare(grouped), hot)
     links.append(confirmed(_blocks(shared, bucket), grouped, True))
     uncut(shared, roots)
 
     roots = _roots(links)
-    labels = _grouped(nodes.select("node", F.col("id").alias("first_id")), roots)
-    least_id = labels.join(roots.select("c").distinct(), "c").groupBy("c").agg(F.min("first_id").alias("component_id"))
-    named = cut(labels.join(least_id, "c", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "near-names")
-    out = cut(each.select("id", "node").join(named, "node").select("id", "component_id"), "near-components")
-    uncut(each, copies, roots, named, *links)
+    ids = nodes.select("node", F.col("id").alias("first_id"))
+    reached = cut(roots.join(ids, "node"), "near-reached")
+    least_id = cut(reached.groupBy("c").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "near-least")
+    component = counted_join(reached.select("node", "c"), least_id, "c", "n", "node", hot).select("node", "component_id")
+    named = ids.join(component, "node", "left").join(first.select("node", "copies"), "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    named = cut(named, "near-names")
+    out = cut(counted_join(each.select("id", "node"), named, "node", "copies", "id", hot).select("id", "component_id"), "near-components")
+    uncut(each, first, copies, roots, reached, least_id, named, *links)
     return out
 
 
@@ -435,7 +441,7 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     return placed.join(F.broadcast(order), f"{name}_file").withColumn(name, F.shiftleft(F.col(f"{name}_no").cast("long"), 40) + F.col(f"{name}_place")).select(*docs.columns, name)
 
 
-def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, hot: int = HOT_ROWS) -> DataFrame:
     """One row of each component of similar texts with all columns of ``docs``: the one with the least ``doc_id``, of these the first.
 
     Rows are told apart by their place, so ids may repeat or be missing. Texts are not shuffled unless
@@ -445,10 +451,12 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
     numbered = _numbered(docs, name)
-    found = similar(numbered.select(F.col(name).alias("id"), "text"), width, least)
+    found = similar(numbered.select(F.col(name).alias("id"), "text"), width, least, hot=hot)
     ids = numbered.select(F.col(name).alias("id"), F.col("doc_id").cast("long").alias("doc_id"))
-    many = found.join(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id").join(ids, "id")
-    first = many.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first")).select("component_id", F.col("first.id").alias("kept"))
-    gone = cut(many.join(first, "component_id").where("id <> kept").select(F.col("id").alias(name)), "near-gone")
-    uncut(found)
+    sizes = cut(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
+    many = cut(counted_join(found, sizes, "component_id", "n", "id", hot).join(ids, "id").select("component_id", "id", "doc_id"), "near-many")
+    first = many.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"), F.count("*").alias("n"))
+    first = cut(first.select("component_id", F.col("first.id").alias("kept"), "n"), "near-kept")
+    gone = cut(counted_join(many, first, "component_id", "n", "id", hot).where("id <> kept").select(F.col("id").alias(name)), "near-gone")
+    uncut(found, sizes, many, first)
     return numbered.join(gone, name, "left_anti").drop(name)

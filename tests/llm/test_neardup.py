@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import neardup
+from docloom.llm.common import counted_join
 
 
 def test_similar_texts(spark):
@@ -132,8 +133,8 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((len(rows), " ".join([word() for _ in range(90)] + base[:25])))
     df = spark.createDataFrame(rows, "id long, text string").repartition(4)
     want = jaccard_groups(rows)
-    for bucket in (4096, 8):
-        assert {x["id"]: x["component_id"] for x in neardup.similar(df, bucket=bucket).collect()} == want
+    for bucket, hot in ((4096, 1 << 20), (8, 5)):
+        assert {x["id"]: x["component_id"] for x in neardup.similar(df, bucket=bucket, hot=hot).collect()} == want
 
 
 @pytest.mark.parametrize("name", ["sf0.01"])
@@ -184,3 +185,26 @@ def test_columns_of_the_names_used_inside_pass_through(spark, tmp_path):
     for docs in (df, spark.read.parquet(str(tmp_path / "t"))):
         got = neardup.keep_one(docs)
         assert got.columns == df.columns and sorted(tuple(x) for x in got.collect()) == sorted((rows[0], rows[2]))
+
+
+def test_hot_keys_are_joined_in_parts(spark):
+    rows = [(k, i) for k, n in ((7, 40), (8, 3), (9, 1), (None, 4)) for i in range(n)]
+    many = spark.createDataFrame(rows, "k long, id long").repartition(3)
+    few = spark.createDataFrame([(7, "a", 40), (8, "b", 3), (9, "c", 1), (10, "d", 50)], "k long, of string, n long")
+    want = sorted(map(tuple, many.join(few, "k").collect()))
+    for most in (1, 3, 10, 1000):
+        got = counted_join(many, few, "k", "n", "id", most)
+        assert got.columns == ["k", "id", "of", "n"]
+        assert sorted(map(tuple, got.collect())) == want
+    parts = counted_join(many, few, "k", "n", "id", 10)._jdf.queryExecution().analyzed().toString()
+    assert "hot_part" in parts and "hot_part" not in counted_join(many, few, "k", "n", "id")._jdf.queryExecution().analyzed().toString()
+    assert counted_join(many.where("false"), few.where("false"), "k", "n", "id", 1).count() == 0
+
+
+def test_copies_of_one_hot_set(spark):
+    """A third of all rows is one text, and another third near copies of it."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(100 + i, " ".join(base)) for i in range(30)] + [(i + 1, " ".join([*base, f"x{i}"])) for i in range(30)] + [(200 + i, f"text {i} has other words than {i + 1} or {i * 7} has") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (4, 1 << 20):
+        assert sorted(x["doc_id"] for x in neardup.keep_one(df, hot=hot).collect()) == [1, *range(200, 230)]
