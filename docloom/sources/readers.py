@@ -20,6 +20,20 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A table of a database read through ``parts`` connections, each with a range of ``column`` (numbers, dates or times).
+
+    The bounds are asked for first and only set where ranges begin: rows beyond them, which came meanwhile, are in the
+    first or last range, rows without a value in the first. A column of one value or none is read through one connection.
+    """
+    said = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    least, most = jdbc(spark, url, f"SELECT MIN({said}) AS a, MAX({said}) AS b FROM {table}", **options).first()
+    source = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if least is not None and least < most:
+        source = source.options(partitionColumn=column, lowerBound=str(least), upperBound=str(most), numPartitions=parts)
+    return source.load()
+
+
 def csv(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """A CSV with a header, read as text; names in lower case with ``_`` for spaces."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', **options)

@@ -48,6 +48,15 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
     return n
 
 
+def jdbc_append(df: DataFrame, url: str, table: str, connections: int = 8, batch: int = 1000, **options: str) -> None:
+    """Append to a table of a database, through ``connections`` connections at most, ``batch`` rows an insert.
+
+    Each task is one transaction. One that is run again after its executor was lost may insert its rows twice,
+    unless the table has a key that refuses them.
+    """
+    df.write.format("jdbc").options(url=url, dbtable=table, numPartitions=connections, batchsize=batch, **options).mode("append").save()
+
+
 def with_surrogate(df: DataFrame, natural: list[str], name: str = "id", after: int = 0, parts: int = 64) -> DataFrame:
     """Numbers from ``after + 1`` in the order of the MD5 of the natural key, then of the key: the same whatever the partitions.
 
