@@ -7,6 +7,8 @@ no model: similarity above a threshold, and all that are best.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,25 +41,64 @@ def table_features(source: Column, name: Column) -> Column:
     return F.create_map(F.lit("DOTTED_TABLE"), dotted, F.lit("NUM_CELLS"), F.size(F.split(name, r"\|")).cast("double"))
 
 
-def scored_pairs(items: DataFrame, item_documents: DataFrame, entities: DataFrame, fields: list[str], n: int = 2) -> DataFrame:
-    """``item_id, document_id, entity_id, score`` of items and entities of their documents that share a shingle.
+@dataclass(frozen=True)
+class ClassPairs:
+    """Items and entities of equal texts as one class, and the similar classes of each document.
+
+    ``scored``: ``document_id, item_class, entity_class, score, n`` (how many pairs of members it stands for); ``items`` and ``entities``: the members, with ``document_id``.
+    A class is the SHA-256 of its normalised texts.
+    """
+
+    scored: DataFrame
+    items: DataFrame
+    entities: DataFrame
+
+    def expanded(self, scored: DataFrame | None = None) -> DataFrame:
+        """``item_id, document_id, entity_id, score`` of all members of the pairs, or of those in ``scored``."""
+        pairs = (self.scored if scored is None else scored).select("document_id", "item_class", "entity_class", "score")
+        items = pairs.join(self.items.hint("merge"), ["document_id", "item_class"]).drop("item_class")
+        return items.join(self.entities.hint("merge"), ["document_id", "entity_class"]).select("item_id", "document_id", "entity_id", "score")
+
+
+def _classed(df: DataFrame, keys: list[str], fields: dict[str, Column], name: str) -> DataFrame:
+    """``df``'s keys with normalised fields, and their digest; a bar is in no normalised text, so it parts them."""
+    norm = df.select(*keys, *(T.normalize(F.coalesce(c, F.lit(""))).alias(f) for f, c in fields.items()))
+    return norm.withColumn(name, F.unhex(F.sha2(F.concat_ws("|", *fields), 256)))
+
+
+def class_pairs(items: DataFrame, item_documents: DataFrame, entities: DataFrame, fields: list[str], n: int = 2) -> ClassPairs:
+    """Pairs of classes of one document that share a shingle.
 
     The score is the largest similarity of the entity's name with one of the
-    item's ``fields``. Both sides meet by document and shingle, so no pair
-    without a common shingle is made; intersections are counted by partial aggregation.
+    item's ``fields``. Only different texts meet, by document and shingle, and intersections are counted by
+    partial aggregation; members are joined to what is left of the pairs. The size of a
+    packed table tells nothing of what is made of it, so the joins ask for a sort-merge: nothing goes through the driver.
     """
-    bundled = item_attributes(items, fields, n).select("item_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_grams").alias("grams")) for f in fields))).alias("x"))
-    a = exploded(bundled.select("item_id", "x.field", F.size("x.grams").alias("n_item"), F.col("x.grams").alias("grams"))).join(item_documents.select("item_id", "document_id").distinct(), "item_id")
-    b = _bundle(entities, {"name": F.coalesce("entity_inferred_name", F.lit(""))}, n).select("document_id", "entity_id", F.size("name_grams").alias("n_entity"), F.col("name_grams").alias("grams"))
-    b = exploded(b)
-    shared = a.join(b, ["document_id", "gram"]).groupBy("item_id", "document_id", "entity_id", "field").agg(F.count("*").alias("shared"), F.first("n_item").alias("n_item"), F.first("n_entity").alias("n_entity"))
+    i = _classed(items, ["item_id"], {f: F.col(f) for f in fields}, "item_class")
+    e = _classed(entities, ["document_id", "entity_id"], {"name": F.col("entity_inferred_name")}, "entity_class")
+    members = i.select("item_id", "item_class").join(item_documents.select("item_id", "document_id").hint("merge"), "item_id").distinct()
+    texts = i.select("item_class", *fields).distinct()
+    words = texts.select("item_class", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x")).select("item_class", "x.field", T.tokens(F.col("x.text")).alias("words"))
+    a = exploded(words.select("item_class", "field", T.shingles(F.col("words"), n).alias("grams")).withColumn("n_item", F.size("grams")))
+    a = a.join(members.groupBy("document_id", "item_class").agg(F.count("*").alias("n_items")).hint("merge"), "item_class")
+    names = e.groupBy("document_id", "entity_class", "name").agg(F.count("*").alias("n_entities")).withColumn("words", T.tokens(F.col("name")))
+    b = exploded(names.select("document_id", "entity_class", "n_entities", T.shingles(F.col("words"), n).alias("grams")).withColumn("n_entity", F.size("grams")))
+    sizes = ("n_item", "n_entity", "n_items", "n_entities")
+    shared = a.join(b.hint("merge"), ["document_id", "gram"]).groupBy("document_id", "item_class", "entity_class", "field").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in sizes))
     score = F.col("shared") / (F.col("n_item") + F.col("n_entity") - F.col("shared"))
-    return shared.groupBy("item_id", "document_id", "entity_id").agg(F.max(score).alias("score"))
+    scored = shared.groupBy("document_id", "item_class", "entity_class").agg(F.max(score).alias("score"), F.first(F.col("n_items") * F.col("n_entities")).alias("n"))
+    return ClassPairs(scored, members, e.select("document_id", "entity_class", "entity_id"))
+
+
+def scored_pairs(items: DataFrame, item_documents: DataFrame, entities: DataFrame, fields: list[str], n: int = 2) -> DataFrame:
+    """``item_id, document_id, entity_id, score`` of items and entities of their documents that share a shingle, by :func:`class_pairs`. Ids are keys of their tables."""
+    return class_pairs(items, item_documents, entities, fields, n).expanded()
 
 
 def rule_matches(items: DataFrame, item_documents: DataFrame, entities: DataFrame, fields: list[str], threshold: float = 0.5, n: int = 2) -> DataFrame:
-    """The best entities of each item in each of its documents, above the threshold; equals together."""
-    return best_with_ties(scored_pairs(items, item_documents, entities, fields, n), ["item_id", "document_id"], "score", threshold)
+    """The best entities of each item in each of its documents, above the threshold; equals together. Chosen by class: members of a class have the same scores."""
+    pairs = class_pairs(items, item_documents, entities, fields, n)
+    return pairs.expanded(best_with_ties(pairs.scored, ["document_id", "item_class"], "score", threshold))
 
 
 def to_store(matches: DataFrame, item_documents: DataFrame, manual: bool = False) -> DataFrame:
