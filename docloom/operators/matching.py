@@ -104,7 +104,7 @@ def rule_matches(items: DataFrame, item_documents: DataFrame, entities: DataFram
 def to_store(matches: DataFrame, item_documents: DataFrame, manual: bool = False) -> DataFrame:
     """Matches as rows of the table of matched entities; only where the item and the document are linked."""
     linked = item_documents.groupBy("item_id", "document_id").agg(F.min("id").alias("item_document_id"))
-    rows = matches.join(linked, ["item_id", "document_id"])
+    rows = matches.join(linked.hint("merge"), ["item_id", "document_id"])
     return rows.select("item_document_id", F.col("entity_id").alias("matched_entity_id"), F.lit(manual).alias("manual_match")).distinct()
 
 
