@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import linkage, matching
+from docloom.operators import linkage, matching, tables
+from docloom.plans import catalogue
 
 
 def plan(df):
@@ -32,3 +33,23 @@ def test_matches_of_copies_are_compared_once(copies):
 def test_matches_are_not_broadcast(copies):
     assert "Broadcast" not in plan(matching.rule_matches(*copies, ["a", "b"]))
     assert "Broadcast" not in plan(matching.to_store(matching.rule_matches(*copies, ["a", "b"]), copies[1]))
+
+
+def test_table_function_takes_a_table_in_batches(spark):
+    dotted = " LIST\n\n" + "".join(f"{n:.<30}  {a:>9}\n" for n, a in (("one_thing", "1,000"), ("two_things", "20"), ("three", "300")))
+    rule = "-" * 40 + "\n"
+    dashed = " THE TITLE\n\n" + rule + "Name              Amount\n" + rule + "ring_and\ngear                 1,200\n=\nwheel                   20\n" + rule
+    texts = [dashed, dotted, None, "", "no table\n", dashed + "\n\n" + dotted]
+    docs = spark.createDataFrame([(i, t, f) for f in (False, True) for i, t in enumerate(texts)], "doc_id long, text string, flush_last_run boolean")
+    tables.register(spark)
+    got = spark.sql("SELECT flush_last_run, document_id, table_no, kind, size(rows) AS n, rows[0].entity_text AS first FROM drawn_tables_of(TABLE({d}))", d=docs)
+    want = [(f, i, t[0], t[3], len(t[8]), t[8][0][1]) for f in (False, True) for i, x in enumerate(texts) for t in tables.records(x, tables.Options(f))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 8
+    for query in ("dashed_tables_sql", "dotted_tables_sql"):
+        assert "drawn_tables_of" in plan(catalogue.queries()[query](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_title_is_read_upwards_only():
+    parts = [tables.Paragraph(["first\n"], 0, 6)] + [tables.Paragraph([f" line {k}\n"], 0, 8) for k in range(3)] + [tables.Paragraph(["x  1\n"], 0, 5)]
+    assert tables.title_of(parts, 4) == [" line 0\n", " line 1\n", " line 2\n"]
+    assert tables.title_of(parts, 1) == tables.title_of([tables.Paragraph([" only\n"], 0, 6)] + parts[4:], 1) == []
