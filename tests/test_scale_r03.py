@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import linkage, matching, tables
+from docloom.operators import grouped, linkage, matching, relational, tables
 from docloom.plans import catalogue
 
 
@@ -53,3 +53,26 @@ def test_a_title_is_read_upwards_only():
     parts = [tables.Paragraph(["first\n"], 0, 6)] + [tables.Paragraph([f" line {k}\n"], 0, 8) for k in range(3)] + [tables.Paragraph(["x  1\n"], 0, 5)]
     assert tables.title_of(parts, 4) == [" line 0\n", " line 1\n", " line 2\n"]
     assert tables.title_of(parts, 1) == tables.title_of([tables.Paragraph([" only\n"], 0, 6)] + parts[4:], 1) == []
+
+
+def test_pairs_of_a_large_block_are_dealt(spark):
+    rows = spark.range(60).select(F.col("id"), F.when(F.col("id") < 50, 1).otherwise(F.col("id")).cast("int").alias("block"))
+    left, right = rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b")
+    met = relational.dealt_pairs(left, right, ["block"], F.col("a"), F.col("b"), part=10)
+    got = met.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted([(a, b) for a in range(50) for b in range(50)] + [(k, k) for k in range(50, 60)])
+    assert len({r.task for r in got if r.block == 1}) > 3
+    pairs = relational.self_pairs(rows, "block", "id")
+    assert pairs.count() == 50 * 49 // 2
+
+
+def test_weights_do_not_depend_on_the_order_of_sums(spark):
+    rows = spark.range(3000).select(F.lit("g").alias("g"), (F.abs(F.sin("id")) * 9).alias("x"), (F.col("id") % 7 < 3).cast("int").alias("y"), (F.col("id") % 3).alias("fold"))
+    found = {tuple(m.weights) for n in (1, 3, 8) for m in grouped.fit(rows.repartition(n, "x"), "g", ["x"], "y", "fold", digits=9).where("group = 'g'").collect()}
+    assert len(found) == 1 and all(round(w, 9) == w for w in found.pop())
+
+
+def test_pairs_are_not_shuffled_for_their_models(spark):
+    query = plan(catalogue.queries()["student_pairs_scored"](spark, "/root/testdata/sf0.001"))
+    head = query.split("Join")[0] + query.split("Join")[1].split("\n")[0]
+    assert "Exchange" not in head
