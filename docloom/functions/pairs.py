@@ -27,21 +27,33 @@ def both(a: Column, b: Column, value: str) -> Column:
     return ((a == b) & (b == value)).cast("double")
 
 
-def other_features(a: str, b: str, zip_code: str = "ZipCode", school: str = "ThisGradeSchoolKey") -> Column:
-    """Languages, sex and birth that both students have, and which zip codes and school the pair is of."""
+def both_features(a: str, b: str) -> dict[str, Column]:
+    """Languages, sex and birth that both students have, each a column."""
     la, lb = (F.col(f"{x}.Language") for x in (a, b))
-    both_of = {
+    found = {
         "BOTH_ENGLISH": both(la, lb, "English"),
         "BOTH_SPANISH": both(la, lb, "Spanish"),
         "BOTH_MALE": both(F.col(f"{a}.Gender"), F.col(f"{b}.Gender"), "Male"),
         "BOTH_BORN_OUTSIDE": 1.0 - both(F.col(f"{a}.BirthCountry"), F.col(f"{b}.BirthCountry"), "United States"),
         "BOTH_SPANISH_AT_HOME": both(F.col(f"{a}.HomeLanguage"), F.col(f"{b}.HomeLanguage"), "Spanish"),
     }
+    return {k: F.coalesce(v, F.lit(0.0)) for k, v in found.items()}
+
+
+def other_features(a: str, b: str, zip_code: str = "ZipCode", school: str = "ThisGradeSchoolKey") -> Column:
+    """:func:`both_features`, and which zip codes and school the pair is of, as one map."""
     one_hot = F.array_distinct(F.array(*(F.concat(F.lit("ZIPCODE_"), F.col(f"{x}.{zip_code}").cast("string")) for x in (a, b)), F.concat(F.lit("SCHOOL_KEY_"), F.col(f"{b}.{school}").cast("string"))))
-    named = F.create_map(*(x for k, v in both_of.items() for x in (F.lit(k), F.coalesce(v, F.lit(0.0)))))
+    named = F.create_map(*(x for k, v in both_features(a, b).items() for x in (F.lit(k), v)))
     return F.map_concat(named, F.map_from_entries(F.transform(F.array_compact(one_hot), lambda k: F.struct(k, F.lit(1.0)))))
 
 
+def n_other_features(a: str, b: str, zip_code: str = "ZipCode", school: str = "ThisGradeSchoolKey") -> Column:
+    """How many entries :func:`other_features` has, without making them: a map for each pair costs most of what a pair costs."""
+    za, zb, s = F.col(f"{a}.{zip_code}"), F.col(f"{b}.{zip_code}"), F.col(f"{b}.{school}")
+    one_hot = za.isNotNull().cast("int") + (zb.isNotNull() & ~za.eqNullSafe(zb)).cast("int") + s.isNotNull().cast("int")
+    return one_hot + len(both_features(a, b))
+
+
 def cast_or(c: Column, kind: str, default: object) -> Column:
     """The value as ``kind``; ``default`` where it is none."""
     return F.coalesce(c.try_cast(kind), F.lit(default).cast(kind))
