@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.linkage import append_new
+from docloom.operators.relational import dealt_pairs
 from docloom.schemas import LIMITS
 
 
@@ -79,6 +80,18 @@ def manual_matches(pairs: DataFrame, entities: DataFrame, item_documents: DataFr
     return of.join(linked, ["item_id", "document_id"]).select("item_document_id", F.col("entity_id").alias("matched_entity_id"), F.lit(True).alias("manual_match"))
 
 
+def manual_matches_of_blocks(items: DataFrame, chosen: DataFrame, block: str, entities: DataFrame, item_documents: DataFrame) -> DataFrame:
+    """The same for a reader who matches by blocks: each of ``items(item_id, block)`` with each of ``chosen(entity_id, block)`` of its block.
+
+    Documents are looked up for items and for entities, and only then do pairs meet, on block and document: none is made in vain or shuffled.
+    """
+    of = chosen.join(entities.select("entity_id", "document_id"), "entity_id")
+    linked = item_documents.groupBy("item_id", "document_id").agg(F.min("id").alias("item_document_id"))
+    asked = items.join(linked, "item_id").select(block, "document_id", "item_document_id", "item_id")
+    met = dealt_pairs(asked, of.select(block, "document_id", F.col("entity_id").alias("matched_entity_id")), [block, "document_id"], F.col("item_id"), F.col("matched_entity_id"))
+    return met.select("item_document_id", "matched_entity_id", F.lit(True).alias("manual_match"))
+
+
 def children(df: DataFrame, key: str, values: str, name: str) -> DataFrame:
     """A child row for each element of an array, in order."""
     return df.select(F.col(key), F.posexplode(values).alias("position", name))
