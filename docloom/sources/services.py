@@ -19,6 +19,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -141,26 +142,46 @@ def new_pages(spark: SparkSession, service: str, **options) -> DataFrame:
 class TableService:
     """A service that answers from a Parquet table: page ``n`` holds the rows whose ``key`` is in the ``n``-th run of ``page`` numbers from 0 on, as JSON.
 
-    It stands for a remote one in offline runs: any store that Arrow can read will do for ``path``. Each answer reads only the row groups that may hold its keys.
+    It stands for a remote one in offline runs: any store that Arrow can read will do for ``path``. A row group is read whole for a single page of it, so ``AHEAD``
+    rows' worth of pages are read at once and the last ones held by the worker, for its next pages and tasks; not where the table's files have changed since.
     """
 
+    #: Keys that one read covers.
+    AHEAD = 100_000
+    #: What was read last in this process: what it is of, the first page and the page behind the last, rows by key.
+    held: tuple | None = None
+
     def __init__(self, options: dict):
         import pyarrow.dataset as ds
 
         self.data, self.key, self.page = ds.dataset(options["path"], format="parquet"), options["key"], int(options.get("page", "50"))
         self.columns = options["columns"].split(",")
+        self.of = (tuple((i.path, i.size, i.mtime_ns) for i in self.data.filesystem.get_file_info(self.data.files)), self.key, self.page, tuple(self.columns))
 
-    def _rows(self, number: int, columns: list[str]) -> pa.Table:
+    def _rows(self, first: int, behind: int, columns: list[str]) -> pa.Table:
+        """The rows of the pages from ``first`` on, up to the one before ``behind``."""
         import pyarrow.dataset as ds
 
         key = ds.field(self.key)
-        return self.data.to_table(columns=columns, filter=(key >= (number - 1) * self.page) & (key < number * self.page))
+        return self.data.to_table(columns=columns, filter=(key >= (first - 1) * self.page) & (key < (behind - 1) * self.page))
 
     def exists(self, number: int) -> bool:
-        return self._rows(number, [self.key]).num_rows > 0
+        return self._rows(number, number + 1, [self.key]).num_rows > 0
+
+    def _ahead(self, number: int) -> tuple[int, pa.Table, np.ndarray]:
+        """The first page of a run of pages that holds this one, the run's rows by key, and where each page begins."""
+        run = max(1, self.AHEAD // self.page)
+        first = (number - 1) // run * run + 1
+        if TableService.held is None or TableService.held[:2] != (self.of, first):
+            names = list(dict.fromkeys([*self.columns, self.key]))
+            rows = self._rows(first, first + run, names).sort_by(self.key)
+            begins = np.searchsorted(rows.column(self.key).to_numpy(), (np.arange(run + 1) + first - 1) * self.page)
+            TableService.held = (self.of, first, rows.select(self.columns), begins)
+        return TableService.held[1:]
 
     def fetch(self, number: int) -> list[str]:
         import json
 
-        rows = self._rows(number, self.columns).sort_by(self.key)
-        return [json.dumps(r, default=str) for r in rows.to_pylist()]
+        first, rows, begins = self._ahead(number)
+        start, end = begins[number - first], begins[number - first + 1]
+        return [json.dumps(r, default=str) for r in rows.slice(start, end - start).to_pylist()]
