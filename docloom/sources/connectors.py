@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,17 +130,31 @@ def text_chunks(text: str, most: int = 100_000) -> list[tuple[int, str]]:
     return out
 
 
+#: Chunks, and their characters, that are passed on at once, at most.
+CHUNKS, CHARACTERS = 10_000, 4 << 20
+
+
 def chunked(docs: DataFrame, most: int = 100_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``document_id, chunk, offset, text`` of documents cut for a service with a limit."""
     use_package(docs.sparkSession)
 
-    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(d, k, o, t) for d, text in zip(frame["id"], frame["text"], strict=True) for k, (o, t) in enumerate(text_chunks(text or "", most))]
-            if out:
-                yield pd.DataFrame(out, columns=["document_id", "chunk", "offset", "text"])
-
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInPandas(go, "document_id long, chunk int, offset int, text string")
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["document_id", "chunk", "offset", "text"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for b in batches:
+            for d, text in zip(b.column(0), b.column(1), strict=True):  # a text at a time, not the batch as Python's
+                for k, (o, t) in enumerate(text_chunks(text.as_py() or "", most)):
+                    out.append((d.as_py(), k, o, t))
+                    held += len(t)
+                    if len(out) >= CHUNKS or held >= CHARACTERS:
+                        yield batch(out)
+                        out, held = [], 0
+        if out:
+            yield batch(out)
+
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(go, "document_id long, chunk int, offset int, text string")
 
 
 def annotated(chunks: DataFrame, annotate: Callable[[str], str]) -> DataFrame:
