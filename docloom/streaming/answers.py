@@ -4,13 +4,14 @@ State is kept for each item by Spark, in RocksDB, so it outgrows no memory and a
 order of their numbers inside a batch, and batches in the order in which they come.
 
 Defined cases: an answer whose number the item has had already is skipped; a null answer is "no"; answers without a number or an item are left out. The answers of one
-item in one batch are held at once; limit a batch (``maxFilesPerTrigger``) where an item may have very many.
+item in one batch are held at once, with the numbers of all that it has had: state is asked and told once for each item of a batch, not for each answer; limit a batch (``maxFilesPerTrigger``) where an item may have very many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,20 +31,23 @@ class Runs(StatefulProcessor):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "run long")
-        self.seen = handle.getMapState("seen", "answer long", "yes boolean")
+        # An entry for each batch that had new answers of the item: their numbers, eight bytes each, and the run after them.
+        self.had = handle.getListState("had", "run long, answers binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("answer", kind="stable")
-        run = self.run.get()[0] if self.run.exists() else 0
+        run, seen = 0, set()
+        for run, answers in self.had.get():
+            seen.update(np.frombuffer(answers, np.int64).tolist())
         out = []
         for answer, yes in zip(new["answer"].tolist(), new["yes"].fillna(False).astype(bool).tolist(), strict=True):
-            if self.seen.containsKey((answer,)):
+            if answer in seen:
                 continue
-            self.seen.updateValue((answer,), (yes,))
+            seen.add(answer)
             run = 0 if yes else run + 1
             out.append((key[0], answer, yes, run, run > self.most))
-        self.run.update((run,))
+        if out:
+            self.had.appendValue((run, np.array([o[1] for o in out], np.int64).tobytes()))
         yield pd.DataFrame(out, columns=["item", "answer", "yes", "run", "decided"]).astype({"item": "int64", "answer": "int64", "yes": bool, "run": "int64", "decided": bool})
 
     def close(self) -> None:
