@@ -29,3 +29,20 @@ def test_first_places_are_aggregated_by_hashing(spark, kind):
 def test_first_places_of_rows_far_apart(spark):
     rows = [(-(1 << 62), {"a": 1.0}, {}), (1 << 62, {"b": 1.0, "a": 1.0}, {})]
     assert sorted(map(tuple, X._first_seen(bags(spark, rows), ["g", "h"], "id").collect())) == [("a", -(1 << 62), 0), ("b", 1 << 62, 0)]
+
+
+def test_sparse_rows_are_shuffled_by_name_and_by_key_only(spark, monkeypatch):
+    rows = [(i, {f"n{(i * k) % 31}": float(k) for k in range(i % 9)}, {f"n{k}": 0.5 for k in range(i % 4)}) for i in range(40)] + [(100, {"unknown": 1.0}, {})]
+    df = bags(spark, rows)
+    index = X.feature_index(df.where("id < 100"), ["g", "h"], "id")
+    at = {r.name: r["index"] for r in index.collect()}
+    want = {i: sorted((at[n], g.get(n, 0.0) + h.get(n, 0.0)) for n in {**g, **h} if n in at) for i, g, h in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for names in (1 << 20, 3):  # the second deals names to more tasks than a shuffle has
+            monkeypatch.setattr(X, "NAMES", names)
+            out = X.sparse(df, "id", ["g", "h"], index)
+            assert plan(out).count("Exchange") == 3
+            assert {r.id: list(zip(r.positions, r["values"], strict=True)) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
