@@ -1,7 +1,9 @@
 """Figures that must not grow faster than the input: sorts, shuffles and repeated work that plans show."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import features as X
 
 
@@ -46,3 +48,24 @@ def test_sparse_rows_are_shuffled_by_name_and_by_key_only(spark, monkeypatch):
             assert {r.id: list(zip(r.positions, r["values"], strict=True)) for r in out.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_are_normalised_once_for_their_features(spark, sf):
+    from docloom.plans import catalogue
+
+    assert catalogue.queries()["feature_groups"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count(r"\p{Punct}") == 1
+
+
+def test_features_of_odd_texts(spark):
+    import math
+    import re
+
+    texts = ["", " . ", "for A|b 1,2.. Été x1", "ΑΣ.Β Σ\n\tNo. 12", "\U0001d400\U0001d41a \U0001d400b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", X.simple_text(F.col("text")).alias("f"), X.simple_text(F.col("text"), T.kept_tokens(F.col("text"))).alias("g"))
+    for r in df.collect():
+        kept = re.sub(r"[!-/:-@\[-`{-~]", " ", r.text.replace("|", "")).split()
+        share = lambda a, b: a / b if b else 0.0
+        alpha, dots, digits = sum(t.isalpha() for t in kept), r.text.count("."), sum(c in "0123456789" for c in r.text)
+        want = {"NUM_ALL_CAPS": sum(c.isupper() for c in r.text), "NUM_DOTS": dots, "NUM_DIGITS": digits, "PERCENT_DOTS": share(dots, len(r.text)), "PERCENT_DIGITS": share(digits, len(r.text)), "LENGTH": len(r.text)}
+        want |= {"NUM_WORDS": len(kept), "ALPHA_TOKENS": alpha, "NON_ALPHA_TOKENS": len(kept) - alpha, "PERCENT_ALPHA_TOKENS": share(alpha, len(kept)), "PERCENT_CAPITALIZED": share(sum(t[0].isupper() for t in kept), len(kept)), "STARTS_WITH_FOR": bool(kept and kept[0].lower() == "for")}
+        assert r.f == r.g and all(math.isclose(r.f[k], v) for k, v in want.items()), (r.text, r.f, want)
