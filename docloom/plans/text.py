@@ -9,6 +9,7 @@ from docloom.functions import text as T
 from docloom.operators import features as X
 from docloom.operators import tables
 from docloom.plans.base import Plans, grams, norm, read, toks
+from docloom.session import dealt
 from docloom.sources import readers
 
 plans = Plans()
@@ -121,8 +122,10 @@ def unigram_bag(spark, sf):
     f"SELECT b.g AS bigram, count(*)::BIGINT AS n_docs FROM (SELECT unnest({grams('t', 2)}) AS g FROM (SELECT {toks(norm('text'))} AS t FROM documents)) b GROUP BY 1"
 )
 def bigram_bag(spark, sf):
+    # Few bigrams are seen twice in a task: what it counts before the shuffle is as large as its texts, so tasks are many, not large.
+    texts = dealt(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
     # The words are a projection of their own: inside the shingles they would be made again for each use.
-    d = read(spark, sf, "documents").select(T.tokens(T.normalize(F.col("text"))).alias("t"))
+    d = texts.select(T.tokens(T.normalize(F.col("text"))).alias("t"))
     return d.select(F.explode_outer(T.shingles(F.col("t"), 2)).alias("bigram")).where("bigram is not null").groupBy("bigram").agg(F.count("*").alias("n_docs"))
 
 

@@ -76,3 +76,14 @@ def test_cells_are_not_shuffled(spark, sf):
 
     query = plan(catalogue.queries()["rare_cells"](spark, sf))
     assert query.count("Exchange") == 1 and "Generate" not in query.split("Exchange")[1]
+
+
+def test_bigrams_are_counted_in_tasks_of_bounded_size(spark, sf):
+    from docloom import session
+    from docloom.plans import catalogue
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    assert session.dealt(rows, "doc_id", 1 << 16).rdd.getNumPartitions() >= 5
+    assert session.dealt(rows, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    query = plan(catalogue.queries()["bigram_bag"](spark, sf))
+    assert "REPARTITION_BY_NUM" in query and query.count("Exchange") == 2
