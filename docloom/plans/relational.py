@@ -304,7 +304,7 @@ def category_cycle(spark, sf):
 )
 def self_pairs(spark, sf):
     s = read(spark, sf, "supplier").withColumn("rich", F.col("s_acctbal") > 5000)
-    p = R.self_pairs(s, "s_nationkey", "s_suppkey")
+    p = R.self_pairs(s, "s_nationkey", "s_suppkey", none=0)
     same, apart = P.same_features("a", "b", ["rich"]), P.difference_features("a", "b", ["s_acctbal"])
     return p.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.map_contains_key(same, "IS_SAME_rich").alias("same_side"), F.round(F.element_at(apart, "ABS_DIFFERENCE_s_acctbal"), 6).alias("apart"))
 
