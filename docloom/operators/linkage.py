@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.relational import dealt_pairs, numbered
+from docloom.operators.relational import PART, dealt_pairs, numbered
 from docloom.session import written
 
 #: Sentinel for a missing group key.
@@ -56,6 +56,24 @@ def block_pairs(left: DataFrame, right: DataFrame, block: list[str], left_key: s
     return dealt_pairs(left, right, block, F.col(left_key), F.col(right_key))
 
 
+def classes(df: DataFrame, fields: list[str], key: str, into: str, part: int = PART) -> DataFrame:
+    """A row for each class of rows that are equal in ``fields``, with their keys as the array ``into``; a class of more than ``part`` rows is several. Rows without a key are in none."""
+    n = F.row_number().over(Window.partitionBy(*fields).orderBy(key)) - 1
+    cut = df.where(F.col(key).isNotNull()).select(*fields, key, F.floor(n / part).cast("int").alias("_part"))
+    return written(cut.groupBy(*fields, "_part").agg(F.collect_list(key).alias(into)).drop("_part"), "classes")  # they are counted before they meet
+
+
+def class_pairs(left: DataFrame, right: DataFrame, block: list[str], left_keys: str, right_keys: str) -> DataFrame:
+    """All pairs of :func:`classes` of one block, dealt by how many rows they stand for: what is made of their fields is made once for all pairs of their rows, which :func:`of_classes` gives."""
+    return dealt_pairs(left, right, block, F.get(left_keys, F.lit(0)), F.get(right_keys, F.lit(0)), left_n=F.size(left_keys), right_n=F.size(right_keys))
+
+
+def of_classes(pairs: DataFrame, left_keys: str, right_keys: str, left_key: str, right_key: str) -> DataFrame:
+    """The pairs of rows of pairs of classes."""
+    rest = [c for c in pairs.columns if c not in (left_keys, right_keys)]
+    return pairs.select(F.explode(left_keys).alias(left_key), right_keys, *rest).select(left_key, F.explode(right_keys).alias(right_key), *rest)
+
+
 def group_key(*keys: Column) -> list[Column]:
     return [F.coalesce(k.cast("string"), F.lit(MISSING)) for k in keys]
 

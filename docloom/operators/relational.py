@@ -195,14 +195,15 @@ def self_pairs(df: DataFrame, block: str, key: str, none: int | None = None, par
 PART, TASKS = 2000, 32
 
 
-def dealt_pairs(left: DataFrame, right: DataFrame, block: list[str], left_key: Column, right_key: Column, part: int = PART) -> DataFrame:
+def dealt_pairs(left: DataFrame, right: DataFrame, block: list[str], left_key: Column, right_key: Column, part: int = PART, left_n: Column | int = 1, right_n: Column | int = 1) -> DataFrame:
     """``left`` and ``right`` joined on ``block``, a large block dealt to many tasks.
 
     The pairs of a block are its size squared, while what a task reads tells nothing of it. So a block is cut into parts of about ``part`` rows by its sides'
     keys, and each part of the one side meets each of the other in a cell of its own. Sides are cut each by its own size, as a row goes along once for each part of the
-    other side. Sizes are counted before; the number of tasks is that of cells, within bounds.
+    other side. Sizes are counted before; the number of tasks is that of cells, within bounds. A row that stands for several counts as ``left_n`` or ``right_n``.
     """
-    sides = left.select(*block, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(right.select(*block, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    own_n = lambda n, name: (F.lit(n) if isinstance(n, int) else n).cast("long").alias(name)
+    sides = left.select(*block, own_n(left_n, "_l"), own_n(0, "_r")).unionAll(right.select(*block, own_n(0, "_l"), own_n(right_n, "_r")))
     sizes = sides.groupBy(*block).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).where("_l > 0 and _r > 0")
     parts = sizes.select(*block, *(F.ceil(F.col(n) / part).cast("int").alias(f"_k{n}") for n in ("_l", "_r")))
     cells = parts.agg(F.sum(F.col("_k_l").cast("double") * F.col("_k_r"))).first()[0] or 0
